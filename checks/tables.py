@@ -9,6 +9,7 @@ so the work grows with them.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timedelta, timezone
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,15 +22,15 @@ from wirebook.sources.events import normalize
 
 T0_US = 1704067200000000
 SHIP0_US = 788918400000000
-BASELINE_END_US = T0_US + 10_000_000
+BASELINE_END_US = T0_US + 500_000
 NOW_US = T0_US + 600_000_000
 
 MODBUS_CODES = ["READ_COILS", "READ_HOLDING_REGISTERS", "WRITE_SINGLE_COIL", "DIAGNOSTICS"]
 DNP3_CODES = ["READ", "RESPONSE", "SELECT"]
 
 
-def at(micros: int):
-    return F.timestamp_micros(F.lit(micros))
+def at(micros: int) -> datetime:
+    return datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=micros)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -52,9 +53,9 @@ def _wide(df: DataFrame, **columns) -> DataFrame:
     )
 
 
-def plant_events(spark: SparkSession, sf: str) -> DataFrame:
+def plant_events(events: DataFrame) -> DataFrame:
     kind, k = F.col("event_type"), F.col("k")
-    rows = table(spark, sf, "events").select(
+    rows = events.select(
         "event_id", "ts", "user_id", "event_type", "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     )
@@ -131,6 +132,94 @@ def flow_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def events_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The events table as a file stream."""
+    schema = table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+FIELDS = {
+    "modbus": ["ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "func", "exception"],
+    "dnp3": ["ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "fc_request", "fc_reply", "iin"],
+    "conn": ["ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "service", "duration",
+             "orig_bytes", "resp_bytes", "conn_state", "local_orig", "local_resp", "missed_bytes", "history",
+             "orig_pkts", "orig_ip_bytes", "resp_pkts", "resp_ip_bytes", "tunnel_parents"],
+}
+# Logs by number: kind, separator, its declaration, unset sentinel.
+LOGS = [
+    ("modbus", "\t", "\\x09", "-"),
+    ("modbus", "|", "\\x7c", "~"),
+    ("dnp3", "\t", "\\x09", "-"),
+    ("conn", "\t", "\\x09", "-"),
+    ("conn", "\t", "\\x09", "-"),
+    ("http", "\t", "\\x09", "-"),
+]
+CLOSE_AT = 3000
+
+
+def zeek_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The events written as lines of six Zeek logs, with faults in them.
+
+    Every 17th k lacks a field, every 20th has a bad port, log 4 is closed
+    after some thousand events, log 5 is of a kind that is not read.
+    """
+    k = F.col("k")
+    log_no = (F.col("user_id") % 6).cast("int")
+    rows = table(spark, sf, "events").select(
+        "event_id", "value", log_no.alias("log_no"), F.get_json_object("props", "$.k").cast("int").alias("k"),
+        wall_us("ts").alias("us"), "user_id",
+    )
+
+    def text(column):
+        return column.cast("string")
+
+    def choose(*values):
+        return F.element_at(F.array(*[v if not isinstance(v, str) else F.lit(v) for v in values]), (k % len(values) + 1).cast("int"))
+
+    unset = F.element_at(F.array(*[F.lit(x[3]) for x in LOGS]), F.col("log_no") + 1)
+    common = [
+        F.concat(text(F.floor(F.col("us") / 1000000)), F.lit("."), F.lpad(text(F.col("us") % 1000000), 6, "0")),
+        F.concat(F.lit("C"), text(F.col("event_id"))),
+        F.concat(F.lit("10.0.0."), text(F.col("user_id") % 12)),
+        F.when(k % 20 == 0, "x").otherwise(text(40000 + k)),
+        F.concat(F.lit("10.1.0."), text(k % 4)),
+        F.lit("502"),
+    ]
+    last = k % 17 == 0
+    modbus = [*common, F.lit("READ_COILS"), F.when(k % 7 == 0, "ILLEGAL_FUNCTION").otherwise(unset)]
+    dnp3 = [*common, F.when(k % 9 == 0, "-").otherwise("READ"), choose("-", "RESPONSE"), choose("-", "1.5", text(k))]
+    conn = [
+        *common, F.lit("tcp"), choose("-", "", "modbus"), F.when(k % 5 == 0, "1.0d").otherwise(text(F.col("value"))),
+        F.when(k % 11 == 0, "").otherwise(text(k * 100)), F.lit("-"), F.lit("SF"), choose("T", "F", "t", "-"), F.lit("T"),
+        F.lit("0"), F.lit("ShADadFf"), text(k), text(k * 60), F.lit("3"), F.lit("180"),
+        choose("-", "(empty)", "a,b", F.concat(F.lit("u"), text(k))),
+    ]
+
+    def line(values):
+        return F.when(last, F.concat_ws("\t", *values[:-1])).otherwise(F.concat_ws("\t", *values))
+
+    tabbed = F.when(F.col("log_no").isin(0, 1, 5), line(modbus)).when(F.col("log_no") == 2, line(dnp3)).otherwise(line(conn))
+    content = F.when(F.col("log_no") == 1, F.translate(tabbed, "\t", "|")).otherwise(tabbed)
+    data = rows.select("log_no", (F.col("event_id") + 100).alias("line_no"), content.alias("line"))
+    headers = []
+    for kind, s, declared, dash in LOGS:
+        fields = FIELDS.get(kind, FIELDS["modbus"])
+        headers.append(F.array(*[F.lit(x) for x in [
+            f"#separator {declared}", f"#set_separator{s},", f"#empty_field{s}(empty)", f"#unset_field{s}{dash}",
+            f"#path{s}{kind}", s.join(["#fields", *fields]),
+        ]]))
+    header = F.element_at(F.array(*headers), F.col("log_no") + 1)
+    top = data.select("log_no").distinct().select("log_no", F.posexplode(header).alias("line_no", "line"))
+    close = data.where("log_no = 4").select("log_no").distinct().select(
+        "log_no", F.lit(CLOSE_AT + 100).alias("line_no"), F.lit("#close\t2024").alias("line")
+    )
+    lines = data.unionByName(top).unionByName(close)
+    return lines.select(
+        F.concat(F.lit("log"), text(F.col("log_no"))).alias("file"), F.lit(0).alias("log_rank"),
+        F.col("line_no").cast("bigint").alias("line_no"), "line",
+    )
+
+
 @dataclass(frozen=True)
 class Plant:
     """Lazily derived tables for one scale factor."""
@@ -140,7 +229,7 @@ class Plant:
 
     @cached_property
     def events(self) -> DataFrame:
-        return plant_events(self.spark, self.sf).unionByName(flow_events(self.spark, self.sf))
+        return plant_events(table(self.spark, self.sf, "events")).unionByName(flow_events(self.spark, self.sf))
 
     @cached_property
     def comm(self) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
@@ -162,9 +163,18 @@ def fit(profiles: DataFrame, label: str = "label") -> PipelineModel | None:
 
     At least two examples and two labels are needed.
     """
-    labelled = feature_columns(profiles.where(F.col(label).isNotNull()))
-    if len(labelled.select(label).distinct().limit(2).collect()) < 2:
-        return None
+    # The optimizer passes over the rows many times; they are kept for that.
+    labelled = feature_columns(profiles.where(F.col(label).isNotNull())).select(label, *FEATURES)
+    labelled = labelled.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if len(labelled.select(label).distinct().limit(2).collect()) < 2:
+            return None
+        return _pipeline(labelled, label).fit(labelled)
+    finally:
+        labelled.unpersist()
+
+
+def _pipeline(labelled: DataFrame, label: str) -> Pipeline:
     indexer = StringIndexer(inputCol=label, outputCol="label_index", handleInvalid="skip").fit(labelled)
     stages = [
         indexer,
@@ -173,7 +183,7 @@ def fit(profiles: DataFrame, label: str = "label") -> PipelineModel | None:
         LogisticRegression(featuresCol="features", labelCol="label_index", maxIter=50, regParam=0.01),
         IndexToString(inputCol="prediction", outputCol="predicted_role", labels=indexer.labels),
     ]
-    return Pipeline(stages=stages).fit(labelled)
+    return Pipeline(stages=stages)
 
 
 def predict(

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TUMBLING = "300 seconds"
 SLIDING = "1800 seconds"
@@ -14,9 +15,11 @@ SLIDE = "300 seconds"
 SPREAD_LIMIT = 0.2
 
 
-def _time(name: str) -> Column:
-    # Epoch seconds as a number and timestamps both become timestamps.
-    return F.col(name).cast("timestamp")
+def _time(feed: DataFrame, name: str) -> Column:
+    # Epoch seconds become timestamps; a timestamp is left alone, because a
+    # cast would lose the watermark of a stream.
+    is_time = isinstance(feed.schema[name].dataType, T.TimestampType)
+    return F.col(name) if is_time else F.col(name).cast("timestamp")
 
 
 def tumbling_window(feed: DataFrame, timestamp_col: str = "ts") -> DataFrame:
@@ -27,7 +30,7 @@ def tumbling_window(feed: DataFrame, timestamp_col: str = "ts") -> DataFrame:
     """
     protocols = F.size(F.collect_set("protocol")) if feed.isStreaming else F.count_distinct("protocol")
     return (
-        feed.groupBy("ip", F.window(_time(timestamp_col), TUMBLING))
+        feed.groupBy("ip", F.window(_time(feed, timestamp_col), TUMBLING))
         .agg(
             F.sum("packet_count").alias("total_packets"),
             F.avg("avg_interval_ms").alias("mean_interval_ms"),
@@ -49,7 +52,7 @@ def sliding_window(feed: DataFrame, timestamp_col: str = "ts") -> DataFrame:
     mean, std = F.col("mean_interval_ms"), F.col("std_interval_ms")
     spread = F.try_divide(std, mean) > SPREAD_LIMIT
     return (
-        feed.groupBy("ip", F.window(_time(timestamp_col), SLIDING, SLIDE))
+        feed.groupBy("ip", F.window(_time(feed, timestamp_col), SLIDING, SLIDE))
         .agg(
             F.sum("packet_count").alias("total_packets"),
             F.avg("avg_interval_ms").alias("mean_interval_ms"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wirebook import catalog
 from wirebook.functions import casts
+from wirebook.functions.once import compute_once
 from wirebook.schemas import EVENT_SCHEMAS, REQUIRED, WIDE_EVENT
 
 
@@ -74,15 +75,20 @@ def decode_messages(messages: DataFrame, prefix: str = "") -> DataFrame:
     )
     log = F.regexp_extract(base, r"^raw\.(modbus|dnp3|conn)$", 1)
     rows = messages.select(*kept, "topic", text.alias("value"), log.alias("log"))
-    rows = rows.select(
-        "*",
-        F.json_object_keys("value").alias("keys"),
-        *[
-            F.when(F.col("log") == kind, F.from_json("value", _text_schema(kind))).alias(kind)
+    rows = compute_once(
+        rows,
+        keys=F.json_object_keys("value"),
+        **{
+            kind: F.when(F.col("log") == kind, F.from_json("value", _text_schema(kind)))
             for kind in catalog.LOG_TYPES
-        ],
+        },
     )
-    columns = [_converted(field.name, field.dataType.simpleString()).alias(field.name) for field in WIDE_EVENT.fields[1:]]
+    checked = {name: _converted(name, kind) for name, kind in (("ts", ""), ("orig_p", "int"), ("resp_p", "int"))}
+    rows = compute_once(rows, **checked)
+    columns = [
+        (F.col(f.name) if f.name in checked else _converted(f.name, f.dataType.simpleString())).alias(f.name)
+        for f in WIDE_EVENT.fields[1:]
+    ]
     complete = F.lit(False)
     for kind in catalog.LOG_TYPES:
         listed = F.array(*[F.lit(c) for c in REQUIRED[kind]])
