@@ -25,7 +25,7 @@ add("SET-1", lambda p: union_events(**{k: of_type(p.events, k) for k in catalog.
         F.count("*").alias("n"), F.sum("resp_p").alias("ports")),
     "SELECT log, count(*) AS n, CAST(sum(port) AS BIGINT) AS ports FROM (SELECT log, port FROM plant UNION ALL "
     "SELECT 'conn', port FROM flow) GROUP BY log")
-add("AGG-1", lambda p: p.edges, f"SELECT {EDGE}, first_seen, last_seen, packet_count, avg_interval_ms, is_periodic FROM edges")
+add("AGG-1", lambda p: p.folded, f"SELECT {EDGE}, first_seen, last_seen, packet_count, avg_interval_ms, is_periodic FROM edges")
 add("AGG-1-arrival", lambda p: fold.fold_edges(p.comm, fold.ARRIVAL).drop("first_seq"),
     """, a AS (
       SELECT orig_h AS src_ip, resp_h AS dst_ip, protocol, port, function_code,
@@ -34,7 +34,7 @@ add("AGG-1-arrival", lambda p: fold.fold_edges(p.comm, fold.ARRIVAL).drop("first
     SELECT *, CASE WHEN packet_count > 1 THEN (last_seen - first_seen) / 1e3 / (packet_count - 1) ELSE 0e0 END AS avg_interval_ms,
       packet_count > 1 AND (last_seen - first_seen) / 1e3 / greatest(packet_count - 1, 1) BETWEEN 100 AND 1000 AS is_periodic
     FROM a""")
-add("AGG-2", lambda p: p.devices.select("ip", "first_seen", "last_seen"), "SELECT ip, first_seen, last_seen FROM devices")
+add("AGG-2", lambda p: fold.fold_devices(p.folded).select("ip", "first_seen", "last_seen"), "SELECT ip, first_seen, last_seen FROM devices")
 add("AGG-2-arrival",
     lambda p: fold.fold_devices(fold.fold_edges(p.comm, fold.ARRIVAL), mode=fold.ARRIVAL).select("ip", "first_seen", "last_seen"),
     """SELECT ip, arg_min(ts_us, seq) AS first_seen, max(ts_us) AS last_seen FROM (

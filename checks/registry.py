@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from checks.base_sql import sql
 from checks.tables import Plant
+from wirebook.session import configure
 
 QUERIES: dict[str, Callable[[Plant], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -61,9 +62,7 @@ def rounded(df: DataFrame, *names: str, places: int | None = 6) -> DataFrame:
 
 def runner(query: Callable[[Plant], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        # Timestamps of the tables carry no zone and are read as UTC.
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return flat(query(Plant(spark, sf_dir)))
+        return flat(query(Plant(configure(spark), sf_dir)))
 
     return run
 

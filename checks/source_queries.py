@@ -10,6 +10,7 @@ from checks.registry import add, rounded
 from checks.tables import BASELINE_END_US, CLOSE_AT, T0_US, Plant, at, events_stream, plant_events, table, wall_us, zeek_lines
 from wirebook import catalog
 from wirebook.functions import casts, stats
+from wirebook.functions.once import compute_once
 from wirebook.operators import fold
 from wirebook.sources import messages, tables
 from wirebook.sources.events import normalize, of_type
@@ -123,8 +124,9 @@ def _faulty(p: Plant, prefix: str = "dev.") -> DataFrame:
 
 
 def _broken(sent: DataFrame, prefix: str) -> DataFrame:
-    number = F.regexp_extract("value", '"uid":"C([0-9]+)"', 1).cast("bigint")
-    way = number % 20
+    sent = compute_once(sent, value=F.col("value"))
+    sent = compute_once(sent, number=F.regexp_extract("value", '"uid":"C([0-9]+)"', 1).cast("bigint"))
+    number, way = F.col("number"), F.col("number") % 20
     value = F.col("value")
     return sent.select(
         F.when(way == 0, prefix + "raw.other").otherwise(F.col("topic")).alias("topic"),

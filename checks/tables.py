@@ -19,6 +19,7 @@ from wirebook import catalog
 from wirebook.operators import fold, roles, zones
 from wirebook.schemas import WIDE_EVENT
 from wirebook.sources.events import normalize
+from wirebook.sources.tables import shared_dir
 
 T0_US = 1704067200000000
 SHIP0_US = 788918400000000
@@ -220,6 +221,9 @@ def zeek_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 @dataclass(frozen=True)
 class Plant:
     """Lazily derived tables for one scale factor."""
@@ -236,9 +240,24 @@ class Plant:
         return normalize(self.events)
 
     @cached_property
-    def edges(self) -> DataFrame:
+    def folded(self) -> DataFrame:
+        """Edges straight from the events, for the queries about the fold."""
         return fold.fold_edges(self.comm)
 
+    @cached_property
+    def edges(self) -> DataFrame:
+        """The edge table as the other queries find it: folded and written.
+
+        It is written once per application and scale, to the shared folder,
+        so that a query that uses edges several times reads the events once.
+        """
+        key = (self.spark.sparkContext.applicationId, self.sf)
+        if key not in _STORED:
+            path = shared_dir(self.spark)
+            self.folded.write.parquet(path)
+            _STORED[key] = path
+        return self.spark.read.parquet(_STORED[key])
+
     @cached_property
     def devices(self) -> DataFrame:
         return fold.fold_devices(self.edges)

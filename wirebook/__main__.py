@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 from wirebook import catalog
 from wirebook.operators.detect import finding_counts, parse_allowlist
 from wirebook.plans.pipeline import run
+from wirebook.session import configure
 
 
 def _utc(text: str) -> datetime:
@@ -26,8 +27,7 @@ def main() -> None:
     parser.add_argument("--allowed-protocols", default=",".join(catalog.ALLOWED_PROTOCOLS))
     args = parser.parse_args()
     now = args.now or datetime.now(timezone.utc)
-    spark = SparkSession.builder.appName("wirebook").getOrCreate()
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark = configure(SparkSession.builder.appName("wirebook").getOrCreate())
     tables = run(
         spark,
         args.logs,

@@ -25,17 +25,17 @@ def to_ts(value: Column) -> Column:
 
 
 def to_int(value: Column, unset: Column | None = None, kind: str = "bigint") -> Column:
-    # A bare integer only: "1.5" must not be truncated to 1.
-    text = F.trim(value)
-    number = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast(kind))
+    # The cast takes surrounding blanks and a sign, and nothing after the digits.
+    number = value.try_cast(kind)
     return number if unset is None else F.when(value != unset, number)
 
 
 def to_float(value: Column, unset: Column | None = None) -> Column:
-    # Spark takes type suffixes ("1.0d") that are not numbers in a log.
-    text = F.trim(value)
-    pattern = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)$"
-    number = F.when(text.rlike(pattern), text.try_cast("double"))
+    # Java numbers may be hexadecimal or end in a type letter ("1.0d"); those
+    # are not numbers in a log, but "inf" is.
+    text = F.lower(F.trim(value))
+    typed = F.substring(text, -1, 1).isin("d", "f") & ~text.endswith("inf")
+    number = F.when(~typed & ~text.contains("x"), value.try_cast("double"))
     return number if unset is None else F.when(value != unset, number)
 
 
@@ -71,15 +71,18 @@ def iso_utc(ts: Column) -> Column:
     fraction = F.pmod(micros, F.lit(1000000))
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
     of_day = F.pmod(seconds, F.lit(86400))
-    clock = F.format_string(
-        "T%02d:%02d:%02d",
-        F.floor(of_day / 3600).cast("int"),
-        F.floor(of_day % 3600 / 60).cast("int"),
-        (of_day % 60).cast("int"),
-    )
+
+    def two(number: Column) -> Column:
+        return F.lpad(number.cast("int").cast("string"), 2, "0")
+
     return F.concat(
-        F.date_format(day, "yyyy-MM-dd"),
-        clock,
-        F.when(fraction != 0, F.format_string(".%06d", fraction)).otherwise(""),
+        day.cast("string"),
+        F.lit("T"),
+        two(F.floor(of_day / 3600)),
+        F.lit(":"),
+        two(F.floor(of_day % 3600 / 60)),
+        F.lit(":"),
+        two(of_day % 60),
+        F.when(fraction != 0, F.concat(F.lit("."), F.lpad(fraction.cast("string"), 6, "0"))).otherwise(""),
         F.lit("+00:00"),
     )

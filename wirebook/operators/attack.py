@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirebook import catalog
 from wirebook.functions.literals import lookup, string_array
+from wirebook.functions.once import compute_once
 
 
 def signal_index(techniques: DataFrame) -> DataFrame:
@@ -33,50 +36,71 @@ def signals(category: Column, function_code: Column, avg_interval_ms: Column) ->
     )
 
 
-def _by_signal() -> dict[str, list[str]]:
-    index: dict[str, list[str]] = {}
+def _by_signal() -> dict[str, list[catalog.Technique]]:
+    index: dict[str, list[catalog.Technique]] = {}
     for technique in catalog.TECHNIQUES:
         for signal in technique.detection_signals:
-            index.setdefault(signal, []).append(technique.technique_id)
+            index.setdefault(signal, []).append(technique)
     return index
 
 
-def _literal_map(entries: dict[str, Column]) -> Column:
-    return F.create_map(*[c for key, value in entries.items() for c in (F.lit(key), value)])
+_REFERENCES = (
+    "struct<technique_ids:array<string>,tactic_ids:array<string>,"
+    "techniques:array<struct<technique_id:string,name:string,tactic_id:string,tactic_name:string>>>"
+)
+
+
+def _reference(signals: list[str]) -> dict:
+    """What a finding with these signals refers to, in order, each once."""
+    index = _by_signal()
+    tactic_names = {t.tactic_id: t.name for t in catalog.TACTICS}
+    found = {t.technique_id: t for s in signals for t in index.get(s, [])}
+    return {
+        "technique_ids": list(found),
+        "tactic_ids": list(dict.fromkeys(t.tactic_id for t in found.values())),
+        "techniques": [
+            {
+                "technique_id": t.technique_id,
+                "name": t.name,
+                "tactic_id": t.tactic_id,
+                "tactic_name": tactic_names.get(t.tactic_id, "Unknown"),
+            }
+            for t in found.values()
+        ],
+    }
+
+
+def _references(signal: Column, extra: list[str]) -> Column:
+    """References of a main signal together with extra signals."""
+    # Constant text: parsed once, when the plan is optimized.
+    known = {s: _reference([s, *extra]) for s in _by_signal()}
+    table = F.from_json(F.lit(json.dumps(known)), f"map<string,{_REFERENCES}>")
+    return F.coalesce(F.try_element_at(table, signal), F.from_json(F.lit(json.dumps(_reference(extra))), _REFERENCES))
 
 
 def enrich(findings: DataFrame) -> DataFrame:
     """Add technique_ids, tactic_ids and techniques to a findings table.
 
-    The catalogue is a few dozen literals in the expression; no join.
+    What a finding refers to depends on its category and on two properties:
+    whether it writes and whether it has an interval.  Every combination is
+    worked out beforehand and kept as a literal, so a row costs one lookup.
     """
     have = set(findings.columns)
-
-    def column(name: str, kind: str) -> Column:
-        return F.col(name) if name in have else F.lit(None).cast(kind)
-
-    by_signal = _literal_map({s: string_array(ids) for s, ids in _by_signal().items()})
-    tactic_names = {t.tactic_id: t.name for t in catalog.TACTICS}
-    details = _literal_map(
-        {
-            t.technique_id: F.struct(
-                F.lit(t.technique_id).alias("technique_id"),
-                F.lit(t.name).alias("name"),
-                F.lit(t.tactic_id).alias("tactic_id"),
-                F.lit(tactic_names.get(t.tactic_id, "Unknown")).alias("tactic_name"),
-            )
-            for t in catalog.TECHNIQUES
-        }
-    )
-    found = signals(F.col("category"), column("function_code", "string"), column("avg_interval_ms", "double"))
-    none = F.array().cast("array<string>")
-    ids = F.array_distinct(F.flatten(F.transform(found, lambda s: F.coalesce(F.try_element_at(by_signal, s), none))))
-    techniques = F.transform("technique_ids", lambda i: F.try_element_at(details, i))
-    return (
-        findings.withColumn("technique_ids", ids)
-        .withColumn("techniques", techniques)
-        .withColumn("tactic_ids", F.array_distinct(F.transform("techniques", lambda t: t["tactic_id"])))
+    category = F.col("category")
+    signal = F.coalesce(lookup(catalog.CATEGORY_SIGNALS, category, "string"), category)
+    writes, timed = F.lit(False), F.lit(False)
+    if "function_code" in have:
+        writes = F.coalesce(F.upper("function_code").isin(catalog.WRITE_FUNCTION_CODES), F.lit(False))
+    if "avg_interval_ms" in have:
+        timed = F.col("avg_interval_ms").isNotNull()
+    by_write, by_time = ["write_register", "unusual_function_code"], ["interval_deviation"]
+    references = (
+        F.when(writes & timed, _references(signal, [*by_write, *by_time]))
+        .when(writes, _references(signal, by_write))
+        .when(timed, _references(signal, by_time))
+        .otherwise(_references(signal, []))
     )
+    return compute_once(findings, attack=references).select(*findings.columns, "attack.*")
 
 
 def summary_by_tactic(enriched: DataFrame) -> DataFrame:

@@ -66,11 +66,15 @@ def capture_baselines(
         stats.std_pop(_interval()).alias("interval_std"),
         F.coalesce(F.avg(_rate()), F.lit(0.0)).alias("packet_rate_mean"),
         stats.std_pop(_rate()).alias("packet_rate_std"),
-        F.sort_array(F.collect_set(F.when(F.col("protocol") != "", F.col("protocol")))).alias("protocols"),
         F.count_distinct(F.when(F.col("dst_ip") != "", F.col("dst_ip"))).alias("peer_count"),
         F.count(_interval()).alias("periodic_edge_count"),
         F.count("*").alias("total_edges"),
     )
+    # Distinct pairs first: a device has few protocols, however many edges.
+    spoken = inside.select(F.col("src_ip").alias("ip"), "protocol").distinct().groupBy("ip").agg(
+        F.sort_array(F.collect_set(F.when(F.col("protocol") != "", F.col("protocol")))).alias("protocols")
+    )
+    profile = profile.join(spoken, "ip")
     columns = [
         "ip",
         _at(captured_at).cast("timestamp").alias("captured_at"),

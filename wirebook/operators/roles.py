@@ -96,12 +96,16 @@ def device_profiles(
         n_out, n_in = F.count_distinct("dst_ip"), F.count_distinct("src_ip")
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    sent = out.groupBy("ip").agg(
+    # Sets are collected from distinct rows, of which a device has few; apart
+    # from the numbers, which then stay in a plain hash aggregation.
+    vocabulary = out.select("ip", "protocol", "port", "function_code").distinct().groupBy("ip").agg(
         F.sort_array(F.collect_set("protocol")).alias("protocols"),
         F.sort_array(F.collect_set("port")).alias("ports"),
         F.sort_array(F.collect_set(F.when(F.col("function_code") != "", F.col("function_code")))).alias(
             "function_codes"
         ),
+    )
+    sent = out.groupBy("ip").agg(
         n_out.alias("connections_out"),
         F.sum("packet_count").alias("total_packets_sent"),
         F.avg(F.when(F.col("avg_interval_ms") > 0, F.col("avg_interval_ms"))).alias("avg_interval_ms"),
@@ -117,7 +121,9 @@ def device_profiles(
         .agg(F.min(F.struct("purdue_level", F.col("name").alias("zone"))).alias("z"))
         .select("ip", "z.zone", F.col("z.purdue_level").alias("purdue_level"))
     )
-    profile = devices.select("ip", "role").join(sent, "ip", "left").join(received, "ip", "left").join(zone, "ip", "left")
+    profile = devices.select("ip", "role")
+    for part in (vocabulary, sent, received, zone):
+        profile = profile.join(part, "ip", "left")
     none = F.array().cast("array<string>")
     return profile.select(
         "ip",

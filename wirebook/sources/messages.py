@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wirebook import catalog
 from wirebook.functions import casts
+from wirebook.functions.literals import all_of
 from wirebook.functions.once import compute_once
 from wirebook.schemas import EVENT_SCHEMAS, REQUIRED, WIDE_EVENT
 
@@ -77,7 +78,6 @@ def decode_messages(messages: DataFrame, prefix: str = "") -> DataFrame:
     rows = messages.select(*kept, "topic", text.alias("value"), log.alias("log"))
     rows = compute_once(
         rows,
-        keys=F.json_object_keys("value"),
         **{
             kind: F.when(F.col("log") == kind, F.from_json("value", _text_schema(kind)))
             for kind in catalog.LOG_TYPES
@@ -89,19 +89,25 @@ def decode_messages(messages: DataFrame, prefix: str = "") -> DataFrame:
         (F.col(f.name) if f.name in checked else _converted(f.name, f.dataType.simpleString())).alias(f.name)
         for f in WIDE_EVENT.fields[1:]
     ]
-    complete = F.lit(False)
+    # A required field may be null but not absent.  Telling these apart takes a
+    # second look at the text, which only messages with a null are given.
+    full, complete = F.lit(False), F.lit(False)
     for kind in catalog.LOG_TYPES:
+        mine = F.col("log") == kind
+        full = F.when(mine, all_of([F.col(kind)[c].isNotNull() for c in REQUIRED[kind]])).otherwise(full)
         listed = F.array(*[F.lit(c) for c in REQUIRED[kind]])
-        complete = F.when(F.col("log") == kind, F.size(F.array_except(listed, F.col("keys"))) == 0).otherwise(complete)
+        complete = F.when(mine, F.size(F.array_except(listed, F.col("keys"))) == 0).otherwise(complete)
+    rows = compute_once(rows, full=full)
+    rows = compute_once(rows, keys=F.when(~F.col("full"), F.json_object_keys("value")))
     bad = F.col("ts").isNull() | F.col("orig_p").isNull() | F.col("resp_p").isNull()
-    return rows.select(*kept, "topic", "value", "log", "keys", *columns).withColumn(
-        "reason",
+    reason = (
         F.when(F.col("value").isNull(), "bad_encoding")
         .when(F.col("log") == "", "unknown_topic")
-        .when(F.col("keys").isNull(), "bad_json")
-        .when(~complete, "missing_field")
-        .when(bad, "bad_value"),
-    ).drop("keys")
+        .when(~F.col("full") & F.col("keys").isNull(), "bad_json")
+        .when(~F.col("full") & ~complete, "missing_field")
+        .when(bad, "bad_value")
+    )
+    return rows.select(*kept, "topic", "value", "log", *columns, reason.alias("reason"))
 
 
 def _converted(name: str, kind: str) -> Column:
