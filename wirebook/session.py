@@ -7,10 +7,6 @@ from pyspark.sql import SparkSession
 SETTINGS = {
     # Event times are UTC whatever the cluster's zone is.
     "spark.sql.session.timeZone": "UTC",
-    # The JVM does not compile methods beyond this size.  Wide projections,
-    # such as the parsing of a record, then run faster as separate functions
-    # than fused into one interpreted method.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
