@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.base_sql import ALLOWED, NEW
 from checks.registry import add
-from checks.tables import BASELINE_END_US, T0_US, at
+from checks.tables import BASELINE_END_US, at
 from wirebook import catalog
 from wirebook.operators import coverage, detect, fold, policy, views, zones
 from wirebook.sources.events import of_type, union_events

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from checks.base_sql import NEW
 from checks.registry import add, rounded
-from checks.tables import BASELINE_END_US, CLOSE_AT, T0_US, Plant, at, events_stream, plant_events, table, wall_us, zeek_lines
-from wirebook import catalog
+from checks.tables import BASELINE_END_US, CLOSE_AT, Plant, at, events_stream, plant_events, table, wall_us, zeek_lines
 from wirebook.functions import casts, stats
 from wirebook.functions.once import compute_once
 from wirebook.operators import fold
