@@ -8,7 +8,7 @@ new base now and then so that there are few deltas to merge.
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,10 +23,22 @@ PARTITIONS = "kind string, batch bigint"
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one the cluster names for shared files.
 
-    Only where none is set, as in tests, a local temporary folder is taken.
+    That is ``spark.checkpoint.dir``, or the warehouse where it is unset; both
+    are seen by every executor.  The folder goes when the driver ends.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wirebook-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir", None)
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{root.rstrip('/')}/wirebook-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is not None:
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def write_delta(edges: DataFrame, root: str, batch: int, kind: str = "delta") -> None:
