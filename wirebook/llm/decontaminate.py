@@ -11,6 +11,7 @@ on DataFrame functions.
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,35 +30,55 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(low, NOT_WORD), "")
 
 
-def _marks(rows: DataFrame, window: int, gram: int, name: str) -> DataFrame:
-    """Add the array ``name`` of (n, p, f): window length, word position and hash of each fingerprint.
+MARKS = "array<struct<n:int,p:int,f:bigint>>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for a row, however often it is used."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _marks(hashes: Column, window: int, gram: int) -> Column:
+    """(n, p, f): window length, word position and hash of each fingerprint.
 
     Of equal smallest hashes in a group the rightmost counts.  A group adds a
     fingerprint when it is the first, its smallest hash has changed, or the
     hash that enters it is as small.
     """
     wide = window - gram + 1
-    count = F.size("h")
-    grams = F.transform(F.sequence(F.lit(0), count - gram), lambda i: F.xxhash64(*[F.get("h", i + j) for j in range(gram)]))
-    rows = rows.withColumn("g", F.when(count >= window, grams))
-    if wide > 1:
-        groups = F.sequence(F.lit(0), F.size("g") - wide)
-        least = F.transform(groups, lambda i: F.least(*[F.get("g", i + j) for j in range(wide)]))
-        rows = rows.withColumn("f", F.when(F.col("g").isNotNull(), least))
-    else:
-        rows = rows.withColumn("f", F.col("g"))
 
-    def fresh(i: Column) -> Column:
-        return (i == 0) | (F.get("f", i) != F.get("f", i - 1)) | (F.get("g", i + wide - 1) == F.get("f", i))
+    def of_grams(g: Column) -> Column:
+        groups = F.sequence(F.lit(0), F.size(g) - wide)
+        least = F.transform(groups, lambda i: F.least(*[F.get(g, i + j) for j in range(wide)])) if wide > 1 else g
+        return _let(least, lambda f: of_least(g, f))
+
+    def of_least(g: Column, f: Column) -> Column:
+        def fresh(i: Column) -> Column:
+            return (i == 0) | (F.get(f, i) != F.get(f, i - 1)) | (F.get(g, i + wide - 1) == F.get(f, i))
+
+        def mark(i: Column) -> Column:
+            back = F.array_position(F.reverse(F.slice(g, i + 1, wide)), F.get(f, i)).cast("int")
+            return F.struct(F.lit(window).alias("n"), (i + wide - back).alias("p"), F.get(f, i).alias("f"))
+
+        return F.transform(F.filter(F.sequence(F.lit(0), F.size(f) - 1), fresh), mark)
+
+    each = F.sequence(F.lit(0), F.size(hashes) - gram)
+    grams = F.transform(each, lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(gram)]))
+    return F.when(F.size(hashes) >= window, _let(grams, of_grams)).otherwise(F.array().cast(MARKS))
+
+
+def _marked(text: Column, specs: list[tuple[int, int]]) -> Column:
+    """An array of one struct: the words, and the fingerprints for every (window, gram).
+
+    It is exploded, not projected, so that later steps do not compute it again.
+    """
 
-    def mark(i: Column) -> Column:
-        back = F.array_position(F.reverse(F.slice("g", i + 1, wide)), F.get("f", i)).cast("int")
-        return F.struct(F.lit(window).alias("n"), (i + wide - back).alias("p"), F.get("f", i).alias("f"))
+    def of_words(w: Column) -> Column:
+        hashes = F.transform(w, lambda x: F.xxhash64(x))
+        marks = _let(hashes, lambda h: F.concat(F.array().cast(MARKS), *[_marks(h, n, gram) for n, gram in specs]))
+        return F.struct(w.alias("words"), marks.alias("marks"))
 
-    at = F.filter(F.sequence(F.lit(0), F.size("f") - 1), fresh)
-    rows = rows.withColumn("at", F.when(F.col("f").isNotNull(), at))
-    none = F.array().cast("array<struct<n:int,p:int,f:bigint>>")
-    return rows.withColumn(name, F.coalesce(F.transform("at", mark), none)).drop("g", "f", "at")
+    return F.transform(F.array(words(text)), of_words)
 
 
 def _sides(p: Column, n: Column) -> list[Column]:
@@ -94,18 +115,15 @@ def contamination(
     spark = docs.sparkSession
     root = shared_dir(spark)
     items = benchmark.select(
-        F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), words(F.col(text)).alias("words")
-    ).where(F.size("words") > 0)
-    items = items.withColumn("h", F.transform("words", lambda w: F.xxhash64(w))).withColumn("length", F.least(F.size("h"), F.lit(WINDOW)))
+        F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(text).alias("text")
+    ).withColumn("length", F.least(F.size(words(F.col("text"))), F.lit(WINDOW)))
     # At most WINDOW different lengths.
-    lengths = sorted(r.length for r in items.select("length").distinct().collect())
+    lengths = sorted(r.length for r in items.where("length > 0").select("length").distinct().collect())
     specs = [(n, GRAM if n == WINDOW else n) for n in lengths]
-    ours = [
-        _marks(items.where(F.col("length") == n), n, gram, "marks").select("item", "words", F.explode("marks").alias("m"))
-        for n, gram in specs
-    ]
     prints = spark.createDataFrame([], "item string, n int, f bigint, left_i array<string>, right_i array<string>")
-    for part in ours:
+    for spec in specs:
+        part = items.where(F.col("length") == spec[0]).select("item", F.explode(_marked(F.col("text"), [spec])).alias("x"))
+        part = part.select("item", "x.words", F.explode("x.marks").alias("m"))
         left, right = _sides(F.col("m.p"), F.col("m.n"))
         prints = prints.unionByName(
             part.select("item", "m.n", "m.f", left.alias("left_i"), right.alias("right_i")).distinct()
@@ -113,15 +131,12 @@ def contamination(
     prints.write.parquet(f"{root}/prints")
     prints = spark.read.schema(prints.schema).parquet(f"{root}/prints")
 
-    rows = docs.select(F.struct(*[docs[c] for c in keep or docs.columns]).alias("row"), words(docs[text]).alias("words"))
-    rows = rows.withColumn("row_id", F.monotonically_increasing_id()).withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
-    names = []
-    for n, gram in specs:
-        rows = _marks(rows, n, gram, f"m{n}")
-        names.append(f"m{n}")
+    rows = docs.select(F.struct(*[docs[c] for c in keep or docs.columns]).alias("row"), docs[text].alias("text"))
+    rows = rows.withColumn("row_id", F.monotonically_increasing_id())
+    rows = rows.select("row", "row_id", F.explode(_marked(F.col("text"), specs)).alias("x"))
     # The first mark of every row stands for the row itself.
     self_ = F.array(F.struct(F.lit(0).alias("n"), F.lit(-1).alias("p"), F.lit(0).cast("bigint").alias("f")))
-    rows = rows.select("row", "row_id", "words", F.explode(F.concat(self_, *names)).alias("m"))
+    rows = rows.select("row", "row_id", "x.words", F.explode(F.concat(self_, "x.marks")).alias("m"))
     rows = rows.select("row", "row_id", "words", "m.n", "m.p", "m.f")
     kept = F.when(F.col("p") < 0, F.col("row")).alias("row")
     left, right = (c.alias(a) for c, a in zip(_sides(F.col("p"), F.col("n")), ("left_d", "right_d"), strict=True))
