@@ -1,5 +1,68 @@
-"""Corpus pipeline (stages are added as their operators are)."""
+"""Corpus pipeline: documents in, packed pieces out; each stage reads what the one before wrote."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wirebook.llm import decontaminate, jaccard, packing, quality, secret_scan
+from wirebook.sources.tables import shared_dir
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep."""
+    found = quality.quality(docs, _table(spark, sf_dir, "labels"))
+    return found.where("kept").select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: that with the smallest id.  Rows that repeat an id are one document."""
+    groups = jaccard.near_duplicates(docs)
+    # Without an id a row cannot be named, so it stays.
+    first = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("first_id")).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").select(*docs.columns)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    found = decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark"))
+    return found.where("NOT contaminated").select("row.*")
+
+
+def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret in their texts replaced."""
+    found = secret_scan.secret_spans(docs)
+    changed = {"text": F.coalesce("clean", "row.text"), "n_chars": F.coalesce(F.length("clean"), "row.n_chars")}
+    return found.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their place in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_passages),
+    ("secret scans", secret_spans),
+    ("best-fit packing", best_fit),
+]
+
+#: Token ids and log ratios are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, docs = shared_dir(spark), _table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        out.write.parquet(f"{root}/stage-{k}")
+        docs = spark.read.schema(out.schema).parquet(f"{root}/stage-{k}")
+    return docs

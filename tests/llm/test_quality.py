@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -40,17 +41,20 @@ def scores(texts, good):
 
 
 def texts():
-    clean = "this is a plain sentence about rivers and hills number {} with more words "
-    out = odd_texts() + [(20 + i, (clean * 8).format(*range(i, i + 8)) + "\nline\nline\n \n \n") for i in range(10)]
+    random.seed(8)
+    plain = [a + b for a in "river hill road tree stone house field cloud".split() for b in ("", "s", "side", "ward", "ly")]
+    clean = lambda: " ".join(random.choice(plain) for _ in range(900))
+    out = odd_texts() + [(20 + i, clean() + "\nline\nline\n \n \n") for i in range(10)]
     junk = [(40 + i, " ".join(f"w{i}{j}%%% | $$$x{j * i}" for j in range(60))) for i in range(5)]
     return out + junk + [(60, "same again and " * 40), (61, "ab")]
 
 
 def test_against_brute_force(spark, docs):
-    labels = spark.createDataFrame([(20, 1), (21, 1), (22, 1), (40, 0), (41, 0), (999, 1), (None, 1), (23, None)], LABELS)
+    labels = spark.createDataFrame([*((i, 1) for i in range(20, 28)), (40, 0), (41, 0), (999, 1), (None, 1), (29, None)], LABELS)
     got = quality.quality(docs(*texts()), labels).collect()
     expected = {}
-    for (i, t), score in zip(texts(), scores(texts(), {20, 21, 22}), strict=True):
+    rows = texts()
+    for (i, t), score in zip(rows, scores(rows, set(range(20, 28))), strict=True):
         expected[i] = (*base(t), score)
     assert len(got) == len(texts())
     for r in got:

@@ -37,7 +37,7 @@ def _grams(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     N-grams do not cross texts; a text shorter than an n-gram has none.
     """
     ends = np.concatenate(([0], np.cumsum(pc.binary_length(part).to_numpy(zero_copy_only=False)))).astype(np.int64)
-    first = part.offsets[0].as_py()
+    first = int(np.frombuffer(part.buffers()[1], "<i8", 1, 8 * part.offset)[0]) if len(part) else 0
     data = np.frombuffer(part.buffers()[2] or b"", np.uint8)[first : first + ends[-1]].astype(np.uint32)
     if len(data) < GRAM:
         return np.zeros(0, np.int64), np.zeros(len(ends), np.int64)

@@ -35,7 +35,7 @@ KNOWN = [
     re.compile(r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"),
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
     re.compile(r"[0-9+/_=-]+"),  # numbers, dates, rules
-    re.compile(r"(sha\d+|md5)[-_=]?[A-Za-z0-9+/]+=*"),
+    re.compile(r"(sha\d+|md5)[-_=]?[A-Za-z0-9+/]+=*", re.IGNORECASE),
 ]
 #: Fewest characters for each token that count as prose.
 RATIO = 2.0
