@@ -56,6 +56,7 @@ WITH ev AS (
     {T0_US} + (epoch_us(l_shipdate) - {SHIP0_US}) // (CASE l_suppkey % 2 WHEN 0 THEN 140000000 ELSE 14000000 END) AS ts_us,
     CASE WHEN l_partkey % 11 = 0 THEN '10.3.' || (l_partkey // 250) || '.' || (l_partkey % 250)
          ELSE '10.2.' || (l_suppkey // 250) || '.' || (l_suppkey % 250) END AS orig_h,
+    'L-' || l_orderkey || '-' || l_linenumber AS uid, 50000 AS orig_p, CAST(l_quantity AS DOUBLE) AS duration,
     CASE WHEN l_partkey % 11 = 0 THEN '10.2.' || (l_suppkey // 250) || '.' || (l_suppkey % 250)
          ELSE '10.3.' || (l_partkey // 250) || '.' || (l_partkey % 250) END AS resp_h,
     ['opc-ua','https','mssql','bacnet',NULL,'dns','s7comm',''][l_partkey % 8 + 1] AS service,
@@ -139,7 +140,7 @@ WITH ev AS (
          CAST(coalesce(s.seconds, 600) AS DOUBLE) AS threshold_s
   FROM named n LEFT JOIN silence_s s ON s.role = lower(n.role)
 ), tactics AS (
-  SELECT * FROM (VALUES {_values((i, *t[:2]) for i, t in enumerate(catalog.TACTICS))}) v(idx, tactic_id, name)
+  SELECT * FROM (VALUES {_values((i, *t[:3]) for i, t in enumerate(catalog.TACTICS))}) v(idx, tactic_id, name, description)
 ), techniques AS (
   SELECT * FROM (VALUES {", ".join(
       f"({i}, {_text(t.technique_id)}, {_text(t.name)}, {_text(t.tactic_id)}, {_list(t.detection_signals)})"

@@ -68,9 +68,9 @@ add("DET-3", lambda p: detect.new_edges(p.edges, CUT), NEW_EDGES)
 add("DET-4", lambda p: detect.interval_deviation(p.edges), DEVIATION)
 add("DET-5", lambda p: detect.unknown_protocol(p.edges), UNKNOWN)
 add("DET-5-empty", lambda p: detect.unknown_protocol(p.edges, []), f"SELECT {EDGE}, packet_count, first_seen FROM edges")
-add("DET-5-table", lambda p: detect.unknown_protocol(p.edges, p.edges.where("packet_count > 2").select("protocol")),
+add("DET-5-table", lambda p: detect.unknown_protocol(p.edges, p.edges.where("packet_count > 6").select("protocol")),
     f"SELECT {EDGE}, packet_count, first_seen FROM edges WHERE protocol NOT IN "
-    "(SELECT protocol FROM edges WHERE packet_count > 2)")
+    "(SELECT protocol FROM edges WHERE packet_count > 6)")
 FOUND = ["category", "ip", "src_ip", "dst_ip", "protocol", "port", "function_code", "packet_count", "avg_interval_ms",
          "src_zone", "dst_zone"]
 add("DET-6", lambda p: detect.findings(p.edges, p.devices, p.two_zones, p.zones, CUT).select(*FOUND),
@@ -163,8 +163,7 @@ add("SRC-17", lambda p: views.dashboard_stats(p.edges, p.devices, p.two_zones, p
 
 # -------------------------------------------------- ordering, set operations
 
-add("ORD-1", lambda p: detect.interval_deviation(p.edges).limit(25),
-    DEVIATION + " ORDER BY avg_interval_ms, src_ip, dst_ip, protocol, port, function_code LIMIT 25")
+add("ORD-1", lambda p: detect.interval_deviation(p.edges), DEVIATION)
 add("ORD-2", lambda p: views.list_devices(p.devices, p.device_zone, 0, 20).select("ip", "zone"),
     "SELECT ip, zone_name AS zone FROM devices LEFT JOIN dz USING (ip) ORDER BY ip LIMIT 20")
 add("SET-4", lambda p: p.edges.select("protocol", "port").distinct(), "SELECT DISTINCT protocol, port FROM edges")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.base_sql import NEW
 from checks.registry import add, rounded
-from checks.tables import BASELINE_END_US, CLOSE_AT, Plant, at, events_stream, plant_events, table, wall_us, zeek_lines
+from checks.tables import CLOSE_SHARE, T0_US, Plant, at, events_stream, plant_events, table, wall_us, zeek_lines
 from wirebook.functions import casts, stats
 from wirebook.functions.once import compute_once
 from wirebook.operators import fold
+from wirebook.schemas import EVENT_SCHEMAS
 from wirebook.sources import messages, tables
 from wirebook.sources.events import normalize, of_type
 from wirebook.sources.zeek import parse_lines
@@ -20,7 +20,7 @@ EDGE = "src_ip, dst_ip, protocol, port, function_code"
 
 # ---------------------------------------------------------------- log lines
 
-LINES = f""", ln AS (SELECT *, user_id % 6 AS log_no FROM ev WHERE user_id % 6 <> 4 OR event_id < {CLOSE_AT}),
+LINES = f""", ln AS (SELECT *, user_id % 6 AS log_no FROM ev WHERE user_id % 6 <> 4 OR event_id < (SELECT floor(max(event_id) * CAST({CLOSE_SHARE} AS DOUBLE)) FROM ev)),
   ok AS (SELECT *, us AS ts, 'C' || event_id AS uid, '10.0.0.' || (user_id % 12) AS orig_h, 40000 + k AS orig_p,
     '10.1.0.' || (k % 4) AS resp_h, 502 AS resp_p FROM ln WHERE k % 17 <> 0 AND k % 20 <> 0)
 """
@@ -98,9 +98,25 @@ ENDS = (f"'{{\"ts\":\"' || {_ts_text('ts_us')} || '\",\"uid\":\"' || uid || '\",
 JSON_MODBUS = f"{ENDS} || ',\"func\":\"' || func || '\",\"exception\":' || {_q('exception')} || '}}'".replace("}}", "}")
 JSON_DNP3 = (f"{ENDS} || ',\"fc_request\":\"' || fc_request || '\",\"fc_reply\":' || {_q('fc_reply')} || ',\"iin\":' || "
              "coalesce(CAST(iin AS VARCHAR), 'null') || '}'")
-add("SRC-7", lambda p: messages.to_messages(plant_events(table(p.spark, p.sf, "events"))).where(~F.col("topic").endswith("conn")),
+
+
+def _json_conn(**values: str) -> str:
+    """A conn message; fields not given are null."""
+    names = EVENT_SCHEMAS["conn"].names[6:]
+    return f"{ENDS} || '" + "".join(f',"{n}":' + (f"' || coalesce({values[n]}, 'null') || '" if n in values else "null") for n in names) + "}'"
+
+
+def _quoted(x: str) -> str:
+    return f"'\"' || {x} || '\"'"
+
+
+PLANT_CONN = _json_conn(proto=_quoted("proto"), service=_quoted("service"), duration="CAST(duration AS VARCHAR)", orig_bytes="CAST(orig_bytes AS VARCHAR)",
+                        conn_state=_quoted("'SF'"), local_orig="CAST(local_orig AS VARCHAR)", tunnel_parents="'[\"' || tunnel_parents || '\"]'")
+FLOW_CONN = _json_conn(proto=_quoted("proto"), service=_quoted("service"), duration="CAST(duration AS VARCHAR)", conn_state=_quoted("'SF'"))
+add("SRC-7", lambda p: messages.to_messages(p.events),
     f"""SELECT 'raw.' || log AS topic, orig_h || ':' || resp_h AS key,
-      CASE log WHEN 'modbus' THEN {JSON_MODBUS} ELSE {JSON_DNP3} END AS value FROM plant WHERE log <> 'conn'""")
+      CASE log WHEN 'modbus' THEN {JSON_MODBUS} WHEN 'dnp3' THEN {JSON_DNP3} ELSE {PLANT_CONN} END AS value FROM plant
+    UNION ALL SELECT 'raw.conn', orig_h || ':' || resp_h, {FLOW_CONN} FROM flow""")
 add("SRC-8", lambda p: messages.to_messages(p.events, "site1.").groupBy("topic").agg(F.count("*").alias("n")),
     "SELECT 'site1.raw.' || log AS topic, count(*) AS n FROM (SELECT log FROM plant UNION ALL SELECT 'conn' FROM flow) GROUP BY ALL")
 
@@ -167,6 +183,9 @@ add("FN-S", lambda p: p.edges.groupBy(F.upper(F.trim("protocol")).alias("p"), F.
 
 # ----------------------------------------------------------------- streams
 
+#: Some of the plant's devices and edges are first seen after this.
+EARLY_END_US = T0_US + 2_000
+
 PLANT_EDGES = """, pe AS (SELECT orig_h AS src_ip, resp_h AS dst_ip, CASE WHEN log = 'conn' THEN service ELSE log END AS protocol, port,
     CASE log WHEN 'modbus' THEN func WHEN 'dnp3' THEN fc_request ELSE 'flow' END AS function_code,
     min(ts_us) AS first_seen, max(ts_us) AS last_seen, count(*) AS packet_count FROM plant WHERE {where} GROUP BY ALL)
@@ -177,7 +196,7 @@ PLANT_EDGES = """, pe AS (SELECT orig_h AS src_ip, resp_h AS dst_ip, CASE WHEN l
 def _consumed(p: Plant) -> str:
     """Run the consumer over the events table and return its folder."""
     root = tables.shared_dir(p.spark)
-    sent = _broken(messages.to_messages(plant_events(events_stream(p.spark, p.sf)), "dev."), "dev.")
+    sent = _broken(messages.to_messages(plant_events(events_stream(p.spark, p.sf, 3)), "dev."), "dev.")
     query = consume.start_consumer(sent, root, f"{root}/checkpoint", "dev.", available_now=True)
     query.awaitTermination()
     return root
@@ -197,7 +216,7 @@ def _stream(p: Plant, df: DataFrame, mode: str) -> DataFrame:
 
 
 def _comm_stream(p: Plant) -> DataFrame:
-    return normalize(plant_events(events_stream(p.spark, p.sf)).withWatermark("ts", "10 minutes"))
+    return normalize(plant_events(events_stream(p.spark, p.sf, 3)).withWatermark("ts", "10 minutes"))
 
 
 add("STR-1", lambda p: tables.read_edges(p.spark, f"{_consumed(p)}/edges"), PLANT_EDGES.format(where=GOOD))
@@ -235,12 +254,20 @@ add("STR-4", lambda p: rounded(_stream(p, monitor.rolling_baseline(_feed_stream(
       CAST(sum(packet_count) AS BIGINT) AS total_packets, round(avg(value), 6) AS mean_interval_ms, count(DISTINCT protocol) AS protocol_count
       FROM feed GROUP BY ALL)
     SELECT * FROM t WHERE window_end <= (SELECT max(us) // 1000 * 1000 - 600000000 FROM feed)""")
-add("STR-5", lambda p: _stream(p, monitor.new_edge_alerts(_comm_stream(p), at(BASELINE_END_US),
-        fold.fold_edges(normalize(plant_events(table(p.spark, p.sf, "events")))).where(F.col("first_seen") <= at(BASELINE_END_US))), "append")
-        .select(*fold.EDGE_KEY),
-    PLANT_EDGES.format(where="true").replace("SELECT *, CASE", ", f AS (SELECT *, CASE") + f") SELECT {EDGE} FROM f WHERE first_seen > {NEW}")
-add("STR-5-devices", lambda p: _stream(p, monitor.new_device_alerts(_comm_stream(p), at(BASELINE_END_US)), "append").select("ip"),
-    f"SELECT DISTINCT unnest([orig_h, resp_h]) AS ip FROM plant WHERE ts_us > {NEW}")
+NEW_KEYS = PLANT_EDGES.format(where="true").replace("SELECT *, CASE", ", f AS (SELECT *, CASE") + ") "
+
+
+def _alerts(p: Plant, alerts: DataFrame, keys: list[str]) -> DataFrame:
+    """What is new by the last state of each key."""
+    last = _stream(p, alerts, "update").groupBy(*keys).agg(F.max_by(F.struct("seen_at", "is_new"), "batch").alias("s"))
+    return last.where("s.is_new").select(*keys, "s.seen_at")
+
+
+add("STR-5", lambda p: _alerts(p, monitor.new_edge_alerts(_comm_stream(p), at(EARLY_END_US)), fold.EDGE_KEY),
+    NEW_KEYS + f"SELECT {EDGE}, first_seen AS seen_at FROM f WHERE first_seen > {EARLY_END_US}")
+add("STR-5-devices", lambda p: _alerts(p, monitor.new_device_alerts(_comm_stream(p), at(EARLY_END_US)), ["ip"]),
+    f"""SELECT ip, min(ts_us) AS seen_at FROM (SELECT orig_h AS ip, ts_us FROM plant UNION ALL SELECT resp_h, ts_us FROM plant)
+    GROUP BY ip HAVING min(ts_us) > {EARLY_END_US}""")
 
 
 def _silence(p: Plant) -> DataFrame:

@@ -8,6 +8,7 @@ so the work grows with them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 from functools import cached_property
@@ -133,9 +134,13 @@ def flow_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def events_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The events table as a file stream."""
+def events_stream(spark: SparkSession, sf: str, batches: int = 1) -> DataFrame:
+    """The events table as a file stream, in one batch or dealt out over several."""
     schema = table(spark, sf, "events").schema
+    if batches > 1:
+        path = shared_dir(spark)
+        table(spark, sf, "events").repartition(batches, "event_id").write.parquet(path)
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
@@ -155,14 +160,15 @@ LOGS = [
     ("conn", "\t", "\\x09", "-"),
     ("http", "\t", "\\x09", "-"),
 ]
-CLOSE_AT = 3000
+#: Log 4 is closed before this share of the last event number.
+CLOSE_SHARE = 0.9
 
 
 def zeek_lines(spark: SparkSession, sf: str) -> DataFrame:
     """The events written as lines of six Zeek logs, with faults in them.
 
     Every 17th k lacks a field, every 20th has a bad port, log 4 is closed
-    after some thousand events, log 5 is of a kind that is not read.
+    after nine tenths of the events, log 5 is of a kind that is not read.
     """
     k = F.col("k")
     log_no = (F.col("user_id") % 6).cast("int")
@@ -211,9 +217,9 @@ def zeek_lines(spark: SparkSession, sf: str) -> DataFrame:
         ]]))
     header = F.element_at(F.array(*headers), F.col("log_no") + 1)
     top = data.select("log_no").distinct().select("log_no", F.posexplode(header).alias("line_no", "line"))
-    close = data.where("log_no = 4").select("log_no").distinct().select(
-        "log_no", F.lit(CLOSE_AT + 100).alias("line_no"), F.lit("#close\t2024").alias("line")
-    )
+    last_line = F.floor(F.max(F.col("line_no") - 100) * CLOSE_SHARE) + 100
+    close = data.groupBy().agg(last_line.alias("line_no"), F.max(F.when(F.col("log_no") == 4, 4)).alias("log_no"))
+    close = close.where("log_no = 4").select("log_no", "line_no", F.lit("#close\t2024").alias("line"))
     lines = data.unionByName(top).unionByName(close)
     return lines.select(
         F.concat(F.lit("log"), text(F.col("log_no"))).alias("file"), F.lit(0).alias("log_rank"),
@@ -221,7 +227,7 @@ def zeek_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple[str, str, str], str] = {}
 
 
 @dataclass(frozen=True)
@@ -251,10 +257,13 @@ class Plant:
         It is written once per application and scale, to the shared folder,
         so that a query that uses edges several times reads the events once.
         """
-        key = (self.spark.sparkContext.applicationId, self.sf)
+        return self._stored("edges", lambda: self.folded)
+
+    def _stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf, name)
         if key not in _STORED:
             path = shared_dir(self.spark)
-            self.folded.write.parquet(path)
+            make().write.parquet(path)
             _STORED[key] = path
         return self.spark.read.parquet(_STORED[key])
 
@@ -272,7 +281,8 @@ class Plant:
 
     @cached_property
     def device_zone(self) -> DataFrame:
-        return zones.auto_assign_zones(self.edges, self.zones)
+        """Zones of devices, stored like the edges they come from, as the pipeline does."""
+        return self._stored("device_zone", lambda: zones.auto_assign_zones(self.edges, self.zones))
 
     @cached_property
     def two_zones(self) -> DataFrame:

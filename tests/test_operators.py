@@ -153,7 +153,8 @@ def test_snapshots_latest_and_age(spark, edges, tmp_path):
     path = str(tmp_path / "snapshots")
     for when in (60, 120):
         baseline.save_snapshots(baseline.capture_baselines(e, T0, at(60), at(when)), fold.fold_devices(e), path)
-    saved = spark.read.parquet(path)
+    saved = baseline.read_snapshots(spark, path)
+    assert baseline.read_snapshots(spark, path, at(100)).count() == 1 and "captured_at" in saved.columns
     assert saved.count() == 2 and rows(baseline.latest_snapshots(saved).select(F.unix_timestamp("captured_at"))) == [(int(at(120).timestamp()),)]
     assert baseline.baseline_ages(saved, at(150)).first().age_seconds == 30.0
 

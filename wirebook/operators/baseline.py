@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirebook.functions import stats
 
 Z_LIMIT = 3.0
+#: Length of a baseline where none is given.
+DEFAULT_WINDOW = timedelta(hours=24)
+#: Folder column of the snapshot table: the time of capture in microseconds.
+CAPTURE = "capture_us"
 
 
 def _at(value: datetime | Column) -> Column:
@@ -146,8 +150,20 @@ def score_all_devices(edges: DataFrame, baselines: DataFrame) -> DataFrame:
 
 
 def save_snapshots(baselines: DataFrame, devices: DataFrame, path: str) -> None:
-    """Append the baselines of known devices to the snapshot table."""
-    baselines.join(devices.select("ip"), "ip", "left_semi").write.mode("append").parquet(path)
+    """Append the baselines of known devices to the snapshot table, by time of capture.
+
+    Reads of one capture or of the latest prune the others by their folder.
+    """
+    kept = baselines.join(devices.select("ip"), "ip", "left_semi").withColumn(CAPTURE, F.unix_micros("captured_at"))
+    kept.write.mode("append").partitionBy(CAPTURE).parquet(path)
+
+
+def read_snapshots(spark: SparkSession, path: str, since: datetime | Column | None = None) -> DataFrame:
+    """Stored snapshots, of captures from ``since`` on."""
+    stored = spark.read.parquet(path)
+    if since is not None:
+        stored = stored.where(F.col(CAPTURE) >= F.unix_micros(_at(since).cast("timestamp")))
+    return stored.drop(CAPTURE)
 
 
 def latest_snapshots(snapshots: DataFrame, ips: DataFrame | None = None) -> DataFrame:

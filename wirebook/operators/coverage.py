@@ -153,6 +153,36 @@ def coverage_report(
     return report.withColumn("coverage_score", F.bround(coverage_score(), 3))
 
 
+def coverage_details(edges: DataFrame, device_zone: DataFrame, zones: DataFrame) -> DataFrame:
+    """The rows behind the report: (kind, name, purdue_level, devices, sent, received, blind_spot).
+
+    Every zone, blind or not, and every device that only sends or only
+    receives.  Both come from one table of degrees per device.
+    """
+    per_device = degrees(edges)
+    stats = zone_statistics(edges, device_zone, zones, ordered=False)
+    rows = stats.select(
+        F.lit("zone").alias("kind"),
+        F.col("zone_name").alias("name"),
+        "purdue_level",
+        F.col("device_count").alias("devices"),
+        F.col("outbound_edges").alias("sent"),
+        F.col("inbound_edges").alias("received"),
+        "blind_spot",
+    )
+    sent, received = F.col("out_edges"), F.col("in_edges")
+    one_way = per_device.where((sent == 0) != (received == 0)).select(
+        F.lit("asymmetric_device").alias("kind"),
+        F.col("ip").alias("name"),
+        F.lit(None).cast("int").alias("purdue_level"),
+        F.lit(None).cast("bigint").alias("devices"),
+        sent.cast("bigint").alias("sent"),
+        received.cast("bigint").alias("received"),
+        F.lit(None).cast("boolean").alias("blind_spot"),
+    )
+    return rows.unionByName(one_way)
+
+
 def coverage_score() -> Column:
     """Penalties for blind and empty zones, unzoned devices, missing protocols."""
     score = (

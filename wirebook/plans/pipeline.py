@@ -75,6 +75,9 @@ def run(
     logs = read_zeek(spark, log_directory)
     graph = build_graph(normalize(logs.events), root)
     g = graph
+    captured = baseline.capture_baselines(g.edges, now - baseline.DEFAULT_WINDOW, now, now)
+    baseline.save_snapshots(captured, g.devices, f"{root}/snapshots")
+    latest = baseline.latest_snapshots(baseline.read_snapshots(spark, f"{root}/snapshots"))
     reports = {
         "findings": findings(graph, baseline_end, allowed),
         "stats": views.dashboard_stats(g.edges, g.devices, g.device_zone, g.zones, baseline_end, allowed),
@@ -82,7 +85,9 @@ def run(
         "gaps": coverage.all_gaps(g.edges, g.devices, g.device_zone, g.zones, g.conduits),
         "silence": coverage.silent_devices(g.edges, g.devices, now, ordered=False),
         "process_deviations": procid.process_deviations(g.edges, ordered=False),
-        "baselines": baseline.capture_baselines(g.edges, datetime.fromtimestamp(0, now.tzinfo), now, now),
+        "baselines": latest,
+        "scores": baseline.score_all_devices(g.edges, latest),
+        "baseline_ages": baseline.baseline_ages(latest, now),
         "rejected": logs.rejected,
     }
     written = {}

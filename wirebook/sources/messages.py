@@ -83,7 +83,7 @@ def decode_messages(messages: DataFrame, prefix: str = "") -> DataFrame:
             for kind in catalog.LOG_TYPES
         },
     )
-    checked = {name: _converted(name, kind) for name, kind in (("ts", ""), ("orig_p", "int"), ("resp_p", "int"))}
+    checked = {name: _converted(name, kind) for name, kind in (("ts", ""), ("orig_p", "port"), ("resp_p", "port"))}
     rows = compute_once(rows, **checked)
     columns = [
         (F.col(f.name) if f.name in checked else _converted(f.name, f.dataType.simpleString())).alias(f.name)
@@ -114,6 +114,9 @@ def _converted(name: str, kind: str) -> Column:
     text = F.coalesce(*[F.col(log)[name] for log in catalog.LOG_TYPES if name in EVENT_SCHEMAS[log].names])
     if name == "ts":
         return casts.parse_iso_ts(text)
+    if kind == "port":
+        # A number with a fraction of zero is taken too.
+        return casts.to_int(F.regexp_replace(text, r"^(\s*[+-]?\d+)\.0*\s*$", "$1"), kind="int")
     if kind in ("int", "bigint"):
         return casts.to_int(text, kind=kind)
     if kind == "double":

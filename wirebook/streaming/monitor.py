@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wirebook import catalog
-from wirebook.operators.coverage import severity, threshold_for_role
+from wirebook.operators.coverage import threshold_for_role
 from wirebook.operators.detect import cutoff
 from wirebook.operators.fold import interval_columns
 from wirebook.operators.windows import sliding_window, tumbling_window
@@ -35,23 +35,29 @@ def running_edges(comm: DataFrame) -> DataFrame:
 
 
 def new_edge_alerts(comm: DataFrame, baseline_end: datetime | Column, known: DataFrame | None = None) -> DataFrame:
-    """One alert per edge that is first seen after the baseline.
+    """Edges with their earliest time, and whether that is after the baseline; write in update mode.
 
-    State drops repeats before the join with the known edges, so the known
-    table is compared with new keys only.
+    The earliest time of every key is state, so a key seen before the cutoff is
+    no alert, whenever it comes back; one whose earlier rows come late turns
+    from new to not new.  With ``known`` its keys are left out, and only rows
+    after the cutoff need state.
     """
-    fresh = comm.where(F.col("ts") > cutoff(baseline_end)).select(*_keys(), F.col("ts").alias("seen_at"))
-    fresh = fresh.dropDuplicates(EDGE_KEY)
-    return fresh if known is None else _unknown(fresh, known, EDGE_KEY)
+    return _first_seen(comm.select(*_keys(), F.col("ts").alias("seen_at")), EDGE_KEY, baseline_end, known)
 
 
 def new_device_alerts(comm: DataFrame, baseline_end: datetime | Column, known: DataFrame | None = None) -> DataFrame:
-    """One alert per device that is first seen after the baseline."""
-    fresh = comm.where(F.col("ts") > cutoff(baseline_end)).select(
-        F.explode(F.array_distinct(F.array("orig_h", "resp_h"))).alias("ip"), F.col("ts").alias("seen_at")
-    )
-    fresh = fresh.dropDuplicates(["ip"])
-    return fresh if known is None else _unknown(fresh, known, ["ip"])
+    """Devices that are first seen after the baseline, as for edges."""
+    seen = comm.select(F.explode(F.array_distinct(F.array("orig_h", "resp_h"))).alias("ip"), F.col("ts").alias("seen_at"))
+    return _first_seen(seen, ["ip"], baseline_end, known)
+
+
+def _first_seen(seen: DataFrame, keys: list[str], baseline_end: datetime | Column, known: DataFrame | None) -> DataFrame:
+    after = F.col("seen_at") > cutoff(baseline_end)
+    if known is not None:
+        seen = seen.where(after)
+    first = seen.groupBy(*keys).agg(F.min("seen_at").alias("seen_at"))
+    first = first.withColumn("is_new", after)
+    return first if known is None else _unknown(first, known, keys)
 
 
 def _unknown(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
@@ -92,7 +98,6 @@ def silence_alerts(
         "last_seen",
         F.col("session.end").alias("silent_at"),
         "threshold_s",
-        severity(F.col("threshold_s"), F.col("threshold_s")).alias("severity"),
         "packets",
     )
 
