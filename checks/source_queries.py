@@ -13,7 +13,7 @@ from wirebook.operators import fold
 from wirebook.schemas import EVENT_SCHEMAS
 from wirebook.sources import messages, tables
 from wirebook.sources.events import normalize, of_type
-from wirebook.sources.zeek import parse_lines
+from wirebook.sources.zeek import parse_lines, read_zeek
 from wirebook.streaming import consume, monitor
 
 EDGE = "src_ip, dst_ip, protocol, port, function_code"
@@ -35,6 +35,20 @@ def _headers(p: Plant) -> DataFrame:
     return _parsed(p).parsed.groupBy("file", "log").agg(F.count("*").alias("lines"), F.count("reason").alias("rejected"))
 
 
+def _log_tree(p: Plant) -> str:
+    """The same lines as files below one folder, a file for each log."""
+    path = tables.shared_dir(p.spark)
+    lines = zeek_lines(p.spark, p.sf).repartition("file").sortWithinPartitions("file", "line_no")
+    lines.select("file", "line").write.partitionBy("file").text(path)
+    return path
+
+
+add("SRC-1", lambda p: read_zeek(p.spark, _log_tree(p), ("part-*",)).parsed.select(
+        F.regexp_extract("file", "file=(log[0-9])", 1).alias("file"), "log", F.regexp_extract("line", "C([0-9]+)", 1).cast("bigint").alias("event_id"),
+        "reason", "ts", "orig_h", "resp_p"),
+    LINES + """SELECT 'log' || log_no AS file, ['modbus','modbus','dnp3','conn','conn'][log_no + 1] AS log, event_id,
+      CASE WHEN k % 17 = 0 THEN 'field_count' WHEN k % 20 = 0 THEN 'bad_value' END AS reason, us AS ts, '10.0.0.' || (user_id % 12) AS orig_h, 502 AS resp_p
+    FROM ln WHERE log_no < 5""")
 add("SRC-2", _headers,
     LINES + """SELECT 'log' || log_no AS file, ['modbus','modbus','dnp3','conn','conn'][log_no + 1] AS log, count(*) AS lines,
       count(*) FILTER (k % 17 = 0 OR k % 20 = 0) AS rejected FROM ln WHERE log_no < 5 GROUP BY ALL""")

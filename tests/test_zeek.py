@@ -35,15 +35,11 @@ def write(directory, name, text):
     (directory / name).write_text(text)
 
 
-LIMITS = [64 << 20, -1]
-
-
-@pytest.mark.parametrize("limit", LIMITS)
-def test_records_of_each_kind(spark, tmp_path, limit):
+def test_records_of_each_kind(spark, tmp_path):
     write(tmp_path / "a", "modbus.log", log("modbus", MODBUS, [modbus("1093521704.839184", "C1"), modbus("1704067201.0", "C2", exception="ILLEGAL_FUNCTION")]))
     write(tmp_path / "a", "dnp3.log", log("dnp3", DNP3, [[*modbus("1704067202", "C3")[:6], "-", "-", "-"], [*modbus("1704067203", "C4")[:6], "READ", "RESPONSE", "36866"]]))
     write(tmp_path / "b", "conn.log", log("conn", CONN, [CONN_ROW, [*CONN_ROW[:7], "-", "-", "-", "-", "SF", "-", "t", *CONN_ROW[14:20], "u1,u2"]]))
-    events = read_zeek(spark, str(tmp_path), whole_file_limit=limit).events
+    events = read_zeek(spark, str(tmp_path)).events
     m = of_type(events, "modbus").orderBy("uid").collect()
     assert m[0].ts.timestamp() == 1093521704.839184 and m[0].exception is None and m[0].resp_p == 502
     assert m[1].exception == "ILLEGAL_FUNCTION"
@@ -55,8 +51,7 @@ def test_records_of_each_kind(spark, tmp_path, limit):
     assert (c[1].service, c[1].duration, c[1].local_orig, c[1].local_resp, c[1].tunnel_parents) == ("modbus", 0.5, True, False, [])
 
 
-@pytest.mark.parametrize("limit", LIMITS)
-def test_faulty_lines_and_files(spark, tmp_path, limit):
+def test_faulty_lines_and_files(spark, tmp_path):
     lines = [["1", "2", "3", "4", "5"], modbus("1704067200", "Cdef"), modbus("n/a", "Cbad"), modbus("1704067200", "Cport", port="1.5"), ["# a remark"]]
     text = log("modbus", MODBUS, lines) + "\t".join(modbus("1704067209", "Cxxx")) + "\n"
     write(tmp_path, "modbus.log", text)
@@ -66,7 +61,7 @@ def test_faulty_lines_and_files(spark, tmp_path, limit):
     write(tmp_path / "short", "dnp3.log", log("dnp3", DNP3[:-1], [[*modbus("1704067200", "Cmiss")[:6], "READ", "-"]]))
     write(tmp_path / "headonly", "dnp3.log", log("dnp3", DNP3, [], end="#close"))
     write(tmp_path, "other.log", log("modbus", MODBUS, [modbus("1704067200", "Cother")]))
-    logs = read_zeek(spark, str(tmp_path), whole_file_limit=limit)
+    logs = read_zeek(spark, str(tmp_path))
     assert [r.uid for r in logs.events.collect()] == ["Cdef"]
     assert rows(logs.rejected.select("reason")) == [("bad_value",), ("bad_value",), ("field_count",), ("missing_field",)]
 
@@ -77,16 +72,18 @@ def test_long_file_is_split_and_keeps_its_end(spark, tmp_path):
     lines.insert(21000, ["#close"])
     write(tmp_path, "modbus.log", log("modbus", MODBUS, lines))
     size = os.path.getsize(tmp_path / "modbus.log")
+    def edges():
+        logs = read_zeek(spark, str(tmp_path))
+        assert logs.events.count() == 21000
+        return rows(fold.fold_edges(normalize(logs.events), fold.ARRIVAL).drop("first_seq"))
+
+    whole = edges()
     old = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(size // 9))
     spark.conf.set("spark.sql.files.openCostInBytes", str(size // 9))
     try:
-        split = read_zeek(spark, str(tmp_path), whole_file_limit=0)
-        whole = read_zeek(spark, str(tmp_path))
         assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 4
-        a, b = (fold.fold_edges(normalize(x.events), fold.ARRIVAL).drop("first_seq") for x in (split, whole))
-        assert split.events.count() == 21000
-        assert rows(a) == rows(b)
+        assert edges() == whole
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
@@ -103,9 +100,8 @@ def test_missing_directory_is_empty(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(CORPUS), reason="log corpus not present")
-@pytest.mark.parametrize("limit", LIMITS)
-def test_bundled_corpus(spark, limit):
-    logs = read_zeek(spark, CORPUS, whole_file_limit=limit)
+def test_bundled_corpus(spark):
+    logs = read_zeek(spark, CORPUS)
     events = logs.events.persist()
     assert {r.log: r["count"] for r in events.groupBy("log").count().collect()} == {"modbus": 365, "dnp3": 337, "conn": 907}
     assert logs.rejected.count() == 0

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wirebook import catalog
 from wirebook.operators import attack, baseline, coverage, detect, fold, procid, roles, views, zones
 from wirebook.sources.events import normalize
-from wirebook.sources.zeek import read_zeek
+from wirebook.sources.zeek import ZeekLogs, read_zeek
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,9 @@ def run(
     allowed: list[str] = catalog.ALLOWED_PROTOCOLS,
 ) -> dict[str, DataFrame]:
     """Read logs and write graph, findings and reports below ``root``."""
-    logs = read_zeek(spark, log_directory)
+    parsed = read_zeek(spark, log_directory).parsed
+    parsed.write.mode("overwrite").parquet(f"{root}/parsed")
+    logs = ZeekLogs(spark.read.parquet(f"{root}/parsed"))
     graph = build_graph(normalize(logs.events), root)
     g = graph
     captured = baseline.capture_baselines(g.edges, now - baseline.DEFAULT_WINDOW, now, now)

@@ -2,10 +2,9 @@
 
 A Zeek log names its columns, separators and sentinels in directives at the
 top of the file, so every line has to be read against the header of its own
-file.  Files up to ``whole_file_limit`` bytes are read as one row each and
-taken apart in place, without a shuffle.  Larger files are read line by line,
-so that one log can be split over many tasks; their headers are one small row
-per file, joined back by path.
+file.  Files are read line by line, so that one log can be split over many
+tasks.  Their headers are one small row per file; up to a number of files they
+are sent to every task, so that no line is shuffled.
 """
 
 from __future__ import annotations
@@ -21,8 +20,10 @@ from wirebook.functions import casts
 from wirebook.functions.literals import all_of
 from wirebook.functions.once import compute_once
 from wirebook.schemas import EVENT_SCHEMAS, WIDE_EVENT
+from wirebook.sources.tables import shared_dir
 
-WHOLE_FILE_LIMIT = 64 * 1024 * 1024
+#: Files whose headers are broadcast; with more of them lines and headers meet by a shuffle.
+BROADCAST_FILES = 50_000
 
 # Where a column's name in the log differs from ours.
 _LOG_NAME = {"orig_h": "id.orig_h", "orig_p": "id.orig_p", "resp_h": "id.resp_h", "resp_p": "id.resp_p"}
@@ -51,29 +52,20 @@ def read_zeek(
     spark: SparkSession,
     directory: str,
     log_names: tuple[str, ...] = catalog.LOG_NAMES,
-    whole_file_limit: int = WHOLE_FILE_LIMIT,
 ) -> ZeekLogs:
     """Read every log of the given names below ``directory``.
 
-    A missing directory reads as empty.  Reading line by line relies on the
-    split size staying fixed while the query runs; with data large enough to
-    need it, ``spark.sql.files.maxPartitionBytes`` is that size.
+    A missing directory reads as empty.  The order of lines relies on
+    ``spark.sql.files.maxPartitionBytes`` staying fixed while the query runs.
     """
-    small = _scan(spark, directory, log_names, wholetext=True)
-    if small is None:
-        empty = catalog.local_frame(spark, [], "file string, log_rank int, text string")
-        return ZeekLogs(_records(_whole_files(empty)))
-    large = _scan(spark, directory, log_names, wholetext=False)
-    size = F.col("_metadata.file_size")
-    whole = _whole_files(small.where(size <= whole_file_limit).select("file", "log_rank", F.col("value").alias("text")))
+    files = _scan(spark, directory, log_names)
+    if files is None:
+        return parse_lines(catalog.local_frame(spark, [], "file string, log_rank int, line_no bigint, line string"))
     # Blocks of one file start at least 64 KiB apart, rows are numbered within
     # a task below 2**33: together they order the lines of a file in a long.
     block = F.shiftleft(F.shiftright(F.col("_metadata.file_block_start"), 16), 33)
     position = block.bitwiseOR(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    lines = large.where(size > whole_file_limit).select(
-        "file", "log_rank", position.alias("line_no"), F.col("value").alias("line")
-    )
-    return ZeekLogs(_records(whole.unionByName(_split_files(lines))))
+    return parse_lines(files.select("file", "log_rank", position.alias("line_no"), F.col("value").alias("line")))
 
 
 def parse_lines(lines: DataFrame) -> ZeekLogs:
@@ -81,12 +73,12 @@ def parse_lines(lines: DataFrame) -> ZeekLogs:
     return ZeekLogs(_records(_split_files(lines)))
 
 
-def _scan(spark: SparkSession, directory: str, log_names: tuple[str, ...], wholetext: bool) -> DataFrame | None:
+def _scan(spark: SparkSession, directory: str, log_names: tuple[str, ...]) -> DataFrame | None:
     reader = spark.read.option("recursiveFileLookup", "true").option(
         "pathGlobFilter", "{" + ",".join(log_names) + "}"
     )
     try:
-        files = reader.text(directory, wholetext=wholetext)
+        files = reader.text(directory)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -102,39 +94,12 @@ def _glob_pattern(name: str) -> str:
     return name.replace(".", "\\.").replace("*", ".*").replace("?", ".")
 
 
-def _whole_files(files: DataFrame) -> DataFrame:
-    """Rows (file, log_rank, line_no, line, h) out of whole files."""
-    lines = compute_once(files, lines=F.split("text", "\r\n|\n|\r", -1)).drop("text")
-    # Index of the first line that is not a directive; 0 when there is none.
-    is_data = F.transform("lines", lambda line: ~line.startswith("#"))
-    lines = compute_once(lines, first=F.array_position(is_data, F.lit(True)).cast("int"))
-    header = F.slice("lines", 1, F.greatest(F.col("first") - 1, F.lit(0)))
-    body = F.slice("lines", F.greatest("first", F.lit(1)), F.when(F.col("first") > 0, F.size("lines")).otherwise(0))
-    cut = compute_once(
-        lines,
-        body=body,
-        **{d: F.try_element_at(_starting(header, "#" + d), F.lit(-1)) for d in _DIRECTIVES},
-    ).drop("lines")
-    is_close = F.transform("body", lambda line: line.startswith("#close"))
-    cut = compute_once(cut, stop=F.array_position(is_close, F.lit(True)).cast("int"))
-    kept = F.when(F.col("stop") > 0, F.slice("body", 1, F.col("stop") - 1)).otherwise(F.col("body"))
-    return (
-        _with_header(compute_once(cut, body=kept))
-        .where(_readable())
-        .select("file", "log_rank", "first", "h", F.posexplode("body").alias("pos", "line"))
-        .select("file", "log_rank", (F.col("first") + F.col("pos")).cast("bigint").alias("line_no"), "line", "h")
-    )
-
-
-def _starting(lines: Column, prefix: str) -> Column:
-    return F.filter(lines, lambda line: line.startswith(prefix))
-
-
 def _split_files(lines: DataFrame) -> DataFrame:
     """Rows (file, log_rank, line_no, line, h) out of single lines.
 
     Two passes over the lines find, per file, where the data begins and what
     the directives above it say; both aggregate map-side to a row per file.
+    The rows are written, so that their number is known when they are joined.
     """
     is_directive = F.col("line").startswith("#")
     begin = lines.where(~is_directive).groupBy("file").agg(F.min("line_no").alias("begin"))
@@ -153,7 +118,12 @@ def _split_files(lines: DataFrame) -> DataFrame:
         )
         .join(begin, "file")
     )
-    header = _with_header(header).where(_readable())
+    header = _with_header(header).where(_readable()).select("file", "begin", "stop", "h")
+    path = shared_dir(lines.sparkSession)
+    header.write.parquet(path)
+    header = lines.sparkSession.read.schema(header.schema).parquet(path)
+    if header.count() <= BROADCAST_FILES:
+        header = F.broadcast(header)
     inside = (F.col("line_no") >= F.col("begin")) & (F.col("stop").isNull() | (F.col("line_no") < F.col("stop")))
     return lines.join(header, "file").where(inside).select("file", "log_rank", "line_no", "line", "h")
 
