@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from checks.registry import add, rounded
@@ -137,13 +137,21 @@ add("SRC-8", lambda p: messages.to_messages(p.events, "site1.").groupBy("topic")
 
 def _sink(p: Plant) -> DataFrame:
     path = tables.shared_dir(p.spark)
-    messages.write_messages(messages.to_messages(p.events), path)
-    return p.spark.read.parquet(path).groupBy("topic", "key").agg(F.count("*").alias("n"))
+    messages.write_messages(messages.to_messages(p.events, sequence="ingest_seq"), path)
+    rows = p.spark.read.parquet(path)
+    # Places in a file against places by number: equal if every file keeps the order of its channels.
+    file, at = F.col("_metadata.file_path"), F.monotonically_increasing_id()
+    rows = rows.select("topic", "key", "seq", file.alias("file"), at.alias("at"))
+    step = Window.partitionBy("file", "topic", "key").orderBy("at")
+    rows = rows.withColumn("back", F.col("seq") < F.lag("seq").over(step))
+    return rows.groupBy("topic", "key").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"),
+                                            F.count_distinct("seq").alias("numbers"), F.count_if("back").alias("out_of_order"))
 
 
 add("SRC-9", _sink,
-    """SELECT 'raw.' || log AS topic, orig_h || ':' || resp_h AS key, count(*) AS n FROM (
-      SELECT log, orig_h, resp_h FROM plant UNION ALL SELECT 'conn', orig_h, resp_h FROM flow) GROUP BY ALL""")
+    """SELECT 'raw.' || log AS topic, orig_h || ':' || resp_h AS key, count(*) AS n, min(seq) AS first, max(seq) AS last,
+      count(DISTINCT seq) AS numbers, 0 AS out_of_order FROM (
+      SELECT log, orig_h, resp_h, seq FROM plant UNION ALL SELECT 'conn', orig_h, resp_h, seq FROM flow) GROUP BY ALL""")
 
 
 def _faulty(p: Plant, prefix: str = "dev.") -> DataFrame:
@@ -211,7 +219,7 @@ def _consumed(p: Plant) -> str:
     """Run the consumer over the events table and return its folder."""
     root = tables.shared_dir(p.spark)
     sent = _broken(messages.to_messages(plant_events(events_stream(p.spark, p.sf, 3)), "dev."), "dev.")
-    query = consume.start_consumer(sent, root, f"{root}/checkpoint", "dev.", available_now=True)
+    query = consume.start_consumer(sent, root, f"{root}/checkpoint", "dev.", available_now=True, compact_every=2)
     query.awaitTermination()
     return root
 

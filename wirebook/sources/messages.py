@@ -25,11 +25,14 @@ def _json(log: str) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
-def to_messages(events: DataFrame, prefix: str = "") -> DataFrame:
+def to_messages(events: DataFrame, prefix: str = "", sequence: str | None = None) -> DataFrame:
     """Wide events to (topic, key, value).
 
-    The key names the channel, so a topic keeps one channel in one partition.
+    The key names the channel.  ``sequence`` names a column that orders the
+    events; it travels as ``seq``, so that a channel written by several tasks
+    can be put in order again.
     """
+    order = [F.col(sequence).alias("seq")] if sequence else []
     log = F.col("log")
     value = F.lit(None).cast("string")
     for kind in catalog.LOG_TYPES:
@@ -38,18 +41,23 @@ def to_messages(events: DataFrame, prefix: str = "") -> DataFrame:
         topic_of(log, prefix).alias("topic"),
         F.concat_ws(":", "orig_h", "resp_h").alias("key"),
         value.alias("value"),
+        *order,
     )
 
 
 def write_messages(messages: DataFrame, path: str, fmt: str = "parquet", partitions: int | None = None) -> None:
-    """File sink with the columns of a topic, channels kept together.
+    """File sink with the columns of a topic.
 
     Rows are placed by key and a hash of the value, so that a busy channel is
-    written by several tasks; readers order by event time.
+    written by several tasks.  Each file has a channel's rows in order of
+    ``seq``, where messages carry one; merging a channel's files by it restores
+    the channel's order.
     """
     spread = F.pmod(F.xxhash64("value"), F.lit(8))
     by = [F.col("key"), spread]
     placed = messages.repartition(partitions, *by) if partitions else messages.repartition(*by)
+    if "seq" in placed.columns:
+        placed = placed.sortWithinPartitions("topic", "key", "seq")
     placed.write.mode("append").partitionBy("topic").format(fmt).save(path)
 
 

@@ -10,9 +10,11 @@ from pyspark.sql.streaming import StreamingQuery
 from wirebook.operators.fold import fold_edges
 from wirebook.sources import messages
 from wirebook.sources.events import normalize
-from wirebook.sources.tables import write_delta
+from wirebook.sources.tables import compact, write_delta
 
 TRIGGER_SECONDS = 5
+#: Deltas between two merges into a base.
+COMPACT_EVERY = 200
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, root: str, prefix: str = "") -> None:
@@ -42,15 +44,22 @@ def start_consumer(
     prefix: str = "",
     trigger_seconds: int = TRIGGER_SECONDS,
     available_now: bool = False,
+    compact_every: int = COMPACT_EVERY,
 ) -> StreamingQuery:
     """Run the fold over a message stream; returns the query to stop or await.
 
+    Every so many batches the deltas are merged into a base, so that readers
+    find few of them.
+
     The checkpoint gives every batch its number and content again after a
     failure, which together with replacing writes counts each message once.
     """
-    writer = stream.writeStream.foreachBatch(
-        lambda batch, batch_id: ingest_batch(batch, batch_id, root, prefix)
-    ).option("checkpointLocation", checkpoint)
+    def ingest(batch: DataFrame, batch_id: int) -> None:
+        ingest_batch(batch, batch_id, root, prefix)
+        if batch_id % compact_every == compact_every - 1:
+            compact(batch.sparkSession, f"{root}/edges")
+
+    writer = stream.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     else:
