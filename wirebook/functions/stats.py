@@ -47,65 +47,57 @@ def iqr_bounds(values: Column) -> tuple[Column, Column]:
 
 
 def grouped_quantiles(
-    df: DataFrame, keys: list[str], value: str, names: dict[str, float], cell_width: float = 1.0
+    df: DataFrame, keys: list[str], value: str, names: dict[str, float], cells: int = 4096
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles of every group.
 
     The built-in ``percentile`` holds all distinct values of a group in one
-    task.  Here values are first counted per cell of ``cell_width``; the few
-    cells that hold a wanted rank are found from those counts, and only the
-    values inside them are ranked, keyed by group and cell.  A group with a
-    third of all rows is thus spread over its cells, and equal values travel
-    as one row with a count.
+    task.  Here equal values become one row with a count, and those are counted
+    per cell: first between powers of two, then in ``cells`` equal steps inside
+    the octaves that hold a wanted rank, then only the values of the steps that
+    do are ranked.  A group has at most some thousand octaves and ``cells``
+    steps in each, so no task orders more than that, or one step's values,
+    however large the group.
     """
-    cell = F.floor(F.col(value) / cell_width)
+    # Powers of two by sign and exponent, in order of the values; zero lies between the signs.
+    size = F.abs(F.col("v"))
+    exponent = F.when(size > 0, F.greatest(F.floor(F.log2(size)), F.lit(-1022))).otherwise(F.lit(-1023)) + 1024
+    octave = (F.signum("v") * exponent).cast("int")
     counted = (
         df.where(F.col(value).isNotNull())
-        .groupBy(*keys, cell.alias("cell"), F.col(value).alias("v"))
+        .groupBy(*keys, F.col(value).cast("double").alias("v"))
         .agg(F.count("*").alias("n"))
+        .withColumn("octave", octave)
     )
-    cells = counted.groupBy(*keys, "cell").agg(F.sum("n").alias("n"))
-    by_cell = W.partitionBy(*keys).orderBy("cell")
+    low = F.pow(F.lit(2.0), F.abs(F.col("octave")) - 1024)
+    step = F.floor((F.abs(F.col("v")) - low) / low * cells).cast("int")
+    counted = counted.withColumn("step", F.when(F.col("v") < 0, -step).otherwise(step))
+    steps = counted.groupBy(*keys, "octave", "step").agg(F.sum("n").alias("n"))
+    octaves = steps.groupBy(*keys, "octave").agg(F.sum("n").alias("n"))
     whole = W.partitionBy(*keys)
-    cells = cells.select(
-        *keys,
-        "cell",
-        (F.sum("n").over(by_cell) - F.col("n")).alias("before"),
-        F.sum("n").over(by_cell).alias("through"),
-        F.sum("n").over(whole).alias("total"),
-    )
+    octaves = octaves.withColumn("total", F.sum("n").over(whole))
     wanted = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("name"),
-                ((F.col("total") - 1) * F.lit(p)).alias("at"),
-            )
-            for name, p in names.items()
-        ]
+        *[F.struct(F.lit(name).alias("name"), ((F.col("total") - 1) * F.lit(p)).alias("at")) for name, p in names.items()]
     )
     # A quantile between two ranks needs both; they may lie in two cells.
-    ranks = cells.select(*keys, "cell", "before", "through", F.explode(wanted).alias("q")).select(
-        *keys,
-        "cell",
-        "before",
-        "through",
-        F.col("q.name").alias("name"),
-        F.col("q.at").alias("at"),
-        F.explode(F.array_distinct(F.array(F.floor("q.at"), F.ceil("q.at")))).alias("rank"),
-    )
-    ranks = ranks.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("through")))
-    hit = ranks.select(*keys, "cell", "before").distinct()
-    in_cell = W.partitionBy(*keys, "cell").orderBy("v")
-    values = counted.join(hit, [*keys, "cell"]).select(
-        *keys,
-        "cell",
-        "v",
-        (F.col("before") + F.sum("n").over(in_cell) - F.col("n")).alias("lo"),
-        (F.col("before") + F.sum("n").over(in_cell)).alias("hi"),
-    )
-    found = ranks.join(values, [*keys, "cell"]).where(
-        (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
-    )
+    both = F.explode(F.array_distinct(F.array(F.floor("q.at"), F.ceil("q.at")))).alias("rank")
+    ranks = octaves.select(*keys, "total").distinct().select(*keys, F.explode(wanted).alias("q"))
+    ranks = ranks.select(*keys, F.col("q.name").alias("name"), F.col("q.at").alias("at"), both)
+
+    def holding(ranks: DataFrame, rows: DataFrame, inside: list[str], by: str) -> DataFrame:
+        """Ranks with the cell of ``rows`` they fall into; ``rank`` counts from that cell's start."""
+        order = W.partitionBy(*keys, *inside).orderBy(by)
+        bounds = rows.select(
+            *keys, *inside, by, (F.sum("n").over(order) - F.col("n")).alias("lo"), F.sum("n").over(order).alias("hi")
+        )
+        met = ranks.join(bounds, [*keys, *inside]).where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+        return met.withColumn("rank", F.col("rank") - F.col("lo")).drop("lo", "hi")
+
+    ranks = holding(ranks, octaves, [], "octave")
+    open_octaves = ranks.select(*keys, "octave").distinct()
+    ranks = holding(ranks, steps.join(open_octaves, [*keys, "octave"]), ["octave"], "step")
+    open_steps = ranks.select(*keys, "octave", "step").distinct()
+    found = holding(ranks, counted.join(open_steps, [*keys, "octave", "step"]), ["octave", "step"], "v")
     columns = []
     for name in names:
         mine = F.col("name") == name
