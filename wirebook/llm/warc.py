@@ -27,6 +27,8 @@ URN = "urn:wirebook:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BLOCK = 1 << 16
 SPLIT_BYTES = 8 << 20
+#: Tasks of a read at most; beyond it each takes several ranges.
+MAX_TASKS = 20_000
 MANIFEST = "file string, bytes bigint, records bigint"
 RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
@@ -179,6 +181,8 @@ def read_archives(spark: SparkSession, path: str, *, split_bytes: int = SPLIT_BY
     ranges = files.where("bytes > 0").select(
         "file", F.explode(F.expr(f"sequence(0L, bytes - 1, {split_bytes}L)")).alias("start")
     )
+    # A fixed number, as the rows are too small for Spark to see the work behind them.
+    tasks = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
     number = lambda text: None if text.endswith(":null>") else int(text[len(URN) + 1 : -1])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +208,7 @@ def read_archives(spark: SparkSession, path: str, *, split_bytes: int = SPLIT_BY
                     yield _batch(rows, layout)
 
     layout = RECORDS + ", payload binary" * payload
-    return ranges.repartition("file", "start").mapInArrow(read, layout)
+    return ranges.repartition(min(int(tasks), MAX_TASKS), "file", "start").mapInArrow(read, layout)
 
 
 def _batch(rows: list[tuple], layout: str) -> pa.RecordBatch:
