@@ -8,6 +8,7 @@ words it has met; when the table is full it starts anew.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ def default_tokenizer() -> str:
 class Encoder:
     """Encodes columns of texts; ``max_words`` bounds the table of known words."""
 
-    def __init__(self, path: str, max_words: int = 600_000):
+    def __init__(self, path: str, max_words: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -36,7 +37,8 @@ class Encoder:
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.max_words = max_words
-        self.marks = {m: self._whole(m) for m in ".,"}
+        one = {m: self._whole(m) for m in ".,"}
+        self.marks = {m: int(ids[0]) for m, ids in one.items() if len(ids) == 1}
         self._reset()
 
     def _reset(self) -> None:
@@ -49,41 +51,49 @@ class Encoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _pieces(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words of letters only, encoded as one text.
+    def _pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters only, encoded as one text, and how many each has.
 
         Each is one piece for the tokenizer and its last token alone carries the end mark.
         """
         if not words:
-            return []
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         found = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
         found = np.array(found, np.uint32)
         ends = np.flatnonzero(self.ends[found]) + 1
         if len(ends) != len(words) or ends[-1] != len(found):
-            return [self._whole(w) for w in words]
-        return np.split(found, ends[:-1])
+            parts = [self._whole(w) for w in words]
+            return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        return found, np.diff(ends, prepend=0)
 
     def _add(self, words: list[str]) -> None:
-        stems: dict[str, None] = {}
-        plan = []
+        """Learn new words: letters, maybe with a mark at the end, all at once; others one by one."""
+        stems: dict[str, int] = {}
+        plain, stem_of, mark_of, others = [], [], [], []
         for w in words:
-            stem, mark = (w[:-1], w[-1]) if w[-1:] in self.marks else (w, "")
+            mark = self.marks.get(w[-1:], -1)
+            stem = w if mark < 0 else w[:-1]
             if stem.isalpha():
-                stems[stem] = None
-                plan.append((stem, mark))
+                plain.append(w)
+                stem_of.append(stems.setdefault(stem, len(stems)))
+                mark_of.append(mark)
             else:
-                plan.append(("", w))
-        by_stem = dict(zip(stems, self._pieces(list(stems)), strict=True))
-        parts = []
-        for stem, rest in plan:
-            if not stem:
-                parts.append(self._whole(rest))
-            elif rest:
-                parts.append(np.concatenate((by_stem[stem], self.marks[rest])))
-            else:
-                parts.append(by_stem[stem])
-        sizes = np.fromiter(map(len, parts), np.int32, len(parts))
-        first, n, total = len(self.known), len(parts), int(sizes.sum())
+                others.append(w)
+        flat, sizes = self._pieces(list(stems))
+        starts = np.cumsum(sizes) - sizes
+        which, mark = np.array(stem_of, np.int64), np.array(mark_of, np.int64)
+        marked = mark >= 0
+        full = sizes[which] + marked
+        ends = np.cumsum(full)
+        at = np.repeat(starts[which] - (ends - full), full) + np.arange(int(full.sum()))
+        ids = flat[np.minimum(at, max(0, len(flat) - 1))] if len(flat) else flat
+        ids[ends[marked] - 1] = mark[marked]
+        self._keep(plain, ids, full)
+        parts = [self._whole(w) for w in others]
+        self._keep(others, np.concatenate([np.zeros(0, np.uint32), *parts]), np.fromiter(map(len, parts), np.int64, len(parts)))
+
+    def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, n, total = len(self.known), len(words), len(ids)
         while first + n > len(self.starts):
             self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
             self.sizes = np.concatenate((self.sizes, np.zeros_like(self.sizes)))
@@ -91,7 +101,7 @@ class Encoder:
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         self.starts[first : first + n] = self.used + np.cumsum(sizes) - sizes
         self.sizes[first : first + n] = sizes
-        self.ids[self.used : self.used + total] = np.concatenate(parts)
+        self.ids[self.used : self.used + total] = ids
         self.used += total
         self.known.update(zip(words, range(first, first + n), strict=True))
 
@@ -107,11 +117,12 @@ class Encoder:
         flat = np.repeat(self.starts[at] - ends[:-1], sizes) + np.arange(ends[-1])
         return ends[bounds], self.ids[flat]
 
-    def encode(self, column: pa.Array, last: int) -> tuple[np.ndarray, np.ndarray]:
-        """Bounds of each text's ids, and the ids; ``last`` is added to every text."""
-        bounds, ids = [np.zeros(1, np.int64)], []
-        total = 0
-        for _, part in slices(column):
+    def encode(self, column: pa.Array, last: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """First row, stop row, bounds of each text's ids and the ids, part by part.
+
+        ``last`` is added to every text.
+        """
+        for at, part in slices(column):
             special = pc.match_substring(part, SPECIAL).to_numpy(zero_copy_only=False)
             if special.any():
                 got = [self._whole(t) if s else self._one(t) for t, s in zip(part.to_pylist(), special, strict=True)]
@@ -119,11 +130,12 @@ class Encoder:
                 flat = np.concatenate(got)
             else:
                 ends, flat = self._slice(part)
-            ids.append(np.insert(flat, ends[1:], last).astype(np.uint32))
-            ends = ends + np.arange(len(ends))
-            bounds.append(ends[1:] + total)
-            total += int(ends[-1])
-        return np.concatenate(bounds), np.concatenate([np.zeros(0, np.uint32), *ids])
+            bounds = ends + np.arange(len(ends))
+            ids = np.empty(int(bounds[-1]), np.uint32)
+            own = np.ones(len(ids), bool)
+            own[bounds[1:] - 1] = False
+            ids[own], ids[~own] = flat, last
+            yield at, at + len(part), bounds, ids
 
     def _one(self, text: str) -> np.ndarray:
         return self._slice(pa.array([text], pa.large_string()))[1]

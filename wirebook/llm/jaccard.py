@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirebook.llm.components import components
-from wirebook.llm.words import slices, split
+from wirebook.llm.words import slices, small_batches, split
 from wirebook.sources.tables import shared_dir
 
 SHINGLE = 5
@@ -34,6 +34,8 @@ PERCENT = 80
 BUCKET_BITS, CHUNKS = 20, 64
 #: Sets and tokens that one task compares at a time; larger families are dealt out in pieces.
 PIECE_SETS, PIECE_TOKENS, PIVOTS = 1024, 2_000_000, 8
+#: Tokens that one task matches.
+PART_TOKENS = 4_000_000
 SETS = "doc_id bigint, sig bigint, n bigint, chunk int, counts binary"
 
 
@@ -350,6 +352,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     Sets and tokens are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     root = shared_dir(spark)
 
     def put(rows: DataFrame, name: str) -> DataFrame:
@@ -359,7 +362,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     source = _read(docs, doc_id, text)
     summaries = put(_summaries(source), "summaries")
     mine = summaries.where("chunk IS NULL").select("doc_id", "sig", "n")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A part holds so many rare tokens at most, whatever the size of the corpus.
+    rare = (mine.agg(F.sum("n")).first()[0] or 0) * (100 - PERCENT) // 100
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rare / PART_TOKENS))
     edges = put(_candidates(source, _order(summaries), parts), "edges")
     families = put(components(edges), "families").select(F.col("id").alias("sig"), F.col("label").alias("family"))
     firsts = mine.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wirebook.llm.encoder import default_tokenizer, encoder
+from wirebook.llm.words import small_batches
 from wirebook.sources.tables import shared_dir
 
 CAPACITY = 2048
@@ -44,29 +45,30 @@ def cut_pieces(
 ) -> DataFrame:
     """Every document's ids, the end id last, cut where they exceed the capacity."""
     file = tokenizer or default_tokenizer()
+    small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bounds, ids = encoder(file).encode(batch.column(1), end_id)
-            ids = ids.astype("<u4", copy=False)
-            sizes = np.diff(bounds)
-            pieces = -(-sizes // capacity)
-            row = np.repeat(np.arange(len(sizes)), pieces)
-            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            start = piece * capacity
-            length = np.minimum(sizes[row] - start, capacity)
-            at = bounds[row] + start
-            crc = [zlib.crc32(ids[a:z]) for a, z in zip(at, at + length, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(row)),
-                    pa.array(piece.astype(np.int32)),
-                    pa.array(start),
-                    pa.array(length),
-                    pa.array(crc, pa.int64()),
-                ],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+            for first, _, bounds, ids in encoder(file).encode(batch.column(1), end_id):
+                ids = ids.astype("<u4", copy=False)
+                sizes = np.diff(bounds)
+                pieces = -(-sizes // capacity)
+                row = np.repeat(np.arange(len(sizes)), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(sizes[row] - start, capacity)
+                at = bounds[row] + start
+                crc = [zlib.crc32(ids[a:z]) for a, z in zip(at, at + length, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(first + row)),
+                        pa.array(piece.astype(np.int32)),
+                        pa.array(start),
+                        pa.array(length),
+                        pa.array(crc, pa.int64()),
+                    ],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(cut, PIECES)

@@ -18,9 +18,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirebook.llm.words import slices, split
+from wirebook.llm.words import slices, small_batches, split
 
 GRAM, BUCKETS, SCALE = 3, 1 << 16, 1 << 20
+#: Bytes whose n-grams are laid out at a time.
+SLICE = 1 << 20
 #: Least mean log ratio of a document that is kept, in nats for each n-gram.
 THRESHOLD = -0.25
 SMOOTHING = 1.0
@@ -96,6 +98,7 @@ def corpus_counts(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
 
     Each task adds up its own rows; at most a row per bucket and task is shuffled.
     """
+    small_batches(docs.sparkSession)
     trusted = labels.where(F.col(good) == 1).select(F.col(doc_id).cast("bigint").alias("id")).distinct()
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     trusted = trusted.withColumn("good", F.lit(True))
@@ -107,7 +110,7 @@ def corpus_counts(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
         totals = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
             good_rows = batch.column(0).fill_null(False).to_numpy(zero_copy_only=False)
-            for at, part in slices(batch.column(1)):
+            for at, part in slices(batch.column(1), SLICE):
                 bucket, bounds = _grams(part)
                 totals[1] += np.bincount(bucket, minlength=BUCKETS)
                 chosen = np.repeat(good_rows[at : at + len(part)], np.diff(bounds))
@@ -151,6 +154,7 @@ def judge(
     repeat stay.
     """
     limit = int(round(threshold * SCALE))
+    small_batches(docs.sparkSession)
     cast = F.col(text).cast("string")
     rows = docs.select(F.struct(*[docs[c] for c in keep or docs.columns]).alias("row"), cast.alias("text"))
     row_type = rows.schema["row"].dataType.simpleString()
@@ -160,7 +164,7 @@ def judge(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = model.value
         for batch in batches:
-            for at, part in slices(batch.column(1)):
+            for at, part in slices(batch.column(1), SLICE):
                 base = _base(part)
                 bucket, bounds = _grams(part)
                 sums = np.diff(np.concatenate(([0], np.cumsum(value[bucket])))[bounds])

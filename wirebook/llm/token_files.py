@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wirebook.llm.encoder import default_tokenizer, encoder
+from wirebook.llm.words import small_batches
 
 LAYOUT = "doc_id bigint, shard int, start_in_shard bigint, n_tokens bigint, ids array<int>"
 ROW_GROUP_BYTES = 16 << 20
@@ -42,23 +43,24 @@ def write_token_files(
     empty table gives files without rows.  Other columns are ignored.
     """
     file = tokenizer or default_tokenizer()
+    small_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            bounds, ids = encoder(file).encode(batch.column(1), end_id)
-            sizes = np.diff(bounds)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(np.full(len(sizes), shard, np.int32)),
-                    pa.array(start + bounds[:-1]),
-                    pa.array(sizes),
-                    pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(ids.view(np.int32))),
-                ],
-                names=["doc_id", "shard", "start_in_shard", "n_tokens", "ids"],
-            )
-            start += int(bounds[-1])
+            for first, stop, bounds, ids in encoder(file).encode(batch.column(1), end_id):
+                sizes = np.diff(bounds)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(first, stop - first),
+                        pa.array(np.full(len(sizes), shard, np.int32)),
+                        pa.array(start + bounds[:-1]),
+                        pa.array(sizes),
+                        pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(ids.view(np.int32))),
+                    ],
+                    names=["doc_id", "shard", "start_in_shard", "n_tokens", "ids"],
+                )
+                start += int(bounds[-1])
 
     ordered = (
         docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))

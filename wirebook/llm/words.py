@@ -12,11 +12,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Text handled at a time, so that memory follows this and the longest document.
 SLICE_BYTES = 4 << 20
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Let Spark hand texts to Python in small batches, so that neither side holds many of them at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """(first row, part) with parts of about ``limit`` bytes; nulls are empty texts."""
     column = column.cast(pa.large_string()).fill_null("")
