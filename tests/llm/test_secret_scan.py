@@ -48,3 +48,22 @@ def test_redaction(docs):
     row = secret_scan.secret_spans(docs((1, 'x token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda" y'))).first()
     assert row.clean == 'x [secret]" y'
     assert secret_scan.secret_spans(docs((1, "a")).where("false")).collect() == []
+
+
+def found(text):
+    return [text[a:b] for a, kind, b in secret_scan.scan(text, secret_scan.default_vocabulary()) if kind == 3]
+
+
+def test_random_strings_behind_words():
+    random.seed(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for before in ("client_authentication_credential=", "services/integration/webhook/", "/production/database/connection/"):
+        for n in (20, 32, 40):
+            for _ in range(20):
+                secret = "".join(random.choices(letters, k=n))
+                assert any(secret in f for f in found(f"see {before}{secret} there"))
+                assert found(before + "description") == []
+    split = "".join(random.choices(letters, k=12)) + "/" + "".join(random.choices(letters, k=12))
+    assert any(split in f for f in found("services/integration/webhook/production/" + split))
+    uuid = "550e8400-e29b-41d4-a716-446655440000"
+    assert found(f"services/integration/description/{uuid}/2024-01-01-00-00/understanding") == []

@@ -1,15 +1,18 @@
 """Secrets in texts: fixed patterns, and random strings by token efficiency.
 
 A random string takes many tokens of a vocabulary learned from prose: few
-characters for each token.  Runs of key characters are measured so, after
-known digests and identifiers are set aside.
+characters for each token.  Runs of key characters are measured so, as a whole,
+in the parts between separators and in every stretch of tokens, after known
+digests and identifiers are set aside.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -37,6 +40,14 @@ KNOWN = [
     re.compile(r"[0-9+/_=-]+"),  # numbers, dates, rules
     re.compile(r"(sha\d+|md5)[-_=]?[A-Za-z0-9+/]+=*", re.IGNORECASE),
 ]
+#: What is set aside inside a run, between other characters than letters and digits.
+ASIDE = re.compile(
+    "(?<![A-Za-z0-9])(" + "|".join(f"({k.pattern})" for k in (KNOWN[1], KNOWN[0])) + "|(?i:" + KNOWN[3].pattern + ")"
+    + "|[0-9][0-9+/_=-]{4,}[0-9])(?![A-Za-z0-9])"
+)
+PART_OF_RUN = re.compile("[A-Za-z0-9+]+")
+#: Fewest characters that are judged.
+LEAST = 20
 #: Fewest characters for each token that count as prose.
 RATIO = 2.0
 #: A run is measured in parts of this length, all of them.
@@ -59,13 +70,67 @@ def _encoding(path: str):
     return tiktoken.Encoding("secrets", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _random(run: str, path: str, ratio: float) -> bool:
-    """Letters and digits, or letters of both cases inside, that cost too many tokens."""
-    mixed = re.search("[0-9]", run) and re.search("[A-Za-z]", run) or len(re.findall("[a-z][A-Z]", run)) > 1
-    if not mixed or any(k.fullmatch(run) for k in KNOWN):
-        return False
-    encode = _encoding(path).encode_ordinary
-    return len(run) < ratio * sum(len(encode(run[i : i + PART])) for i in range(0, len(run), PART))
+def _sizes(run: str, path: str) -> list[int]:
+    """Characters of each token."""
+    encoding = _encoding(path)
+    tokens = (t for i in range(0, len(run), PART) for t in encoding.encode_ordinary(run[i : i + PART]))
+    return [len(encoding.decode_single_token_bytes(t)) for t in tokens]
+
+
+def _mixed(run: str) -> bool:
+    """Letters and digits, or letters of both cases inside."""
+    return bool(re.search("[0-9]", run) and re.search("[A-Za-z]", run) or len(re.findall("[a-z][A-Z]", run)) > 1)
+
+
+def _low(run: str, path: str, ratio: float) -> Iterator[tuple[int, int]]:
+    """Every shortest stretch of tokens of ``LEAST`` characters, from each token on, that costs too many.
+
+    Tokens of separators only count on neither side: names of many short words have them.
+    """
+    ends = [0, *itertools.accumulate(_sizes(run, path))]
+    scores = [0.0 if not run[a:b].strip("=/-_") else ratio - (b - a) for a, b in itertools.pairwise(ends)]
+    scores = [0.0, *itertools.accumulate(scores)]
+    j = 0
+    for i, start in enumerate(ends):
+        while j < len(ends) and ends[j] - start < LEAST:
+            j += 1
+        if j == len(ends):
+            return
+        if scores[j] > scores[i] and _mixed(run[start : ends[j]]):
+            yield start, ends[j]
+
+
+def _random(run: str, path: str, ratio: float) -> list[tuple[int, int]]:
+    """Places in a run that cost too many tokens: the run, or the parts where a stretch or a part does."""
+    if not _mixed(run) or any(k.fullmatch(run) for k in KNOWN):
+        return []
+    if len(run) < ratio * len(_sizes(run, path)):
+        return [(0, len(run))]
+    found, at = [], 0
+    for aside in [*ASIDE.finditer(run), None]:
+        piece, base = run[at : aside.start() if aside else len(run)], at
+        at = aside.end() if aside else len(run)
+        if len(piece) < LEAST:
+            continue
+        low = list(_low(piece, path, ratio))
+        for m in PART_OF_RUN.finditer(piece):
+            if len(m[0]) >= LEAST and _mixed(m[0]) and len(m[0]) < ratio * len(_sizes(m[0], path)):
+                low.append(m.span())
+        # Up to the next separators, so that no end of a secret stays.
+        cuts = [-1, *(i for i, c in enumerate(piece) if c in "=/-_"), len(piece)]
+        whole = [(cuts[bisect.bisect(cuts, a) - 1] + 1, cuts[bisect.bisect_left(cuts, b - 1)]) for a, b in _joined(low)]
+        found += [(base + a, base + b) for a, b in _joined(whole)]
+    return found
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def scan(text: str, path: str, ratio: float = RATIO) -> list[tuple[int, int, int]]:
@@ -73,7 +138,7 @@ def scan(text: str, path: str, ratio: float = RATIO) -> list[tuple[int, int, int
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    found += [(m.start(), 3, m.end()) for m in RUN.finditer(text) if _random(m[0], path, ratio)]
+    found += [(m.start() + a, 3, m.start() + b) for m in RUN.finditer(text) for a, b in _random(m[0], path, ratio)]
     return sorted(found)
 
 
