@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 import re
@@ -67,3 +68,16 @@ def test_random_strings_behind_words():
     assert any(split in f for f in found("services/integration/webhook/production/" + split))
     uuid = "550e8400-e29b-41d4-a716-446655440000"
     assert found(f"services/integration/description/{uuid}/2024-01-01-00-00/understanding") == []
+
+
+def test_random_letters_of_one_case_and_named_digests():
+    random.seed(9)
+    for case in (str.lower, str.upper):
+        strings = ["".join(random.choices(case("abcdefghijklmnopqrstuvwxyz"), k=32)) for _ in range(100)]
+        assert sum(found(s) == [s] for s in strings) >= 90
+    assert found("internationalization_of_words MAXIMUM_CONNECTION_TIMEOUT_SECONDS") == []
+    for name, data in (("md5", b"a"), ("sha1", b"b"), ("sha256", b"c"), ("sha512", b"d")):
+        made = hashlib.new(name, data)
+        assert found(f"{name}-{base64.b64encode(made.digest()).decode()} {name}={made.hexdigest()}") == []
+    for name in ("md5", "sha512-", "sha9="):
+        assert found(name + B64[:30])

@@ -38,7 +38,11 @@ KNOWN = [
     re.compile(r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"),
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
     re.compile(r"[0-9+/_=-]+"),  # numbers, dates, rules
-    re.compile(r"(sha\d+|md5)[-_=]?[A-Za-z0-9+/]+=*", re.IGNORECASE),
+    # A digest behind its name, in hexadecimal or base64, or the first 40 characters of a SHA-256.
+    re.compile("|".join(
+        [f"{n}[-_=]?([0-9a-f]{{{bits // 4}}}|[a-z0-9+/]{{{-(-bits // 6)}}}={{0,2}})" for n, bits in
+         {"md5": 128, "sha1": 160, "sha224": 224, "sha256": 256, "sha384": 384, "sha512": 512}.items()]
+        + ["sha256[-_=]?[a-z0-9+/]{40}"]), re.IGNORECASE),
 ]
 #: What is set aside inside a run, between other characters than letters and digits.
 ASIDE = re.compile(
@@ -46,6 +50,7 @@ ASIDE = re.compile(
     + "|[0-9][0-9+/_=-]{4,}[0-9])(?![A-Za-z0-9])"
 )
 PART_OF_RUN = re.compile("[A-Za-z0-9+]+")
+CAPITALS = re.compile("(?<![A-Za-z0-9])[A-Z]+(?![A-Za-z0-9])")
 #: Fewest characters that are judged.
 LEAST = 20
 #: Fewest characters for each token that count as prose.
@@ -77,9 +82,14 @@ def _sizes(run: str, path: str) -> list[int]:
     return [len(encoding.decode_single_token_bytes(t)) for t in tokens]
 
 
-def _mixed(run: str) -> bool:
-    """Letters and digits, or letters of both cases inside."""
-    return bool(re.search("[0-9]", run) and re.search("[A-Za-z]", run) or len(re.findall("[a-z][A-Z]", run)) > 1)
+def _plain(run: str) -> str:
+    """Words in capitals as small letters: one case tells nothing, and prose is learned in small letters."""
+    return CAPITALS.sub(lambda m: m[0].lower(), run)
+
+
+def _letters(run: str) -> bool:
+    """Not numbers and separators alone."""
+    return re.search("[A-Za-z]", run) is not None
 
 
 def _low(run: str, path: str, ratio: float) -> Iterator[tuple[int, int]]:
@@ -96,15 +106,16 @@ def _low(run: str, path: str, ratio: float) -> Iterator[tuple[int, int]]:
             j += 1
         if j == len(ends):
             return
-        if scores[j] > scores[i] and _mixed(run[start : ends[j]]):
+        if scores[j] > scores[i] and _letters(run[start : ends[j]]):
             yield start, ends[j]
 
 
 def _random(run: str, path: str, ratio: float) -> list[tuple[int, int]]:
     """Places in a run that cost too many tokens: the run, or the parts where a stretch or a part does."""
-    if not _mixed(run) or any(k.fullmatch(run) for k in KNOWN):
+    if not _letters(run) or any(k.fullmatch(run) for k in KNOWN):
         return []
-    if len(run) < ratio * len(_sizes(run, path)):
+    mixed = re.search("[0-9]", run) or len(re.findall("[a-z][A-Z]", run)) > 1
+    if len(run) < ratio * len(_sizes(run if mixed else _plain(run), path)):
         return [(0, len(run))]
     found, at = [], 0
     for aside in [*ASIDE.finditer(run), None]:
@@ -112,9 +123,10 @@ def _random(run: str, path: str, ratio: float) -> list[tuple[int, int]]:
         at = aside.end() if aside else len(run)
         if len(piece) < LEAST:
             continue
+        piece = _plain(piece)
         low = list(_low(piece, path, ratio))
         for m in PART_OF_RUN.finditer(piece):
-            if len(m[0]) >= LEAST and _mixed(m[0]) and len(m[0]) < ratio * len(_sizes(m[0], path)):
+            if len(m[0]) >= LEAST and _letters(m[0]) and len(m[0]) < ratio * len(_sizes(m[0], path)):
                 low.append(m.span())
         # Up to the next separators, so that no end of a secret stays.
         cuts = [-1, *(i for i, c in enumerate(piece) if c in "=/-_"), len(piece)]
