@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 
+import pytest
 from pyarrow import fs
 
 from wirebook.llm import warc
@@ -63,6 +64,32 @@ def test_ranges_own_what_starts_inside(tmp_path):
         assert seen == [f"<{warc.URN}{i}>" for i in range(40)]
 
 
+def test_magic_across_blocks(tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK", 64)
+    random.seed(6)
+    big, small = (warc.record(i, "u", random.randbytes(n), None, "d") for i, n in ((0, 5000), (1, 10)))
+    (tmp_path / "a").write_bytes(big + small)
+    with fs.LocalFileSystem().open_input_file(str(tmp_path / "a")) as file:
+        for start in range(len(big) - 300, len(big) + 1):
+            found = list(warc.members(file, start, start + 400))
+            assert [warc.parse(b)[0]["warc-record-id"] for b in found] == [f"<{warc.URN}1>"]
+
+
+def test_lost_record_fails(spark):
+    path = f"{shared_dir(spark)}/warc"
+    warc.write_archives(spark.createDataFrame([(*r, "x", "y") for r in pages()], PAGES).coalesce(1), path)
+    name = spark.read.parquet(f"{path}/manifest").first()["file"]
+    store, at = warc._store(name)
+    with store.open_input_file(at) as file:
+        data = bytearray(file.read())
+    second = next(i for i in range(1, len(data)) if data.startswith(warc.MAGIC, i))
+    data[second] = 0
+    with store.open_output_stream(at, compression=None) as out:
+        out.write(bytes(data))
+    with pytest.raises(Exception, match="records listed, found"):
+        warc.read_archives(spark, path).collect()
+
+
 def test_no_pages(spark):
     path = f"{shared_dir(spark)}/warc"
     warc.write_archives(spark.createDataFrame([], PAGES), path)

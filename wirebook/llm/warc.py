@@ -153,9 +153,11 @@ def members(file: pa.NativeFile, start: int, stop: int) -> Iterator[bytes]:
         if (body := _member(window)) is not None:
             yield body
             continue
-        # Not a record here: go to the next place that may be one.
-        while (found := window.data.find(MAGIC, 1)) < 0:
+        # Not a record here: go to the next place that may be one, past this one only.
+        begin = 1
+        while (found := window.data.find(MAGIC, begin)) < 0:
             window.skip(max(0, len(window.data) - len(MAGIC) + 1))
+            begin = 0
             if window.at >= stop or not window.more():
                 return
         window.skip(found)
@@ -175,7 +177,9 @@ def read_archives(spark: SparkSession, path: str, *, split_bytes: int = SPLIT_BY
 
     A response's size and digest are taken from the payload itself, which must
     agree with its header; a revisit's are those of the full payload as its
-    headers give them.  ``payload`` adds the payload (null for a revisit).
+    headers give them.  ``payload`` adds the payload (null for a revisit).  The
+    records found in each file are counted in a pass of their own; if they are
+    not as many as the manifest says, the query fails.
     """
     files = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
     ranges = files.where("bytes > 0").select(
@@ -207,8 +211,24 @@ def read_archives(spark: SparkSession, path: str, *, split_bytes: int = SPLIT_BY
                 if rows:
                     yield _batch(rows, layout)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, found = batch.column(0).to_pylist(), []
+            for name, start in zip(names, batch.column(1).to_pylist(), strict=True):
+                store, at = _store(name)
+                with store.open_input_file(at) as file:
+                    found.append(sum(1 for _ in members(file, start, start + split_bytes)))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.int64())], names=["file", "found"])
+
     layout = RECORDS + ", payload binary" * payload
-    return ranges.repartition(min(int(tasks), MAX_TASKS), "file", "start").mapInArrow(read, layout)
+    dealt = ranges.repartition(min(int(tasks), MAX_TASKS), "file", "start")
+    found = dealt.mapInArrow(count, "file string, found bigint").groupBy("file").agg(F.sum("found").alias("found"))
+    said = F.concat("file", F.lit(": records listed, found: "), F.concat_ws(", ", "records", F.coalesce("found", F.lit(0))))
+    lost = files.join(found, "file", "left").where(~F.col("records").eqNullSafe(F.coalesce("found", F.lit(0))))
+    # A row here fails the query, so this part adds none.
+    lost = lost.where(F.raise_error(said).cast("string").isNotNull())
+    names = [x.split(" ") for x in layout.split(", ")]
+    return dealt.mapInArrow(read, layout).unionByName(lost.select(*[F.lit(None).cast(t).alias(n) for n, t in names]))
 
 
 def _batch(rows: list[tuple], layout: str) -> pa.RecordBatch:
