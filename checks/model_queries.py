@@ -415,11 +415,15 @@ CAPTURES = (1, 10, 60)
 
 
 def _snapshots(p: Plant) -> DataFrame:
+    """Baselines of several windows, saved for some devices only, as if the others were unknown."""
+    return _saved(p, p.devices.where(F.col("ip").endswith("1") | F.col("ip").endswith("2")))
+
+
+def _saved(p: Plant, known: DataFrame) -> DataFrame:
     """Baselines of several windows, saved to the snapshot table and read back."""
     path = shared_dir(p.spark)
     for s in CAPTURES:
         end = at(T0_US + s * 1_000_000)
-        known = p.devices.where(F.col("ip").endswith("1") | F.col("ip").endswith("2"))
         baseline.save_snapshots(baseline.capture_baselines(p.edges, START, end, end), known, path)
     return baseline.read_snapshots(p.spark, path).select("ip", "captured_at", "total_edges", "peer_count", "periodic_edge_count", "protocols")
 
@@ -436,6 +440,14 @@ add("ORD-3", lambda p: baseline.latest_snapshots(_snapshots(p), p.devices.where(
     SNAP + LATEST.replace("FROM snap", "FROM snap WHERE ip LIKE '%2'"))
 add("BASE-8", lambda p: baseline.baseline_ages(_snapshots(p), at(T0_US + 90_000_000)),
     SNAP + f"SELECT ip, ({T0_US + 90_000_000} - max(captured_at)) / 1e6 AS age_seconds FROM snap GROUP BY ip")
+# The same for every device.
+SNAP_ALL = SNAP.replace(" AND (src_ip LIKE '%1' OR src_ip LIKE '%2')", "")
+add("BASE-6-all", lambda p: _saved(p, p.devices), SNAP_ALL + "SELECT * FROM snap")
+add("BASE-7-all", lambda p: baseline.latest_snapshots(_saved(p, p.devices)), SNAP_ALL + LATEST)
+add("ORD-3-all", lambda p: baseline.latest_snapshots(_saved(p, p.devices), p.devices.where(F.col("ip").endswith("2"))),
+    SNAP_ALL + LATEST.replace("FROM snap", "FROM snap WHERE ip LIKE '%2'"))
+add("BASE-8-all", lambda p: baseline.baseline_ages(_saved(p, p.devices), at(T0_US + 90_000_000)),
+    SNAP_ALL + f"SELECT ip, ({T0_US + 90_000_000} - max(captured_at)) / 1e6 AS age_seconds FROM snap GROUP BY ip")
 
 # ----------------------------------------------------------------- windows
 

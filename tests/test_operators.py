@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from checks import model_queries, registry  # noqa: F401
 from tests.conftest import T0, at, rows
 from wirebook import catalog
 from wirebook.functions import stats
@@ -160,6 +161,16 @@ def test_snapshots_latest_and_age(spark, edges, tmp_path):
     assert baseline.baseline_ages(saved, at(150)).first().age_seconds == 30.0
 
 
+def test_snapshots_of_all_known_devices(spark, edges, tmp_path):
+    e = edges(("a", "b", "modbus", 502, "READ", 0, 10, 100, 250.0), ("c", "b", "modbus", 502, "READ", 0, 10, 100, 250.0))
+    devices, path = fold.fold_devices(e), str(tmp_path / "snapshots")
+    stray = edges(("x", "b", "modbus", 502, "READ", 0, 10, 100, 250.0))
+    baseline.save_snapshots(baseline.capture_baselines(e.union(stray), T0, at(60), at(60)), devices, path)
+    assert rows(baseline.read_snapshots(spark, path).select("ip")) == [("a",), ("c",)]
+    whole = ["BASE-6-all", "BASE-7-all", "BASE-8-all", "ORD-3-all"]
+    assert all("LIKE '%1'" not in registry.ORACLE[name] for name in whole) and set(whole) <= set(registry.QUERIES)
+
+
 def test_coverage_report(spark, edges):
     e = edges(*[("a", "b", p, 1, "x", 0, 0, 1) for p in catalog.EXPECTED_PROTOCOLS], ("b", "a", "Modbus", 1, "x", 0, 0, 1))
     member = spark.createDataFrame([("a", "Control"), ("b", "Control")], "ip string, zone_name string")
