@@ -33,6 +33,16 @@ def test_encoder_equals_the_library(plain):
         assert got == [[*plain(t), 1] for t in texts]
 
 
+def test_letters_that_become_marks(plain):
+    import pyarrow as pa
+
+    ends = ["AL\u0130", "\u0995\u09dc", "\u0915\u0958", "\u05d0\ufb2a", "\u0130a", "\u00c4", "\u212b"]
+    words = [f"{w}{m}" for w in ends for m in ("", ".", ",")]
+    texts = [*words, " ".join(words)]
+    for _, _, bounds, ids in Encoder(default_tokenizer()).encode(pa.array(texts, pa.string()), 1):
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [[*plain(t), 1] for t in texts]
+
+
 def test_token_files(spark, docs, plain):
     path = f"{shared_dir(spark)}/tokens"
     token_files.write_token_files(docs(*odd_texts()), path)

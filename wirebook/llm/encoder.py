@@ -8,6 +8,7 @@ words it has met; when the table is full it starts anew.
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,7 +74,7 @@ class Encoder:
         for w in words:
             mark = self.marks.get(w[-1:], -1)
             stem = w if mark < 0 else w[:-1]
-            if stem.isalpha():
+            if _letters(stem):
                 plain.append(w)
                 stem_of.append(stems.setdefault(stem, len(stems)))
                 mark_of.append(mark)
@@ -141,6 +142,11 @@ class Encoder:
         return self._slice(pa.array([text], pa.large_string()))[1]
 
 
+def _letters(stem: str) -> bool:
+    """Whether a word is letters only, and stays so as the tokenizer normalizes it."""
+    return stem.isalpha() and (stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha())
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
