@@ -101,6 +101,15 @@ def test_running_edges_end_as_the_batch_fold(spark, tmp_path):
     assert rows(last) == [("a", 4), ("b", 2), ("c", 2)]
 
 
+def test_duplicates_agree_in_every_field(spark, tmp_path):
+    other = {**MODBUS, "exception": "ILLEGAL_FUNCTION"}
+    for n, events in enumerate([[MODBUS, MODBUS, other], [other]]):
+        sent = [("raw.modbus", bytearray(json.dumps(e).encode())) for e in events]
+        spark.createDataFrame(sent, "topic string, value binary").coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    source = spark.readStream.schema("topic string, value binary").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    assert collect_stream(spark, consume.stream_communications(source, dedupe=True), tmp_path, "append").count() == 2
+
+
 def test_alerts_come_once(spark, tmp_path):
     sent_batches(spark, tmp_path / "in", BATCHES)
     comm = consume.stream_communications(stream(spark, tmp_path / "in"), delay="1 day")

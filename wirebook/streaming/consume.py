@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wirebook.operators.fold import fold_edges
+from wirebook.schemas import WIDE_EVENT
 from wirebook.sources import messages
 from wirebook.sources.events import normalize
 from wirebook.sources.tables import compact, write_delta
@@ -70,10 +71,11 @@ def start_consumer(
 def stream_communications(stream: DataFrame, prefix: str = "", delay: str = "10 minutes", dedupe: bool = False) -> DataFrame:
     """Messages to communications with a watermark on event time.
 
-    With ``dedupe`` a message delivered twice within the delay counts once.
+    With ``dedupe`` a message delivered twice within the delay counts once; messages
+    that differ in any field of the event are different.
     """
     events = messages.good(messages.decode_messages(stream.select("topic", "value"), prefix))
     events = events.withWatermark("ts", delay)
     if dedupe:
-        events = events.dropDuplicatesWithinWatermark(["log", "uid", "ts", "func", "fc_request"])
+        events = events.dropDuplicatesWithinWatermark(WIDE_EVENT.names)
     return normalize(events)
