@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirebook.llm import decontaminate, jaccard, language, packing, quality, secret_scan, sharding, suffixes, token_files, warc
+from wirebook.llm import conversations, decontaminate, jaccard, language, packing, quality, secret_scan, sharding, suffixes, token_files, warc
 from wirebook.sources.tables import shared_dir
 
 
@@ -66,6 +66,12 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 8)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+    names = "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"
+    return conversations.digests(found).select(*names)
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality_rules": op2_quality_rules,
@@ -77,11 +83,56 @@ QUERIES = {
     "op8_suffix_runs": op8_suffix_runs,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_byte_shards": op10_byte_shards,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: From the last row back, the least (cost, edits, lines) on from each state; inserts first, at most two.
+REPAIR_SQL = r"""
+WITH RECURSIVE k AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+c AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(key) + 1), lambda i: unicode(key[i]))),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]),
+            lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 20 AS kind FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+             unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM c WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS i FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+                     WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                     WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault,
+             lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS step FROM o),
+g AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+             count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+             count(*) FILTER (step NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+r(conv_id, i, s0, s1, s2, s3) AS (
+    SELECT conv_id, n, {'c': 0, 'a': '', 't': CAST([] AS VARCHAR[])}, {'c': 6, 'a': 'II', 't': ['user:', 'assistant:']},
+           {'c': 3, 'a': 'I', 't': ['assistant:']}, {'c': 0, 'a': '', 't': CAST([] AS VARCHAR[])} FROM g
+    UNION ALL
+    SELECT conv_id, i,
+           list_min([d0, {'c': d2.c + 3, 'a': 'I' || d2.a, 't': list_prepend('user:', d2.t)}, {'c': d3.c + 6, 'a': 'II' || d3.a, 't': ['user:', 'assistant:'] || d3.t}]),
+           list_min([d1, {'c': d2.c + 3, 'a': 'I' || d2.a, 't': list_prepend('user:', d2.t)}, {'c': d3.c + 6, 'a': 'II' || d3.a, 't': ['user:', 'assistant:'] || d3.t}]),
+           list_min([d2, {'c': d3.c + 3, 'a': 'I' || d3.a, 't': list_prepend('assistant:', d3.t)}]),
+           list_min([d3, {'c': d2.c + 3, 'a': 'I' || d2.a, 't': list_prepend('user:', d2.t)}])
+    FROM (SELECT r.conv_id, r.i - 1 AS i,
+            CASE WHEN fault IN ('b', 'd') THEN {'c': s0.c + 4, 'a': 'D' || s0.a, 't': s0.t} ELSE list_min([{'c': s0.c + 4, 'a': 'D' || s0.a, 't': s0.t}, {'c': s2.c + 3 + more, 'a': 'R' || s2.a, 't': list_prepend('user:' || text, s2.t)}]
+                || CASE WHEN role LIKE 's%' THEN [{'c': s1.c + more, 'a': 'K' || s1.a, 't': list_prepend(line, s1.t)}] WHEN role LIKE 'u%' THEN [{'c': s2.c + more, 'a': 'K' || s2.a, 't': list_prepend(line, s2.t)}] ELSE [] END) END AS d0,
+            CASE WHEN fault IN ('b', 'd') THEN {'c': s1.c + 4, 'a': 'D' || s1.a, 't': s1.t} ELSE list_min([{'c': s1.c + 4, 'a': 'D' || s1.a, 't': s1.t}, {'c': s2.c + 3 + more, 'a': 'R' || s2.a, 't': list_prepend('user:' || text, s2.t)}]
+                || CASE WHEN role LIKE 'u%' THEN [{'c': s2.c + more, 'a': 'K' || s2.a, 't': list_prepend(line, s2.t)}] ELSE [] END) END AS d1,
+            CASE WHEN fault IN ('b', 'd') THEN {'c': s2.c + 4, 'a': 'D' || s2.a, 't': s2.t} ELSE list_min([{'c': s2.c + 4, 'a': 'D' || s2.a, 't': s2.t}, {'c': s3.c + 3 + more, 'a': 'R' || s3.a, 't': list_prepend('assistant:' || text, s3.t)}]
+                || CASE WHEN role LIKE 'a%' THEN [{'c': s3.c + more, 'a': 'K' || s3.a, 't': list_prepend(line, s3.t)}] ELSE [] END) END AS d2,
+            CASE WHEN fault IN ('b', 'd') THEN {'c': s3.c + 4, 'a': 'D' || s3.a, 't': s3.t} ELSE list_min([{'c': s3.c + 4, 'a': 'D' || s3.a, 't': s3.t}, {'c': s2.c + 3 + more, 'a': 'R' || s2.a, 't': list_prepend('user:' || text, s2.t)}]
+                || CASE WHEN role LIKE 'u%' THEN [{'c': s2.c + more, 'a': 'K' || s2.a, 't': list_prepend(line, s2.t)}] ELSE [] END) END AS d3
+          FROM r JOIN (SELECT *, role || ':' || text AS line, CASE WHEN fault = 't' THEN 3 ELSE 0 END AS more FROM f) f
+            ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND r.i = f.i))
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(s0.c, 0) AS BIGINT) AS cost, coalesce(s0.a, '') AS audit, sha256(coalesce(array_to_string(s0.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN g ON a.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN r ON r.i = 0 AND a.conv_id IS NOT DISTINCT FROM r.conv_id"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard": r"""
 WITH RECURSIVE w AS (
@@ -120,4 +171,5 @@ found AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY i
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op11_conversation_repair": REPAIR_SQL,
 }
