@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirebook.llm import conversations, decontaminate, jaccard, language, packing, quality, secret_scan, sharding, suffixes, token_files, warc
+from wirebook.llm import conversations, decontaminate, jaccard, language, packing, quality, secret_scan, sharding, suffixes, token_files, warc, whitening
 from wirebook.sources.tables import shared_dir
 
 
@@ -72,6 +72,23 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digests(found).select(*names)
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(rows)
+    found = whitening.whiten(rows, model, keep=["vec_id"])
+    found = found.select("row.vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    explained = [F.lit(float(e / model.total)) for e in model.values] if model else []
+    return found.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n if model else 0).cast("bigint").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(F.array(*explained), F.col("at")).cast("double").alias("explained"),
+        F.lit(model.identity_error if model else None).cast("double").alias("identity_error"),
+    )
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality_rules": op2_quality_rules,
@@ -84,6 +101,7 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_byte_shards": op10_byte_shards,
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
