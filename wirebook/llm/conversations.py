@@ -104,20 +104,35 @@ def _items(rows: list[tuple]) -> list[Item]:
     return items
 
 
-def search(items: list[Item], enter: int = 0, leave: int | None = None) -> tuple[int, str] | None:
+def search(items: list[Item], enter: int = 0, leave: int | None = None, failed: dict | None = None) -> tuple[int, str] | None:
     """Least cost and edits from one state to another, or to the end of a conversation.
 
     With ``leave`` the last edit is that of the last row; without it inserts
-    may follow.  None if there is no way.
+    may follow.  ``failed`` may be shared by searches for the same end.  None
+    if there is no way.
     """
     m = len(items)
-    needed = [0] * (m + 1)
+    # What rows cost at least, what it costs to delete them all, and whether one of them may follow nothing as system.
+    needed, gone, system = [0] * (m + 1), [0] * (m + 1), [False] * (m + 1)
     for i in range(m - 1, -1, -1):
-        fault = items[i].fault
-        own = COST[DELETE] * items[i].count if fault in FAULTS[:2] else min(TRUNCATED, COST[DELETE]) if fault else 0
-        needed[i] = needed[i + 1] + own
+        role, _, fault, count = items[i]
+        must = fault in FAULTS[:2]
+        own = COST[DELETE] * count if must else min(TRUNCATED, COST[DELETE]) if fault else 0
+        needed[i], gone[i] = needed[i + 1] + own, gone[i + 1] + COST[DELETE] * count
+        system[i] = system[i + 1] or not must and role[:1] == "s"
     #: Cost that a state (row, state, inserts before the row) needs at least, raised whenever it fails.
-    failed: dict[tuple[int, int, int], int] = {}
+    failed = {} if failed is None else failed
+
+    def need(at: tuple[int, int, int]) -> int:
+        if at in failed:
+            return failed[at]
+        i, s, _ = at
+        if leave is None or leave > 1:
+            return needed[i]
+        # Only a system turn leads from nothing to after system, and nothing leads back: all other rows go.
+        if s == leave:
+            return gone[i]
+        return gone[i] - COST[DELETE] if s < leave and system[i] else NEVER
 
     def moves(i: int, s: int, inserts: int) -> list[tuple[str, int, tuple[int, int, int]]]:
         given = FOLLOWS[s][GIVEN[s][0]]
@@ -137,7 +152,7 @@ def search(items: list[Item], enter: int = 0, leave: int | None = None) -> tuple
     path: list[str] = []
 
     def reach(at: tuple[int, int, int], left: int) -> bool:
-        if failed.get(at, needed[at[0]]) > left:
+        if need(at) > left:
             return False
         if at[0] == m and (ACCEPTED[at[1]] if leave is None else at[1] == leave):
             return True
@@ -147,16 +162,14 @@ def search(items: list[Item], enter: int = 0, leave: int | None = None) -> tuple
             if reach(to, left - cost):
                 return True
             path.pop()
-            least = min(least, cost + failed.get(to, needed[to[0]]))
+            least = min(least, cost + need(to))
         failed[at] = least
         return False
 
     start = (0, enter, 0)
-    limit = needed[0]
-    while limit < NEVER:
+    while (limit := need(start)) < NEVER:
         if reach(start, limit):
             return limit, "".join(path)
-        limit = failed[start]
     return None
 
 
@@ -237,7 +250,7 @@ def _segments(rows: DataFrame, stretch: int) -> DataFrame:
                 row["gaps"] = _gaps(row["first_turn"], row["last_turn"], row["turns"])
                 pairs = apply_edits(items, row["audit"])
                 return row | {"repaired": [{"role": r, "text": t} for r, t in pairs]}
-            ways = [(a, b, search(items, a, b)) for a in STATES for b in STATES]
+            ways = [(a, b, search(items, a, b, failed)) for b in STATES for failed in [{}] for a in STATES]
             row["ways"] = [{"enter": a, "leave": b, "cost": w[0], "edits": w[1]} for a, b, w in ways if w]
             return row | {"items": [i._asdict() for i in items]}
 
