@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirebook.llm import conversations, decontaminate, jaccard, language, packing, quality, secret_scan, sharding, suffixes, token_files, warc, whitening
+from wirebook.llm import conversations, decontaminate, jaccard, language, packing, quality, secret_scan, sharding, suffixes, token_files, toxicity, warc, whitening
 from wirebook.sources.tables import shared_dir
 
 
@@ -72,6 +72,13 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digests(found).select(*names)
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out(F.col("doc_id")))
+    model = toxicity.train(toxicity.sample(docs, table(spark, sf_dir, "labels")))
+    found = toxicity.score(docs, model, keep=["doc_id", "held_out"])
+    return found.select("row.doc_id", "row.held_out", "score", "predicted")
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     model = whitening.fit(rows)
@@ -101,6 +108,7 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_byte_shards": op10_byte_shards,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_toxicity": op12_toxicity,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
