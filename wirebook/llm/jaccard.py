@@ -114,7 +114,8 @@ def _order(summaries: DataFrame) -> np.ndarray:
             yield pd.DataFrame({"chunk": list(sums), "counts": [s.astype("<i8").tobytes() for s in sums.values()]})
 
     rows = summaries.where("chunk IS NOT NULL").select("chunk", "counts")
-    for r in rows.repartition("chunk").mapInPandas(add, "chunk int, counts binary").toLocalIterator():
+    # One job for the whole table of 8 MB.
+    for r in rows.repartition("chunk").mapInPandas(add, "chunk int, counts binary").collect():
         table[r.chunk] += np.frombuffer(r.counts, "<i8")
     return np.minimum(table.reshape(-1), 2**32 - 1).astype(np.uint32)
 
