@@ -104,3 +104,16 @@ def test_components(spark):
     got = {r.id: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     expected = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {299: 299, 300: 299}
     assert got == expected
+
+
+def test_runs_are_stars():
+    """Every set of a run is joined to the run's first, so a family of copies settles in few rounds."""
+    n = 500
+    sig = np.arange(10, 10 + n)
+    a, b = jaccard._edges(np.full(n, 7, np.uint64), sig, np.full(n, 100), np.zeros(n, np.int64))
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(10, s) for s in sig[1:].tolist()}
+    # Sizes that no link can bridge part two runs; another token joins nothing.
+    size = np.array([100] * 3 + [400] * 3 + [100])
+    token = np.array([7] * 6 + [8], np.uint64)
+    a, b = jaccard._edges(token, np.arange(7), size, np.zeros(7, np.int64))
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(0, 1), (0, 2), (3, 4), (3, 5)}

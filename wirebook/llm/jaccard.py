@@ -177,12 +177,13 @@ def _candidates(docs: DataFrame, order: np.ndarray, parts: int) -> DataFrame:
 
 
 def _edges(token: np.ndarray, sig: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Chains over the sets that share a token and could be similar if it is the first they share.
+    """Stars over the sets that share a token and could be similar if it is the first they share.
 
     From the first shared token on, the overlap is at most what is left of
     either set.  Sets that fail this with their easiest partner leave; the rest
-    are chained in order of size as long as the sizes allow a link, so any two
-    that could link are joined.
+    are taken in order of size as long as the sizes of neighbours allow a link,
+    and every set of such a run is joined to its first, so any two that could
+    link are connected, over two edges at most.
     """
     turn = np.lexsort((sig, size, token))
     token, sig, size, place = token[turn], sig[turn], size[turn], place[turn]
@@ -205,7 +206,9 @@ def _edges(token: np.ndarray, sig: np.ndarray, size: np.ndarray, place: np.ndarr
         return none, none
     a, b = kept[:-1], kept[1:]
     joined = (run[a] == run[b]) & (PERCENT * size[b] <= 100 * size[a])
-    pairs = np.unique(np.stack([sig[a[joined]], sig[b[joined]]], 1), axis=0)
+    start = np.maximum.accumulate(np.where(np.append(True, ~joined), np.arange(len(kept)), 0))
+    first = kept[start[1:]]
+    pairs = np.unique(np.stack([sig[first[joined]], sig[b[joined]]], 1), axis=0)
     return pairs[:, 0], pairs[:, 1]
 
 
