@@ -33,6 +33,32 @@ def test_encoder_equals_the_library(plain):
         assert got == [[*plain(t), 1] for t in texts]
 
 
+def test_runs_of_marks_behind_letters(plain):
+    import pyarrow as pa
+
+    stems = ["word", "\u00fcber", "AL\u0130", "don't", "x1", "it's", "a-b", "\u6f22\u5b57", "e\u0301", ""]
+    runs = ["", "$$$", "%%%", "!!", "###", "***", "&&&", "'", "''", "'s", ".,", "|", "\\", "_", "...\u2026", "$a", "\u0338", "`~^"]
+    texts = [f"{w}{r}" for w in stems for r in runs]
+    texts += [" ".join(texts), "\n".join(texts * 3)]
+    own = Encoder(default_tokenizer(), max_words=60)
+    column = pa.array(["left out", *texts, "left out"], pa.string()).slice(1, len(texts))
+    for _ in range(3):
+        for _, _, bounds, ids in own.encode(column, 1):
+            assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [[*plain(t), 1] for t in texts]
+
+
+def test_table_keeps_words_of_several_slices(plain):
+    import pyarrow as pa
+
+    own = Encoder(default_tokenizer(), max_words=50)
+    for k in range(30):
+        text = "the same old story " + " ".join(f"w{chr(97 + k % 26)}{chr(97 + j)}" for j in range(12))
+        for _, _, _, ids in own.encode(pa.array([text], pa.string()), 1):
+            assert ids.tolist() == [*plain(text), 1]
+        assert len(own.known) <= 50 + 16
+    assert {"the", "same", "old", "story"} <= set(own.known)
+
+
 def test_letters_that_become_marks(plain):
     import pyarrow as pa
 
