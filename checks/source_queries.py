@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from checks.registry import add, rounded
 from checks.tables import CLOSE_SHARE, T0_US, Plant, at, events_stream, plant_events, table, wall_us, zeek_lines
@@ -14,7 +17,7 @@ from wirebook.schemas import EVENT_SCHEMAS
 from wirebook.sources import messages, tables
 from wirebook.sources.events import normalize, of_type
 from wirebook.sources.zeek import parse_lines, read_zeek
-from wirebook.streaming import consume, monitor
+from wirebook.streaming import consume, monitor, silence
 
 EDGE = "src_ip, dst_ip, protocol, port, function_code"
 
@@ -224,19 +227,33 @@ def _consumed(p: Plant) -> str:
     return root
 
 
-def _stream(p: Plant, df: DataFrame, mode: str) -> DataFrame:
-    """Run a stream to its end into files and read them back."""
+def _stream(p: Plant, df: DataFrame, mode: str, batches: int = 0) -> DataFrame:
+    """Run a stream to its end, or for some batches, into files and read them back."""
     root = tables.shared_dir(p.spark)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
 
-    query = df.writeStream.outputMode(mode).foreachBatch(write).trigger(availableNow=True).option(
-        "checkpointLocation", f"{root}/checkpoint").start()
-    query.awaitTermination()
+    writer = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint")
+    if batches:
+        run_on(writer.trigger(processingTime="100 milliseconds").start(), batches)
+    else:
+        writer.trigger(availableNow=True).start().awaitTermination()
     return p.spark.read.parquet(f"{root}/out")
 
 
+def run_on(query: StreamingQuery, batches: int) -> None:
+    """Wait for so many batches, then stop; a query with timers has no end of its own."""
+    try:
+        while query.isActive and (query.lastProgress or {"batchId": -1})["batchId"] < batches:
+            time.sleep(0.1)
+    finally:
+        failure = query.exception()
+        query.stop()
+    if failure:
+        raise failure
+
+
 def _comm_stream(p: Plant) -> DataFrame:
     return normalize(plant_events(events_stream(p.spark, p.sf, 3)).withWatermark("ts", "10 minutes"))
 
@@ -306,6 +323,28 @@ add("STR-6", _silence,
     g AS (SELECT ip, us, sum(fresh) OVER (PARTITION BY ip ORDER BY us ROWS UNBOUNDED PRECEDING) AS n FROM s),
     w AS (SELECT ip, max(us) AS last_seen, max(us) + 600000000 AS silent_at, CAST(600 AS DOUBLE) AS threshold_s, count(*) AS packets FROM g GROUP BY ip, n)
     SELECT * FROM w WHERE silent_at <= (SELECT max(us) // 1000 * 1000 - 600000000 FROM ev)""")
+#: How long after the last event the clock of the silence check stands.
+CLOCK_AFTER_US = 1_200_000_000
+
+
+def _clock_silence(p: Plant) -> DataFrame:
+    """Last alerts of senders while the clock stands some minutes after the last of three batches."""
+    raw = events_stream(p.spark, p.sf, 3).select(
+        F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")).alias("orig_h"), F.col("ts").cast("timestamp").alias("ts"))
+    newest = table(p.spark, p.sf, "events").agg(F.max(wall_us("ts")).alias("us")).first().us
+    roles = p.spark.range(8).selectExpr("concat('10.0.0.', id * 3 + 1) AS ip", "element_at(array('plc', 'hmi', 'Engineering', 'other'), CAST(id % 4 + 1 AS INT)) AS role")
+    alerts = silence.clock_silence_alerts(raw, roles, clock=silence.Clock(newest + CLOCK_AFTER_US, speed=0))
+    rows = _stream(p, alerts, "update", batches=6)
+    last = rows.groupBy("ip").agg(F.max_by(F.struct("role", "last_seen", "silent_for_s", "threshold_s", "severity"), F.struct("last_seen", "batch")).alias("a"))
+    return last.where("a.severity IS NOT NULL").select("ip", "a.*")
+
+
+add("STR-6-clock", _clock_silence,
+    f""", s AS (SELECT '10.0.0.' || user_id AS ip, user_id, max(us) AS last_seen, (SELECT max(us) + {CLOCK_AFTER_US} FROM ev) AS now FROM ev GROUP BY user_id),
+    r AS (SELECT *, CASE WHEN user_id % 3 = 1 AND user_id <= 22 THEN ['plc', 'hmi', 'Engineering', 'other'][((user_id - 1) // 3) % 4 + 1] END AS role FROM s),
+    t AS (SELECT ip, role, last_seen, (now - last_seen) / 1e6 AS silent_for_s, CAST(CASE lower(role) WHEN 'plc' THEN 300 WHEN 'hmi' THEN 900 WHEN 'engineering' THEN 3600 ELSE 600 END AS DOUBLE) AS threshold_s FROM r)
+    SELECT *, CASE WHEN silent_for_s >= 6 * threshold_s THEN 'high' WHEN silent_for_s >= 2 * threshold_s THEN 'medium' ELSE 'low' END AS severity
+    FROM t WHERE silent_for_s >= threshold_s""")
 add("STR-7", lambda p: p.spark.read.parquet(f"{_consumed(p)}/counts").agg(
         F.sum("consumed").alias("consumed"), F.sum("ingested").alias("ingested"), F.sum("errors").alias("errors")),
     f"SELECT count(*) AS consumed, count(*) FILTER ({GOOD}) AS ingested, count(*) FILTER (NOT ({GOOD})) AS errors FROM plant")

@@ -1,15 +1,17 @@
 import json
+import time
 from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import at, rows
+from tests.conftest import T0, at, rows
 from wirebook.operators import fold
 from wirebook.plans import pipeline
 from wirebook.sources import messages, tables
 from wirebook.sources.events import normalize, of_type
-from wirebook.streaming import consume, monitor
+from wirebook.operators.coverage import silent_devices
+from wirebook.streaming import consume, monitor, silence
 
 ENDS = {"uid": "Cabc", "orig_h": "10.0.0.57", "orig_p": 2578, "resp_h": "10.0.0.3", "resp_p": 502}
 MODBUS = {"ts": "2004-08-26T12:00:00+00:00", **ENDS, "func": "READ_COILS", "exception": None}
@@ -165,3 +167,73 @@ def test_pipeline_from_logs(spark, tmp_path):
     assert out["silence"].first().severity == "high" and out["stats"].first().edge_count == 1
     tactic = {r.tactic for r in pipeline.attack_map(graph, at(-1))[1].collect()}
     assert "Discovery" in tactic
+
+
+def sightings(spark, path, *batches):
+    """A stream of (seconds, sender) in the given batches."""
+    for k, batch in enumerate(batches):
+        made = [(ip, None if t is None else at(t)) for t, ip in batch]
+        spark.createDataFrame(made, "orig_h string, ts timestamp").coalesce(1).write.mode("append").parquet(f"{path}/{k}")
+    return spark.readStream.schema("orig_h string, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(path))
+
+
+def alerts_of(alerts, tmp_path, done, seconds=60):
+    """Run alerts until ``done`` of the rows (batch, alert ...), in order."""
+    found = []
+
+    def keep(batch, batch_id):
+        found.extend((batch_id, *r) for r in batch.collect())
+
+    query = alerts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="100 milliseconds").start()
+    try:
+        stop = time.time() + seconds
+        while time.time() < stop and query.isActive and not done(found, query):
+            time.sleep(0.1)
+    finally:
+        query.stop()
+    assert query.exception() is None
+    return sorted(found)
+
+
+def test_clock_silence_equals_the_batch_query(spark, tmp_path):
+    """After several batches the last alerts are those of the batch query at the moment the clock shows."""
+    first = [(0, "a"), (10, "b"), (5, "c"), (0, "d"), (None, "e"), (1, None)]
+    second = [(2000, "a"), (1500, "b"), (3, "c"), *[(k % 900, "d") for k in range(3000)]]
+    third = [(3500, "b"), (2500, "a"), (3100, "f")]
+    roles = spark.createDataFrame([("a", "PLC"), ("c", "engineering"), ("d", "hmi"), ("x", "plc")], "ip string, role string")
+    now = 3900
+    clock = silence.Clock(int(at(now).timestamp() * 1e6), speed=0)
+    stream = sightings(spark, tmp_path / "in", first, second, third)
+    got = alerts_of(silence.clock_silence_alerts(stream, roles, clock=clock), tmp_path, lambda _, q: (q.lastProgress or {"batchId": 0})["batchId"] >= 6)
+    last = {r[1]: (r[2], r[3], r[5], r[6], r[7]) for r in got}
+    comm = [(t, ip) for batch in (first, second, third) for t, ip in batch if t is not None and ip is not None]
+    seen = {}
+    for t, ip in comm:
+        seen[ip] = max(t, seen.get(ip, t))
+    devices = spark.createDataFrame([(ip, at(t)) for ip, t in seen.items()], "ip string, last_seen timestamp").join(roles, "ip", "left")
+    edges = spark.createDataFrame([(ip,) for ip in seen], "src_ip string")
+    batch = silent_devices(edges, devices, at(now)).collect()
+    assert len(batch) > 2
+    assert {ip: a for ip, a in last.items() if a[-1]} == {r.ip: (r.role, r.last_seen, r.silent_for_s, r.threshold_s, r.severity) for r in batch}
+
+
+def test_silence_alerts_without_events_and_ends_with_one(spark, tmp_path):
+    """On a live clock severity rises though nothing comes; the next event ends the alert."""
+    now = time.time()
+    path = tmp_path / "in"
+    stream = sightings(spark, path, [(now - T0.timestamp(), "a")])
+    sent = []
+
+    def done(found, query):
+        levels = [r[-1] for r in found]
+        if levels[-1:] == ["high"] and not sent:
+            sent.append(time.time() + 60 - T0.timestamp())
+            sightings(spark, path / "later", [(sent[0], "a")])
+        return None in levels
+
+    alerts = silence.clock_silence_alerts(stream, default_seconds=2.0)
+    got = alerts_of(alerts, tmp_path, done, 90)
+    assert [r[-1] for r in got] in (["low", "medium", "high", None], ["medium", "high", None], ["low", "high", None], ["high", None])
+    for r in got[:-1]:
+        assert r[5] >= {"low": 2, "medium": 4, "high": 12}[r[-1]]
+    assert abs(got[-1][3].timestamp() - at(sent[0]).timestamp()) < 1e-3

@@ -287,9 +287,17 @@ def threshold_for_role(
     return F.coalesce(lookup(seconds, F.lower(role), "double"), F.lit(float(default_seconds)))
 
 
+#: Severities of silence, and from how many times the threshold on.
+SEVERITIES = [("low", 0.0), ("medium", 2.0), ("high", 6.0)]
+
+
 def severity(silent: Column, threshold: Column) -> Column:
     ratio = silent / F.greatest(threshold, F.lit(1.0))
-    return F.when(ratio >= 6.0, "high").when(ratio >= 2.0, "medium").otherwise("low")
+    (lowest, _), *higher = SEVERITIES
+    found = F.lit(lowest)
+    for name, times in higher:
+        found = F.when(ratio >= times, name).otherwise(found)
+    return found
 
 
 def _silent_for(now: datetime | Column) -> Column:
