@@ -17,7 +17,7 @@ from wirebook.schemas import EVENT_SCHEMAS
 from wirebook.sources import messages, tables
 from wirebook.sources.events import normalize, of_type
 from wirebook.sources.zeek import parse_lines, read_zeek
-from wirebook.streaming import consume, monitor, silence
+from wirebook.streaming import consume, late, monitor, silence
 
 EDGE = "src_ip, dst_ip, protocol, port, function_code"
 
@@ -293,6 +293,93 @@ add("STR-4", lambda p: rounded(_stream(p, monitor.rolling_baseline(_feed_stream(
       CAST(sum(packet_count) AS BIGINT) AS total_packets, round(avg(value), 6) AS mean_interval_ms, count(DISTINCT protocol) AS protocol_count
       FROM feed GROUP BY ALL)
     SELECT * FROM t WHERE window_end <= (SELECT max(us) // 1000 * 1000 - 600000000 FROM feed)""")
+#: Parts in which the events arrive; every 50th is held back to the last.
+PARTS, HELD = 3, 50
+
+
+def _arrivals(p: Plant) -> DataFrame:
+    """Feed rows with the part they arrive in: in order of time, but for those held back."""
+    events = table(p.spark, p.sf, "events")
+    ends = events.agg(F.min(wall_us("ts")).alias("a"), F.max(wall_us("ts")).alias("b")).first()
+    k = F.get_json_object("props", "$.k").cast("int")
+    part = F.floor((wall_us("ts") - ends.a) * PARTS / (ends.b - ends.a + 1)).cast("int")
+    return events.select(
+        F.concat(F.lit("10.0.0."), (F.col("user_id") % 12).cast("string")).alias("ip"), F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_type").alias("protocol"), (k % 10 + 1).cast("bigint").alias("packet_count"), F.col("value").alias("avg_interval_ms"),
+        F.when(F.col("event_id") % HELD == 0, PARTS - 1).otherwise(part).alias("part"))
+
+
+def _in_parts(p: Plant, start) -> str:
+    """Let the parts arrive one after the other; the query goes on from its checkpoint each time.
+
+    ``start`` takes the stream, a folder for results and one for the checkpoint.
+    """
+    root, rows = tables.shared_dir(p.spark), _arrivals(p)
+    schema = rows.drop("part").schema
+    for part in range(PARTS):
+        rows.where(F.col("part") == part).drop("part").write.parquet(f"{root}/in/{part}")
+        stream = p.spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        start(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return f"{root}/out"
+
+
+def _late_windows(p: Plant, kind: str) -> str:
+    return _in_parts(p, lambda feed, out, checkpoint: late.start_windows(feed, out, checkpoint, kind, available_now=True))
+
+
+def _native_windows(p: Plant, kind: str, mode: str) -> DataFrame:
+    """Spark's own windows over the same parts; the last state of each window in update mode."""
+
+    def start(feed: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+        def write(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+        windowed = monitor.rolling_baseline(feed, kind).writeStream.outputMode(mode)
+        return windowed.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    rows = p.spark.read.parquet(_in_parts(p, start))
+    keys, rest = late.KEY, [c for c in rows.columns if c not in (*late.KEY, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("s")).select(*keys, "s.*")
+
+
+ARRIVALS = f""", ends AS (SELECT min(us) AS a, max(us) AS b FROM ev),
+  arr AS (SELECT '10.0.0.' || (user_id % 12) AS ip, us, event_type AS protocol, k % 10 + 1 AS packet_count, value,
+    CASE WHEN event_id % {HELD} = 0 THEN {PARTS - 1} ELSE (us - a) * {PARTS} // (b - a + 1) END AS part FROM ev, ends),
+  marks AS (SELECT p, (SELECT max(us) FROM arr WHERE part < p) - 600000000 AS mark FROM range({PARTS}) r(p)),
+  wt AS (SELECT arr.*, mark, us // 300000000 * 300000000 AS s, us // 300000000 * 300000000 + 300000000 AS e FROM arr JOIN marks ON p = part),
+  wl AS (SELECT arr.*, mark, (us // 300000000 - i) * 300000000 AS s, (us // 300000000 - i) * 300000000 + 1800000000 AS e FROM arr JOIN marks ON p = part, range(6) r(i))
+  """
+TUMBLED = """SELECT ip, s AS window_start, e AS window_end, CAST(sum(packet_count) AS BIGINT) AS total_packets, round(avg(value), 6) AS mean_interval_ms,
+  count(DISTINCT protocol) AS protocol_count FROM wt WHERE {where} GROUP BY ip, s, e"""
+SLID = """SELECT ip, s AS window_start, e AS window_end, CAST(sum(packet_count) AS BIGINT) AS total_packets, round(avg(value), 6) AS mean_interval_ms,
+  round(stddev_samp(value), 6) AS std_interval_ms, coalesce(avg(value) > 0 AND stddev_samp(value) / avg(value) > 0.2, false) AS anomaly_candidate
+  FROM wl WHERE {where} GROUP BY ip, s, e"""
+ON_TIME = "mark IS NULL OR e > mark"
+add("STR-4-open", lambda p: rounded(late.read_windows(p.spark, _late_windows(p, "tumbling")), "mean_interval_ms"),
+    ARRIVALS + TUMBLED.format(where=ON_TIME))
+add("STR-4-late", lambda p: late.read_late(p.spark, _late_windows(p, "sliding")).drop("batch"),
+    ARRIVALS + "SELECT ip, us AS ts, protocol, packet_count, value AS avg_interval_ms, s AS window_start, e AS window_end, mark AS watermark FROM wl WHERE e <= mark")
+add("STR-4-with-late", lambda p: rounded(late.read_windows(p.spark, _late_windows(p, "sliding"), "sliding", with_late=True), "mean_interval_ms", "std_interval_ms"),
+    ARRIVALS + SLID.format(where="true"))
+
+
+def _accounted(p: Plant) -> DataFrame:
+    """Rows in windows and in the side table against all rows."""
+    out = _late_windows(p, "tumbling")
+    none = F.lit(None).cast("bigint")
+    counted = late.read_windows(p.spark, out).select(F.col("total_packets").alias("counted"), none.alias("late"))
+    missed = late.read_late(p.spark, out).select(none.alias("counted"), F.col("packet_count").alias("late"))
+    sums = counted.unionByName(missed).agg(F.sum("counted").alias("counted"), F.sum("late").alias("late"), F.count("late").alias("late_rows"))
+    return sums.withColumn("all_packets", F.col("counted") + F.col("late"))
+
+
+add("STR-4-account", _accounted,
+    ARRIVALS + f"""SELECT CAST(sum(packet_count) FILTER ({ON_TIME}) AS BIGINT) AS counted, CAST(sum(packet_count) FILTER (e <= mark) AS BIGINT) AS late,
+      count(*) FILTER (e <= mark) AS late_rows, CAST(sum(packet_count) AS BIGINT) AS all_packets FROM wt""")
+# Spark's watermark is in whole milliseconds.
+WHOLE_MS = ARRIVALS.replace("- 600000000 AS mark", "// 1000 * 1000 - 600000000 AS mark")
+add("STR-3-parts", lambda p: rounded(_native_windows(p, "sliding", "update"), "mean_interval_ms", "std_interval_ms"),
+    WHOLE_MS + SLID.format(where=ON_TIME))
 NEW_KEYS = PLANT_EDGES.format(where="true").replace("SELECT *, CASE", ", f AS (SELECT *, CASE") + ") "
 
 

@@ -11,7 +11,8 @@ from wirebook.plans import pipeline
 from wirebook.sources import messages, tables
 from wirebook.sources.events import normalize, of_type
 from wirebook.operators.coverage import silent_devices
-from wirebook.streaming import consume, monitor, silence
+from wirebook.operators.windows import sliding_window, tumbling_window
+from wirebook.streaming import consume, late, monitor, silence
 
 ENDS = {"uid": "Cabc", "orig_h": "10.0.0.57", "orig_p": 2578, "resp_h": "10.0.0.3", "resp_p": 502}
 MODBUS = {"ts": "2004-08-26T12:00:00+00:00", **ENDS, "func": "READ_COILS", "exception": None}
@@ -237,3 +238,50 @@ def test_silence_alerts_without_events_and_ends_with_one(spark, tmp_path):
     for r in got[:-1]:
         assert r[5] >= {"low": 2, "medium": 4, "high": 12}[r[-1]]
     assert abs(got[-1][3].timestamp() - at(sent[0]).timestamp()) < 1e-3
+
+
+FEED = "ip string, ts timestamp, protocol string, packet_count long, avg_interval_ms double"
+
+
+@pytest.mark.parametrize("kind", ["tumbling", "sliding"])
+def test_late_rows_are_kept_apart_and_replays_count_once(spark, tmp_path, kind):
+    def feed(*made):
+        return spark.createDataFrame([(ip, None if t is None else at(t), p, n, x) for ip, t, p, n, x in made], FEED)
+
+    root = str(tmp_path)
+    first = [("a", 10, "modbus", 1, 5.0), ("a", 20, "dnp3", 2, 7.0), ("b", 1500, "modbus", 4, None), (None, 30, None, None, 1.0)]
+    second = [("a", 250, "modbus", 8, 1.0), ("b", 1000, "x", 16, 2.0), ("a", 4000, "x", 32, 3.0), ("a", None, "x", 64, 4.0)]
+    third = [("a", 260, "modbus", 128, 9.0), ("b", 3999, "y", 256, 1.5)]
+    batches = [first, second, third]
+    for k, batch in enumerate(batches):
+        late.window_batch(feed(*batch), k, root, kind, 600)
+        late.window_batch(feed(*batch), k, root, kind, 600)
+    length, slide = (300, 300) if kind == "tumbling" else (1800, 300)
+    windows = lambda t: [s for s in range(t // slide * slide - length + slide, t + 1, slide)]
+    on_time, missed, mark = [], [], None
+    for batch in batches:
+        for row in batch:
+            if row[1] is None:
+                missed.append((row, None))
+                continue
+            for s in windows(row[1]):
+                (on_time if mark is None or s + length > mark else missed).append((row, s))
+        mark = max([r[1] for r in batch if r[1] is not None] + ([] if mark is None else [mark + 600])) - 600
+    sides = late.read_late(spark, root)
+    seconds = lambda c: F.unix_seconds(c) - int(at(0).timestamp())
+    got = sides.select("ip", seconds(F.col("ts")).alias("t"), "protocol", "packet_count", "avg_interval_ms", seconds(F.col("window_start")).alias("s"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(((*r, s) for r, s in missed), key=repr)
+    assert sides.where("batch = 2").count() > 0
+    sums = {}
+    for row, s in on_time:
+        sums.setdefault((row[0], s), []).append(row)
+    found = {(r.ip, r.s): r for r in late.read_windows(spark, root, kind).withColumn("s", seconds(F.col("window_start"))).collect()}
+    assert set(found) == set(sums)
+    for key, members in sums.items():
+        packets = [r[3] for r in members if r[3] is not None]
+        assert found[key].total_packets == (sum(packets) if packets else None)
+    # With the late rows all is as if no row had been late.
+    whole = late.read_windows(spark, root, kind, with_late=True)
+    plain = (tumbling_window if kind == "tumbling" else sliding_window)(feed(*first, *second, *third).where("ts IS NOT NULL"))
+    near = [F.round(c, 9).alias(c) if c.endswith("_ms") else F.col(c) for c in plain.columns]
+    assert rows(whole.select(*plain.columns).select(*near)) == rows(plain.select(*near))
