@@ -224,16 +224,16 @@ def greedy(steps, observed):
     return matched
 
 
-@pytest.mark.parametrize("salts", [1, 5])
-def test_signatures_equal_a_plain_greedy_loop(spark, edges, salts):
-    rng = random.Random(salts)
+@pytest.mark.parametrize("stretch_bits", [0, 2, 10])
+def test_signatures_equal_a_plain_greedy_loop(spark, edges, stretch_bits):
+    rng = random.Random(stretch_bits)
     signatures = [
-        catalog.Signature(f"s{n}", [catalog.Step(rng.choice("mnd"), [c for c in ("A", "B", "C") if rng.random() < 0.5]) for _ in range(n)])
-        for n in (1, 2, 3, 4, 4)
+        catalog.Signature(f"s{k}", [catalog.Step(rng.choice("mnd"), [c for c in ("A", "B", "C") if rng.random() < 0.5]) for _ in range(n)])
+        for k, n in enumerate((1, 2, 3, 4, 4))
     ]
     sequences = {f"d{i}": [(rng.choice("mndMX"), rng.choice("abCx")) for _ in range(rng.randint(1, 25))] for i in range(12)}
     e = edges(*[(ip, f"peer{j:03d}", p, 1, c, j // 2, j // 2, 1) for ip, seq in sequences.items() for j, (p, c) in enumerate(seq)])
-    got = {(r.ip, r.signature_name): r.matched for r in procid.match_signatures(e, signatures, min_score=0.0, salts=salts).collect()}
+    got = {(r.ip, r.signature_name): r.matched for r in procid.match_signatures(e, signatures, min_score=0.0, stretch_bits=stretch_bits).collect()}
     ordered = {}
     for r in procid.device_sequences(e).collect():
         ordered.setdefault(r.ip, []).append((r.protocol, r.function_code))
@@ -242,6 +242,21 @@ def test_signatures_equal_a_plain_greedy_loop(spark, edges, salts):
     assert got == want
 
 
+def test_a_hot_device_over_many_tasks(spark, edges):
+    """One device has nearly all edges; its stretches meet in order wherever tasks cut them."""
+    rng = random.Random(9)
+    steps = [catalog.Step(p, []) for p in "abcdefab"]
+    seq = [rng.choice("abcdefxyz") for _ in range(1500)]
+    e = edges(*[("hot", f"p{j:04d}", p, 1, "F", j, j, 1) for j, p in enumerate(seq)], ("cold", "p", "a", 1, "F", 0, 0, 1))
+    signatures = [catalog.Signature("long", steps), catalog.Signature("none", []), catalog.Signature("rare", [catalog.Step("q", []), *steps])]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.ip, r.signature_name): r.matched for r in procid.match_signatures(e.repartition(7), signatures, min_score=0.0, stretch_bits=4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {("hot", "long"): 8, ("hot", "none"): 0, ("hot", "rare"): 0, ("cold", "long"): 1, ("cold", "none"): 0, ("cold", "rare"): 0}
+
+
 def test_deviation_text(spark, edges):
     e = edges(*[("a", "b", "modbus", 502, c, t, t, 1) for t, c in enumerate(["flow", "READ_COILS", "flow", "READ_HOLDING_REGISTERS"])])
     full = procid.score_matches(procid.match_signatures(e)).first()

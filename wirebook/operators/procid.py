@@ -2,10 +2,11 @@
 
 A signature matches greedily: its first step takes the first edge that fits,
 the next step the first later edge that fits, and so on; a step without an
-edge ends the match.  The place of a step is thus a minimum over the edges
-after the place of the step before.  Each step is one join with the places
-found so far and one aggregation; the edges of a device never have to come
-together in one task.
+edge ends the match.  What a stretch of edges does to a match is thus a small
+table: for every number of steps matched before it, the number matched after
+it.  Such tables are made for stretches of bounded length and put together in
+order, so the edges of a device never have to come together in one task,
+however many they are, and a device with few edges costs one row.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 from wirebook import catalog
 
-SALTS = 16
+#: Edges of a stretch, as a power of two.
+STRETCH_BITS = 10
 _PLACE = ["first_seen", "protocol", "function_code", "dst_ip", "port"]
 
 
@@ -43,18 +45,55 @@ def step_matches(step: catalog.Step, protocol: Column, function_code: Column) ->
     return same & F.upper(function_code).isin([c.upper() for c in step.function_codes])
 
 
-def _hits(observed: DataFrame, signatures: list[catalog.Signature], number: int) -> DataFrame | None:
-    """Edges that fit step ``number`` of a signature: (ip, signature, place)."""
-    fits = [
-        F.when(step_matches(s.steps[number], F.col("protocol"), F.col("function_code")), F.lit(i))
-        for i, s in enumerate(signatures)
-        if number < len(s.steps)
-    ]
-    if not fits:
-        return None
-    return observed.select(
-        "ip", F.explode(F.array_compact(F.array(*fits))).alias("signature"), F.struct(*_PLACE).alias("place")
-    )
+def _fits(signatures: list[catalog.Signature]) -> Column:
+    """Per signature the steps that an edge fits, a bit for each."""
+    masks = []
+    for s in signatures:
+        mask = F.lit(0).cast("bigint")
+        for k, step in enumerate(s.steps):
+            fits = step_matches(step, F.col("protocol"), F.col("function_code"))
+            mask = mask + F.when(fits, F.lit(1 << k).cast("bigint")).otherwise(0)
+        masks.append(mask)
+    return F.array(*masks)
+
+
+def _put_together(tables: Column, start: Column) -> Column:
+    """One table out of several in order: what the next makes of where the one before ends."""
+
+    def follow(before: Column, after: Column) -> Column:
+        return F.transform(before, lambda ends, i: F.transform(ends, lambda e: F.get(F.get(after, i), e)))
+
+    return F.aggregate(tables, start, follow)
+
+
+def _progress(observed: DataFrame, signatures: list[catalog.Signature], stretch_bits: int) -> DataFrame:
+    """(ip, table): steps matched by all edges of a device, for each signature and number of steps before.
+
+    Edges are ordered by a range shuffle and numbered inside a task, which
+    gives stretches; then the stretches of a task, then the tasks of a device
+    are put together.
+    """
+    fitting = observed.withColumn("fits", _fits(signatures)).where(F.exists("fits", lambda m: m > 0))
+    ordered = fitting.repartitionByRange("ip", *_PLACE).sortWithinPartitions("ip", *_PLACE)
+    numbered = ordered.select("ip", "fits", F.monotonically_increasing_id().alias("at"))
+    start = F.array(*[F.array(*[F.lit(k) for k in range(len(s.steps) + 1)]) for s in signatures])
+
+    def step(before: Column, edge: Column) -> Column:
+        def on(ends: Column, i: Column) -> Column:
+            mask = F.get(edge["fits"], i)
+            return F.transform(ends, lambda e: e + F.getbit(mask, e).cast("int"))
+
+        return F.transform(before, on)
+
+    # Numbers start anew with each task, at a multiple of any stretch.
+    stretch, task = F.shiftright("at", stretch_bits), F.shiftright("at", 33 - stretch_bits)
+    edges = F.sort_array(F.collect_list(F.struct("at", "fits")))
+    tables = numbered.groupBy("ip", stretch.alias("at")).agg(F.aggregate(edges, start, step).alias("table"))
+    for group in ([task.alias("task")], []):
+        parts = F.sort_array(F.collect_list(F.struct("at", "table")))
+        whole = _put_together(F.transform(parts, lambda x: x["table"]), start)
+        tables = tables.groupBy("ip", *group).agg(F.min("at").alias("at"), whole.alias("table")).select("ip", "at", "table")
+    return tables.select("ip", "table")
 
 
 def match_signatures(
@@ -62,24 +101,22 @@ def match_signatures(
     signatures: list[catalog.Signature] | None = None,
     partial: bool = True,
     min_score: float = catalog.PARTIAL_MATCH_SCORE,
-    salts: int = SALTS,
+    stretch_bits: int = STRETCH_BITS,
 ) -> DataFrame:
     """Signatures that devices match in full, or in part with ``partial``.
 
     Columns: ip, signature_name, signature_idx, full_match, matched, n_steps,
-    score.  ``salts`` is the number of tasks the edges of one device are
-    spread over when they are compared with its places.
+    score.  A signature has 62 steps at most.
     """
     signatures = catalog.SIGNATURES if signatures is None else signatures
     observed = _observed(edges)
-    first = _hits(observed, signatures, 0)
-    schema = "ip string, signature int, matched int"
-    if first is None:
-        found = catalog.local_frame(edges.sparkSession, [], schema)
+    if max((len(s.steps) for s in signatures), default=0) > 62:
+        raise ValueError("a signature has 62 steps at most")
+    if not any(s.steps for s in signatures):
+        found = catalog.local_frame(edges.sparkSession, [], "ip string, signature int, matched int")
     else:
-        found = first.groupBy("ip", "signature").agg(F.min("place").alias("place")).withColumn("matched", F.lit(1))
-        for number in range(1, max(len(s.steps) for s in signatures)):
-            found = _next_step(found, _hits(observed, signatures, number), salts)
+        tables = _progress(observed, signatures, stretch_bits).select("ip", F.posexplode("table").alias("signature", "ends"))
+        found = tables.select("ip", "signature", F.get("ends", F.lit(0)).alias("matched")).where("matched > 0")
     if partial and min_score <= 0:
         # Only then do devices without a single fitting edge count as well.
         every = observed.select("ip").distinct().select(
@@ -108,26 +145,6 @@ def match_signatures(
     )
 
 
-def _next_step(found: DataFrame, hits: DataFrame, salts: int) -> DataFrame:
-    """Advance every match by one step, where a later edge fits.
-
-    The few places are repeated once per salt and the many edges carry one
-    salt each, so that a busy device is compared in several tasks.  A match
-    that stopped has no place, and no edge comes after that.
-    """
-    places = found.select(
-        "ip", "signature", "matched", "place", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    )
-    later = hits.select("ip", "signature", F.col("place").alias("next"), F.pmod(F.xxhash64("place"), F.lit(salts)).cast("int").alias("salt"))
-    after = F.when(F.col("next") > F.col("place"), F.col("next"))
-    step = places.join(later, ["ip", "signature", "salt"], "left").groupBy("ip", "signature").agg(
-        F.max("matched").alias("matched"), F.min(after).alias("place")
-    )
-    return step.select(
-        "ip", "signature", "place", (F.col("matched") + F.col("place").isNotNull().cast("int")).alias("matched")
-    )
-
-
 def score_matches(
     matches: DataFrame,
     threshold: float = catalog.DEVIATION_THRESHOLD,
