@@ -122,16 +122,19 @@ def test_classifier_needs_two_labels_and_caps_confidence(spark, edges):
     assert {r.role for r in roles.predict(p, e).where("ip like 'd%'").collect()} == {"rtu"}
 
 
-@pytest.mark.parametrize("cells", [2, 4096])
-def test_grouped_quantiles_equal_numpy(spark, cells):
+@pytest.mark.parametrize(("k", "margin"), [(2048, 3.0), (8, 3.0), (16, -2.0)])
+def test_grouped_quantiles_equal_numpy(spark, monkeypatch, k, margin):
+    """Also where the sketch is coarse, and where every bracket misses."""
+    monkeypatch.setattr(stats, "SKETCH_MARGIN", margin)
     rng = np.random.default_rng(3)
     groups = {"hot": rng.uniform(100, 1000, 5000).round(2), "ties": np.repeat([5.0, 250.5, 251.0], [10, 3, 7]), "one": np.array([42.0]), "two": np.array([1.0, 2.0]),
               "signs": np.concatenate((-rng.exponential(3, 300), np.zeros(9), rng.exponential(1e6, 200), [8.0, 4.0, -8.0, 1e-300]))}
+    groups[None] = np.arange(7.0)
     df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "k string, v double").repartition(5)
-    got = stats.grouped_quantiles(df, ["k"], "v", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, cells)
-    for r in got.collect():
+    got = stats.grouped_quantiles(df, ["k"], "v", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, k).collect()
+    for r in got:
         assert np.allclose([r.q1, r.q2, r.q3], np.percentile(groups[r.k], [25, 50, 75]), rtol=0, atol=1e-9)
-    assert got.count() == 5
+    assert len(got) == 6
 
 
 def test_baseline_and_scores(spark, edges):
