@@ -18,11 +18,13 @@ from wirebook.operators import (
     detect,
     fold,
     hierarchy,
+    policy,
     procid,
     roles,
     windows,
     zones,
 )
+from wirebook.operators.extensions import Registry
 from wirebook.sources.tables import shared_dir
 
 START, END, CAPTURED, NOW_AT, CUT = at(T0_US), at(T0_US + 60_000_000), at(NOW_US), at(NOW_US), at(BASELINE_END_US)
@@ -416,16 +418,24 @@ CAPTURES = (1, 10, 60)
 
 def _snapshots(p: Plant) -> DataFrame:
     """Baselines of several windows, saved for some devices only, as if the others were unknown."""
-    return _saved(p, p.devices.where(F.col("ip").endswith("1") | F.col("ip").endswith("2")))
+    return _taken(baseline.read_snapshots(p.spark, _saved(p, p.devices.where(F.col("ip").endswith("1") | F.col("ip").endswith("2")))))
 
 
-def _saved(p: Plant, known: DataFrame) -> DataFrame:
-    """Baselines of several windows, saved to the snapshot table and read back."""
+def _saved(p: Plant, known: DataFrame) -> str:
+    """Folder of a snapshot table with the baselines of several windows; the last capture is saved twice."""
     path = shared_dir(p.spark)
-    for s in CAPTURES:
+    for s in (*CAPTURES, CAPTURES[-1]):
         end = at(T0_US + s * 1_000_000)
         baseline.save_snapshots(baseline.capture_baselines(p.edges, START, end, end), known, path)
-    return baseline.read_snapshots(p.spark, path).select("ip", "captured_at", "total_edges", "peer_count", "periodic_edge_count", "protocols")
+    return path
+
+
+def _taken(snapshots: DataFrame) -> DataFrame:
+    return snapshots.select("ip", "captured_at", "total_edges", "peer_count", "periodic_edge_count", "protocols")
+
+
+def _history(p: Plant) -> DataFrame:
+    return _taken(baseline.read_snapshots(p.spark, _saved(p, p.devices)))
 
 
 SNAP = ", snap AS (" + " UNION ALL ".join(f"""SELECT src_ip AS ip, CAST({T0_US + s * 1_000_000} AS BIGINT) AS captured_at, count(*) AS total_edges,
@@ -435,19 +445,16 @@ SNAP = ", snap AS (" + " UNION ALL ".join(f"""SELECT src_ip AS ip, CAST({T0_US +
   """
 LATEST = "SELECT * FROM snap QUALIFY row_number() OVER (PARTITION BY ip ORDER BY captured_at DESC) = 1"
 add("BASE-6", _snapshots, SNAP + "SELECT * FROM snap")
-add("BASE-7", lambda p: baseline.latest_snapshots(_snapshots(p)), SNAP + LATEST)
-add("ORD-3", lambda p: baseline.latest_snapshots(_snapshots(p), p.devices.where(F.col("ip").endswith("2"))),
-    SNAP + LATEST.replace("FROM snap", "FROM snap WHERE ip LIKE '%2'"))
-add("BASE-8", lambda p: baseline.baseline_ages(_snapshots(p), at(T0_US + 90_000_000)),
-    SNAP + f"SELECT ip, ({T0_US + 90_000_000} - max(captured_at)) / 1e6 AS age_seconds FROM snap GROUP BY ip")
-# The same for every device.
+# Known devices are the feature of BASE-6; the others save every device.
 SNAP_ALL = SNAP.replace(" AND (src_ip LIKE '%1' OR src_ip LIKE '%2')", "")
-add("BASE-6-all", lambda p: _saved(p, p.devices), SNAP_ALL + "SELECT * FROM snap")
-add("BASE-7-all", lambda p: baseline.latest_snapshots(_saved(p, p.devices)), SNAP_ALL + LATEST)
-add("ORD-3-all", lambda p: baseline.latest_snapshots(_saved(p, p.devices), p.devices.where(F.col("ip").endswith("2"))),
-    SNAP_ALL + LATEST.replace("FROM snap", "FROM snap WHERE ip LIKE '%2'"))
-add("BASE-8-all", lambda p: baseline.baseline_ages(_saved(p, p.devices), at(T0_US + 90_000_000)),
-    SNAP_ALL + f"SELECT ip, ({T0_US + 90_000_000} - max(captured_at)) / 1e6 AS age_seconds FROM snap GROUP BY ip")
+AGES = f"SELECT ip, ({T0_US + 90_000_000} - max(captured_at)) / 1e6 AS age_seconds FROM snap GROUP BY ip"
+add("BASE-6-all", _history, SNAP_ALL + "SELECT * FROM snap")
+add("BASE-7", lambda p: _taken(baseline.read_latest(p.spark, _saved(p, p.devices))), SNAP_ALL + LATEST)
+add("BASE-7-all", lambda p: baseline.latest_snapshots(_history(p)), SNAP_ALL + LATEST)
+add("ORD-3", lambda p: _taken(baseline.read_latest(p.spark, _saved(p, p.devices), p.devices)), SNAP_ALL + LATEST)
+add("ORD-3-all", lambda p: baseline.latest_snapshots(_history(p), p.devices), SNAP_ALL + LATEST)
+add("BASE-8", lambda p: baseline.baseline_ages(baseline.read_latest(p.spark, _saved(p, p.devices)), at(T0_US + 90_000_000)), SNAP_ALL + AGES)
+add("BASE-8-all", lambda p: baseline.baseline_ages(_history(p), at(T0_US + 90_000_000)), SNAP_ALL + AGES)
 
 # ----------------------------------------------------------------- windows
 
@@ -635,6 +642,43 @@ add("JOIN-11", lambda p: attack.signal_index(catalog.techniques_frame(p.spark)).
     JOIN idx USING (signal) GROUP BY ALL""")
 
 
+# ---------------------------------------------------- detections of the user's
+
+
+def _low_ports(edges: DataFrame, devices: DataFrame) -> DataFrame:
+    return edges.where("port < 1024 AND packet_count >= 3").select(*fold.EDGE_KEY, "packet_count", "first_seen")
+
+
+ADDED = Registry()
+ADDED.register("low_ports", _low_ports, signal="low_port")
+ADDED.register("brief_devices", lambda edges, devices: devices.where(F.col("last_seen") == F.col("first_seen")).select("ip", "first_seen", "last_seen"))
+OWN = attack.Catalogue(
+    [catalog.Technique("T9001", "Own", "TA0102", "", ["low_port", "new_device"]), catalog.Technique("T9002", "Other", "TA9", "", ["low_port", "write_register"])],
+    [catalog.Tactic("TA0102", "Discovery", "")])
+
+
+def _with_added(p: Plant) -> DataFrame:
+    return detect.findings(p.edges, p.devices, p.two_zones, p.zones, CUT, registry=ADDED)
+
+
+WITH_ADDED = """, more AS (SELECT category, ip, src_ip, dst_ip, protocol, port, function_code FROM findings
+    UNION ALL SELECT 'low_ports', NULL, src_ip, dst_ip, protocol, port, function_code FROM edges WHERE port < 1024 AND packet_count >= 3
+    UNION ALL SELECT 'brief_devices', ip, NULL, NULL, NULL, NULL, NULL FROM devices WHERE last_seen = first_seen),
+  hits AS (SELECT *, category IN ('low_ports', 'new_devices') AS own, category = 'low_ports' OR coalesce(upper(function_code) IN (SELECT code FROM write_code), false) AS other FROM more)
+  """
+add("UDF-1", lambda p: attack.enrich(_with_added(p), OWN, ADDED).select("category", "ip", "src_ip", "dst_ip", "protocol", "port", "function_code", "technique_ids", "tactic_ids"),
+    WITH_ADDED + """SELECT category, ip, src_ip, dst_ip, protocol, port, function_code,
+    concat_ws('|', CASE WHEN own THEN 'T9001' END, CASE WHEN other THEN 'T9002' END) AS technique_ids,
+    concat_ws('|', CASE WHEN own THEN 'TA0102' END, CASE WHEN other THEN 'TA9' END) AS tactic_ids FROM hits""")
+add("UDF-1-counts", lambda p: detect.finding_counts(_with_added(p), ADDED),
+    WITH_ADDED + """, c AS (SELECT unnest(['cross_zone_violations','new_devices','new_edges','interval_deviation','unknown_protocol','low_ports','brief_devices']) AS category)
+    SELECT category, (SELECT count(*) FROM more m WHERE m.category = c.category) AS findings FROM c UNION ALL SELECT 'total', count(*) FROM more""")
+add("UDF-1-policies", lambda p: policy.run_policies(p.edges, p.devices, p.two_zones, p.zones, CUT, registry=ADDED)["low_ports"].select(*fold.EDGE_KEY),
+    f"SELECT {EDGE} FROM edges WHERE port < 1024 AND packet_count >= 3")
+add("UDF-1-tactics", lambda p: attack.summary_by_tactic(attack.enrich(_with_added(p), OWN, ADDED), OWN),
+    WITH_ADDED + "SELECT 'Discovery' AS tactic, count(*) AS findings FROM hits WHERE own UNION ALL SELECT 'TA9', count(*) FROM hits WHERE other")
+
+
 def _known_tactics(p: Plant) -> DataFrame:
     """A tactic table as an older load left it, some names out of date."""
     seen = attack.enrich(_found(p)).select(F.explode("tactic_ids").alias("tactic_id")).groupBy("tactic_id").agg(F.count("*").alias("n"))

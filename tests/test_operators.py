@@ -10,7 +10,8 @@ from checks import model_queries, registry  # noqa: F401
 from tests.conftest import T0, at, rows
 from wirebook import catalog
 from wirebook.functions import stats
-from wirebook.operators import attack, baseline, conduits, coverage, detect, fold, policy, procid, roles, views, zones
+from wirebook.operators import attack, baseline, conduits, coverage, detect, extensions, fold, policy, procid, roles, views, zones
+from wirebook.sources import tables
 
 
 def comm(spark, events):
@@ -283,3 +284,45 @@ def test_pages_and_rules(spark, edges):
     assert rows(fired.groupBy("rule").count()) == [("hub", 1), ("late", 2)]
     stats_ = views.dashboard_stats(e, devices, member, catalog.zones_frame(spark), at(4)).first()
     assert (stats_.device_count, stats_.edge_count, stats_.new_edges, stats_.new_devices, stats_.total_findings) == (10, 9, 4, 4, 8)
+
+
+def test_snapshots_saved_twice_and_latest_without_history(spark, edges, tmp_path):
+    path = str(tmp_path / "snapshots")
+    e = edges(("a", "b", "modbus", 502, "READ", 0, 10, 100, 250.0), ("b", "a", "modbus", 502, "READ", 0, 20, 50, 400.0))
+    devices = fold.fold_devices(e)
+    early, late = (baseline.capture_baselines(e, T0, at(60), at(t)) for t in (60, 120))
+    only_a = late.where("ip = 'a'")
+    for captured in (early, only_a, only_a, early):  # saves that are repeated, the last of an older capture
+        baseline.save_snapshots(captured, devices, path)
+    when = F.unix_timestamp("captured_at") - int(T0.timestamp())
+    assert rows(baseline.read_snapshots(spark, path).select("ip", when)) == [("a", 120), ("a", 60), ("b", 60)]
+    folder = tables.Folder(spark, path)
+    folder.remove(baseline.HISTORY)
+    latest = baseline.read_latest(spark, path)
+    assert rows(latest.select("ip", when)) == [("a", 120), ("b", 60)] and set(latest.columns) == set(early.columns)
+    assert rows(baseline.read_latest(spark, path, spark.createDataFrame([("b",), ("x",)], "ip string")).select("ip")) == [("b",)]
+    assert folder.numbers("latest", "base=") == [2, 3] and [n for n in folder.names("") if n.startswith("_incoming")] == []
+
+
+def test_registered_detections_flow_through(spark, edges):
+    e = edges(("a", "b", "modbus", 502, "READ", 0, 10, 100, 250.0), ("b", "a", "telnet", 23, "x", 0, 20, 50, 400.0))
+    devices, zones_ = fold.fold_devices(e), catalog.zones_frame(spark)
+    none = spark.createDataFrame([], "ip string, zone_name string")
+    added = extensions.Registry()
+    twice = lambda e, d: e.where("port = 23").select("src_ip", "port").unionAll(e.where("port = 23").select("src_ip", "port"))
+    added.register("telnet", twice, signal="port_scan")
+    for name in ("telnet", "new_edges"):
+        with pytest.raises(ValueError, match="exists already"):
+            added.register(name, twice)
+    found = detect.findings(e, devices, none, zones_, at(60), registry=added)
+    assert {r.category: r.findings for r in detect.finding_counts(found, added).collect()}["telnet"] == 2
+    told = attack.enrich(found, registry=added).where("category = 'telnet'").first()
+    assert told.technique_ids == [t.technique_id for t in catalog.TECHNIQUES if "port_scan" in t.detection_signals] != []
+    assert policy.run_policies(e, devices, none, zones_, at(60), registry=added)["telnet"].count() == 1
+    assert detect.run_detections(e, devices, none, zones_, at(60), registry=added)["telnet"].count() == 2
+    extensions.register_detection("everywhere", twice)
+    try:
+        assert detect.findings(e, devices, none, zones_, at(60)).where("category = 'everywhere'").count() == 2
+    finally:
+        extensions.DEFAULT.remove("everywhere")
+    assert "everywhere" not in extensions.DEFAULT.categories

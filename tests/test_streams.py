@@ -1,11 +1,12 @@
 import json
 import time
 from datetime import datetime, timezone
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import T0, at, rows
+from tests.conftest import EDGE_DDL, T0, at, rows
 from wirebook.operators import fold
 from wirebook.plans import pipeline
 from wirebook.sources import messages, tables
@@ -285,3 +286,69 @@ def test_late_rows_are_kept_apart_and_replays_count_once(spark, tmp_path, kind):
     plain = (tumbling_window if kind == "tumbling" else sliding_window)(feed(*first, *second, *third).where("ts IS NOT NULL"))
     near = [F.round(c, 9).alias(c) if c.endswith("_ms") else F.col(c) for c in plain.columns]
     assert rows(whole.select(*plain.columns).select(*near)) == rows(plain.select(*near))
+
+
+def delta(spark, *made):
+    full = [(ip, "b", "m", 1, "f", at(t), at(t), n, 0.0, False) for ip, t, n in made]
+    return spark.createDataFrame(full, EDGE_DDL)
+
+
+def totals(df):
+    return {r.src_ip: r.packet_count for r in df.collect()}
+
+
+def test_a_reader_sees_one_state_while_tables_are_compacted(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    for k in range(3):
+        tables.write_delta(delta(spark, ("a", k, 1), (f"n{k}", k, 5)), root, k)
+    state = {"a": 3, "n0": 5, "n1": 5, "n2": 5}
+    before = tables.read_edges(spark, root)
+    between = []
+
+    def publish(folder, number, real=tables.publish):
+        # The new base is whole but not current yet.
+        between.append(totals(tables.read_edges(spark, root)))
+        found = real(folder, number)
+        between.append(totals(tables.read_edges(spark, root)))
+        return found
+
+    monkeypatch.setattr(tables, "publish", publish)
+    assert tables.compact(spark, root) == 2
+    assert between == [state, state] and totals(before) == state
+    monkeypatch.undo()
+    # A batch that is replayed after it was merged, and one that is not whole yet, do not count.
+    tables.write_delta(delta(spark, ("a", 2, 1), ("n2", 2, 5)), root, 2)
+    tables.write_delta(delta(spark, ("a", 9, 100)), root, 3)
+    tables.Folder(spark, root).remove("kind=delta/batch=3/_SUCCESS")
+    assert totals(tables.read_edges(spark, root)) == state
+    assert tables.compact(spark, root) == 2
+
+
+def test_folders_stay_bounded(spark, tmp_path):
+    root, folder = str(tmp_path), tables.Folder(spark, str(tmp_path))
+    assert totals(tables.read_edges(spark, root)) == {} and tables.compact(spark, root) == -1
+    for k in range(8):
+        tables.write_delta(delta(spark, ("a", k, 1)), root, k)
+        if k % 2:
+            tables.compact(spark, root)
+    assert totals(tables.read_edges(spark, root)) == {"a": 8}
+    assert folder.numbers("kind=base", "batch=") == [5, 7] and folder.numbers("kind=delta", "batch=") == [6, 7]
+    assert folder.numbers(tables.POINTER, "") == [5, 7]
+
+
+def test_a_folder_of_one_machine_is_refused_on_a_cluster(monkeypatch):
+    monkeypatch.setattr(tables.atexit, "register", lambda *_: None)
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return super().get(key, default)
+
+    def session(master, **conf):
+        return SimpleNamespace(conf=Conf(conf), sparkContext=SimpleNamespace(master=master))
+
+    for warehouse in ("file:/tmp/warehouse", "/tmp/warehouse", None):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            tables.shared_dir(session("spark://host:7077", **{"spark.sql.warehouse.dir": warehouse}))
+    assert tables.shared_dir(session("yarn", **{"spark.sql.warehouse.dir": "hdfs://n/w"})).startswith("hdfs://n/w/")
+    assert tables.shared_dir(session("yarn", **{"spark.checkpoint.dir": "/shared"})).startswith("/shared/")
+    assert tables.shared_dir(session("local[2]", **{"spark.sql.warehouse.dir": "file:/w"})).startswith("file:/w/")

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirebook.functions import stats
+from wirebook.sources import tables
 
 Z_LIMIT = 3.0
 #: Length of a baseline where none is given.
 DEFAULT_WINDOW = timedelta(hours=24)
-#: Folder column of the snapshot table: the time of capture in microseconds.
+#: Folder column of the history: the time of capture in microseconds.
 CAPTURE = "capture_us"
+#: Folders of the snapshot table, and how the latest snapshots are dealt out.
+HISTORY, LATEST, BUCKET, LATEST_BUCKETS = "history", "latest", "bucket", 32
 
 
 def _at(value: datetime | Column) -> Column:
@@ -149,23 +153,62 @@ def score_all_devices(edges: DataFrame, baselines: DataFrame) -> DataFrame:
     return score_intervals(current_intervals(edges), baselines)
 
 
-def save_snapshots(baselines: DataFrame, devices: DataFrame, path: str) -> None:
-    """Append the baselines of known devices to the snapshot table, by time of capture.
+def save_snapshots(baselines: DataFrame, devices: DataFrame, path: str, buckets: int = LATEST_BUCKETS) -> None:
+    """Store the baselines of known devices: in the history, by time of capture, and as the latest of each device.
 
-    Reads of one capture or of the latest prune the others by their folder.
+    A capture that is saved again replaces what was stored of it, so a retried
+    job changes nothing.  The latest snapshots are a table of their own with a
+    row per device, dealt over ``buckets`` folders by ip; a new generation of
+    it takes the place of the one before in one step.
     """
-    kept = baselines.join(devices.select("ip"), "ip", "left_semi").withColumn(CAPTURE, F.unix_micros("captured_at"))
-    kept.write.mode("append").partitionBy(CAPTURE).parquet(path)
+    spark = baselines.sparkSession
+    incoming, folder = f"_incoming-{uuid.uuid4().hex}", tables.Folder(spark, path)
+    baselines.join(devices.select("ip"), "ip", "left_semi").write.parquet(f"{path}/{incoming}")
+    kept = spark.read.schema(baselines.schema).parquet(f"{path}/{incoming}")
+    history = kept.withColumn(CAPTURE, F.unix_micros("captured_at")).write.mode("overwrite")
+    history.option("partitionOverwriteMode", "dynamic").partitionBy(CAPTURE).parquet(f"{path}/{HISTORY}")
+    latest = tables.Folder(spark, f"{path}/{LATEST}")
+    before = tables.current(latest)
+    rows = kept.withColumn("fresh", F.lit(True))
+    if before >= 0:
+        old = spark.read.parquet(f"{path}/{LATEST}/base={before}").drop(BUCKET)
+        rows = rows.unionByName(old.withColumn("fresh", F.lit(False)), allowMissingColumns=True)
+    newest = F.max_by(F.struct(*baselines.columns), F.struct("captured_at", "fresh")).alias("s")
+    merged = rows.groupBy("ip").agg(newest).select("s.*").withColumn(BUCKET, _bucket(buckets))
+    merged.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/{LATEST}/base={before + 1}")
+    if any(n.startswith(f"{BUCKET}=") for n in latest.names(f"base={before + 1}")):
+        tables.publish(latest, before + 1)
+    for n in latest.numbers("", "base="):
+        if n < before:
+            latest.remove(f"base={n}")
+            latest.remove(f"{tables.POINTER}/{n}")
+    folder.remove(incoming)
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("ip"), F.lit(buckets)).cast("int")
 
 
 def read_snapshots(spark: SparkSession, path: str, since: datetime | Column | None = None) -> DataFrame:
     """Stored snapshots, of captures from ``since`` on."""
-    stored = spark.read.parquet(path)
+    stored = spark.read.parquet(f"{path}/{HISTORY}")
     if since is not None:
         stored = stored.where(F.col(CAPTURE) >= F.unix_micros(_at(since).cast("timestamp")))
     return stored.drop(CAPTURE)
 
 
+def read_latest(spark: SparkSession, path: str, ips: DataFrame | None = None, buckets: int = LATEST_BUCKETS) -> DataFrame:
+    """The latest snapshot of each device, or of each in ``ips``, without a look at the history.
+
+    With ``ips`` the folders of other devices are pruned.
+    """
+    number = tables.current(tables.Folder(spark, f"{path}/{LATEST}"))
+    latest = spark.read.parquet(f"{path}/{LATEST}/base={number}")
+    if ips is not None:
+        latest = latest.join(ips.select("ip").withColumn(BUCKET, _bucket(buckets)), [BUCKET, "ip"], "left_semi")
+    return latest.drop(BUCKET)
+
+
 def latest_snapshots(snapshots: DataFrame, ips: DataFrame | None = None) -> DataFrame:
     """Most recent snapshot of each device, or of each in ``ips``."""
     if ips is not None:

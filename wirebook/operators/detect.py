@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirebook import catalog
+from wirebook.operators.extensions import BUILT_IN, DEFAULT, Registry
 from wirebook.operators.zones import membership
 from wirebook.schemas import EDGE_KEY
 
-CATEGORIES = ("cross_zone_violations", "new_devices", "new_edges", "interval_deviation", "unknown_protocol")
+CATEGORIES = BUILT_IN
 
 
 def parse_allowlist(text: str) -> list[str]:
@@ -110,10 +111,11 @@ def run_detections(
     max_ms: float = catalog.PERIODIC_MAX_MS,
     ordered: bool = False,
     extra: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] | None = None,
+    registry: Registry = DEFAULT,
 ) -> dict[str, DataFrame]:
-    """All five detections by category, and any added under ``extra``.
+    """All five detections by category, those registered, and any added under ``extra``.
 
-    An extra detection takes (edges, devices).
+    An added detection takes (edges, devices).
     """
     found = {
         "cross_zone_violations": cross_zone_violations(edges, device_zone, zones, ordered),
@@ -122,7 +124,7 @@ def run_detections(
         "interval_deviation": interval_deviation(edges, min_ms, max_ms, ordered),
         "unknown_protocol": unknown_protocol(edges, allowed, ordered),
     }
-    for name, detection in (extra or {}).items():
+    for name, detection in ({d.name: d.find for d in registry} | (extra or {})).items():
         found[name] = detection(edges, devices)
     return found
 
@@ -186,9 +188,10 @@ def findings(
     allowed: list[str] = catalog.ALLOWED_PROTOCOLS,
     min_ms: float = catalog.PERIODIC_MIN_MS,
     max_ms: float = catalog.PERIODIC_MAX_MS,
+    registry: Registry = DEFAULT,
 ) -> DataFrame:
-    """Unified findings of the five detections, edges read twice at most."""
-    return (
+    """Unified findings of the five detections, which read the edges twice at most, and of those registered."""
+    found = (
         cross_zone_violations(edges, device_zone, zones, ordered=False)
         .withColumn("category", F.lit("cross_zone_violations"))
         .unionByName(
@@ -197,14 +200,18 @@ def findings(
         )
         .unionByName(edge_findings(edges, baseline_end, allowed, min_ms, max_ms), allowMissingColumns=True)
     )
+    for added in registry:
+        rows = added.find(edges, devices).withColumn("category", F.lit(added.name))
+        found = found.unionByName(rows, allowMissingColumns=True)
+    return found
 
 
-def finding_counts(found: DataFrame) -> DataFrame:
+def finding_counts(found: DataFrame, registry: Registry = DEFAULT) -> DataFrame:
     """Findings per category, every category listed, and the total.
 
     Categories without a finding are counted as zero.
     """
-    zero = catalog.local_frame(found.sparkSession, [(c,) for c in CATEGORIES], "category string")
+    zero = catalog.local_frame(found.sparkSession, [(c,) for c in registry.categories], "category string")
     rows = found.select("category", F.lit(1).alias("n")).unionByName(zero.withColumn("n", F.lit(0)))
     return rows.rollup("category").agg(F.sum("n").alias("findings")).select(
         F.coalesce("category", F.lit("total")).alias("category"), "findings"

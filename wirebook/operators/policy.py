@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wirebook import catalog
 from wirebook.operators import detect
+from wirebook.operators.extensions import DEFAULT, Registry
 from wirebook.schemas import EDGE_KEY
 
 
@@ -61,19 +62,23 @@ def run_policies(
     min_ms: float = catalog.PERIODIC_MIN_MS,
     max_ms: float = catalog.PERIODIC_MAX_MS,
     mode: str = "policy",
+    registry: Registry = DEFAULT,
 ) -> dict[str, DataFrame]:
-    """All five by category; ``mode="query"`` gives the plain detections."""
+    """All five and those registered by category; ``mode="query"`` gives the plain detections."""
     if mode == "query":
-        return detect.run_detections(edges, devices, device_zone, zones, baseline_end, allowed, min_ms, max_ms)
+        return detect.run_detections(
+            edges, devices, device_zone, zones, baseline_end, allowed, min_ms, max_ms, registry=registry
+        )
     if mode != "policy":
         raise ValueError(f"unknown mode {mode!r}")
-    return {
+    built_in = {
         "cross_zone_violations": cross_zone(edges, device_zone, zones),
         "new_devices": new_device(devices, baseline_end),
         "new_edges": new_edge(edges, baseline_end),
         "interval_deviation": interval_deviation(edges, min_ms, max_ms),
         "unknown_protocol": unknown_protocol(edges, allowed),
     }
+    return built_in | {added.name: added.violations(edges, devices) for added in registry}
 
 
 class Rule(NamedTuple):

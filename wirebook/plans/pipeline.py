@@ -79,7 +79,7 @@ def run(
     g = graph
     captured = baseline.capture_baselines(g.edges, now - baseline.DEFAULT_WINDOW, now, now)
     baseline.save_snapshots(captured, g.devices, f"{root}/snapshots")
-    latest = baseline.latest_snapshots(baseline.read_snapshots(spark, f"{root}/snapshots"))
+    latest = baseline.read_latest(spark, f"{root}/snapshots")
     reports = {
         "findings": findings(graph, baseline_end, allowed),
         "stats": views.dashboard_stats(g.edges, g.devices, g.device_zone, g.zones, baseline_end, allowed),
