@@ -71,6 +71,20 @@ def test_run_against_plain_stages(spark, folder):
     assert all("[secret]" in t for i, t in left if 300 <= i < 303)
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark, docs, folder):
+    """One row of each component, whichever rows share an id or have none."""
+    a, b, c, d = (prose(200) for _ in range(4))
+    near = a[: len(a) // 2] + "changed " + a[len(a) // 2 :]
+    rows = [(3, a), (7, near), (7, b), (7, b), (None, b), (None, c), (None, c), (None, c + "end."), (8, c), (9, d), (9, d), (None, prose(200)), (None, "one two"), (4, None), (4, ""), (None, " ")]
+    stage = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
+    table = docs(*rows)
+    got = [(r.doc_id, r.text) for r in stage(spark, table, folder).collect()]
+    left = [t for _, t in got]
+    assert stage(spark, table, folder).columns == table.columns
+    assert sorted(left, key=repr) == sorted([a, b, left[left.index(c)], d, rows[11][1], "one two", None, "", " "], key=repr)
+    assert (3, a) in got and (7, b) in got and (8, c) in got and (9, d) in got
+
+
 def corpus_of(spark, folder):
     """The corpus as it was written."""
     read = lambda name, *columns: [tuple(r) for r in spark.read.parquet(f"{folder}/{name}.parquet").select(*columns).collect()]

@@ -346,7 +346,7 @@ def _across(local: DataFrame, rows: DataFrame, put: object) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every row, and sig, the number of its set.
+    """doc_id, n_shingles and component_id of every row, sig, the number of its set, and label, that of its component.
 
     A-Z are lower-cased; words are runs without ASCII white space; a text of
     fewer words than a shingle is one shingle, a text without words (or null)
@@ -388,10 +388,52 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     label = links.groupBy(F.col("a").alias("sig")).agg(F.min("b").alias("label"))
     sets = firsts.select("sig", "doc_id").join(label, "sig", "left").select("sig", "doc_id", F.coalesce("label", "sig").alias("label"))
     smallest = sets.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    sets = sets.join(smallest, "label").select("sig", "component_id")
-    linked = mine.where("n > 0").join(sets, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "sig")
+    sets = sets.join(smallest, "label").select("sig", "component_id", "label")
+    linked = mine.where("n > 0").join(sets, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "sig", "label")
     alone = mine.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "sig")
-    return linked.unionByName(alone)
+    return linked.unionByName(alone.withColumn("label", F.lit(None).cast("bigint")))
+
+
+def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, with all columns, and every row without words.
+
+    It is a row with the component's smallest id (null last) and, of several
+    texts with that id, the set of smallest number; of equal rows any one.
+    Rows that repeat an id, or have none, are told apart by the sets of their
+    texts.  An empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    root = shared_dir(spark)
+
+    def put(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{root}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{root}/{name}")
+
+    groups = put(near_duplicates(docs, doc_id=doc_id, text=text), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")).alias("f")
+    chosen = groups.where("n_shingles > 0").groupBy("label").agg(first).select("f.doc_id", "f.sig")
+    ids = chosen.select("doc_id").unionByName(groups.where("n_shingles = 0").select("doc_id")).distinct()
+    many = groups.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("many"))
+    known = ids.join(many, F.col("doc_id").eqNullSafe(F.col("id"))).select(F.struct("id", (F.col("many") > 1).alias("shared")).alias("_known"))
+    known = put(known, "known")
+    met = docs.join(known, docs[doc_id].cast("bigint").eqNullSafe(F.col("_known.id")))
+    out = met.where("NOT _known.shared").select(*[docs[c] for c in docs.columns])
+    if known.where("_known.shared").limit(1).count() == 0:
+        return out
+    rows = met.where("_known.shared").select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("_known.id").alias("doc_id"), docs[text].cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, part in slices(batch.column(2)):
+                sets = shingles(part)
+                numbers = pa.array([_sig(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, len(part)) for i in (0, 1)), *numbers], names=["row", "doc_id", "sig", "n"])
+
+    told = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, doc_id bigint, sig bigint, n bigint")
+    wanted = chosen.select(F.col("doc_id").alias("id"), F.col("sig").alias("own"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("sig") == F.col("own"))
+    picked = told.where("n > 0").join(wanted, same, "left_semi").dropDuplicates(["doc_id", "sig"])
+    return out.unionByName(picked.select("row.*")).unionByName(told.where("n = 0").select("row.*"))
 
 
 def _of_sets(rows: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("sig")
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("sig", "label")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,12 +37,11 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 KNOWN = [
     re.compile(r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"),
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-    re.compile(r"[0-9+/_=-]+"),  # numbers, dates, rules
-    # A digest behind its name, in hexadecimal or base64, or the first 40 characters of a SHA-256.
+    re.compile(r"[0-9+/_=-]+([TZ][0-9+/_=-]*){0,2}"),  # numbers, dates, times, rules
+    # A digest behind its name, in hexadecimal or base64.
     re.compile("|".join(
-        [f"{n}[-_=]?([0-9a-f]{{{bits // 4}}}|[a-z0-9+/]{{{-(-bits // 6)}}}={{0,2}})" for n, bits in
-         {"md5": 128, "sha1": 160, "sha224": 224, "sha256": 256, "sha384": 384, "sha512": 512}.items()]
-        + ["sha256[-_=]?[a-z0-9+/]{40}"]), re.IGNORECASE),
+        f"{n}[-_=]?([0-9a-f]{{{bits // 4}}}|[a-z0-9+/]{{{-(-bits // 6)}}}={{0,2}})" for n, bits in
+         {"md5": 128, "sha1": 160, "sha224": 224, "sha256": 256, "sha384": 384, "sha512": 512}.items()), re.IGNORECASE),
 ]
 #: What is set aside inside a run, between other characters than letters and digits.
 ASIDE = re.compile(
