@@ -20,11 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest id.  Rows that repeat an id are one document."""
-    groups = jaccard.near_duplicates(docs)
-    # Without an id a row cannot be named, so it stays.
-    first = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").select(*docs.columns)
+    """One document of each group: a row with its smallest id."""
+    return jaccard.one_of_each(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
