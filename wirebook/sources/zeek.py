@@ -3,7 +3,7 @@
 A Zeek log names its columns, separators and sentinels in directives at the
 top of the file, so every line has to be read against the header of its own
 file.  Files are read line by line, so that one log can be split over many
-tasks.  Their headers are one small row per file; up to a number of files they
+tasks.  Their headers are one small row per file; up to a measured size they
 are sent to every task, so that no line is shuffled.
 """
 
@@ -22,8 +22,8 @@ from wirebook.functions.once import compute_once
 from wirebook.schemas import EVENT_SCHEMAS, WIDE_EVENT
 from wirebook.sources.tables import shared_dir
 
-#: Files whose headers are broadcast; with more of them lines and headers meet by a shuffle.
-BROADCAST_FILES = 50_000
+#: Measured size up to which the files' headers are broadcast; beyond it lines and headers meet by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 # Where a column's name in the log differs from ours.
 _LOG_NAME = {"orig_h": "id.orig_h", "orig_p": "id.orig_p", "resp_h": "id.resp_h", "resp_p": "id.resp_p"}
@@ -97,32 +97,38 @@ def _glob_pattern(name: str) -> str:
 def _split_files(lines: DataFrame) -> DataFrame:
     """Rows (file, log_rank, line_no, line, h) out of single lines.
 
-    Two passes over the lines find, per file, where the data begins and what
-    the directives above it say; both aggregate map-side to a row per file.
-    The rows are written, so that their number is known when they are joined.
+    One pass over the lines notes, per file, the directives and where data
+    begins; data lines become a row per file and task before the shuffle.
+    What a file's directives above its data say follows from these notes
+    alone.  They and the headers are written, so that the lines are not read
+    for them again and the headers' size is known when they are joined.
     """
-    is_directive = F.col("line").startswith("#")
-    begin = lines.where(~is_directive).groupBy("file").agg(F.min("line_no").alias("begin"))
-    above = F.col("line_no") < F.col("begin")
-    closing = F.col("line").startswith("#close") & ~above
+    spark, root = lines.sparkSession, shared_dir(lines.sparkSession)
+
+    def put(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{root}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{root}/{name}")
+
+    known = "|".join([*_DIRECTIVES, "close"])
+    wanted = F.col("line").rlike(f"^(?:[^#]|$|#(?:{known}))")
+    directive = F.when(F.col("line").startswith("#"), F.struct("line_no", "line"))
+    notes = lines.where(wanted).groupBy("file", directive.alias("said")).agg(F.min("line_no").alias("line_no"))
+    notes = put(notes, "notes")
+    begin = notes.where("said IS NULL").select("file", F.col("line_no").alias("begin"))
+    line, above = F.col("said.line"), F.col("line_no") < F.col("begin")
     header = (
-        lines.where(is_directive)
+        notes.where("said IS NOT NULL")
         .join(begin, "file")
-        .groupBy("file")
+        .groupBy("file", "begin")
         .agg(
-            F.min(F.when(closing, F.col("line_no"))).alias("stop"),
-            *[
-                F.max_by("line", F.when(above & F.col("line").startswith("#" + d), F.col("line_no"))).alias(d)
-                for d in _DIRECTIVES
-            ],
+            F.min(F.when(line.startswith("#close") & ~above, F.col("line_no"))).alias("stop"),
+            *[F.max_by(line, F.when(above & line.startswith("#" + d), F.col("line_no"))).alias(d) for d in _DIRECTIVES],
         )
-        .join(begin, "file")
     )
-    header = _with_header(header).where(_readable()).select("file", "begin", "stop", "h")
-    path = shared_dir(lines.sparkSession)
-    header.write.parquet(path)
-    header = lines.sparkSession.read.schema(header.schema).parquet(path)
-    if header.count() <= BROADCAST_FILES:
+    header = put(_with_header(header).where(_readable()).select("file", "begin", "stop", "h"), "headers")
+    # A header is the text of its separators and some hundred bytes of numbers.
+    size = F.length("file") + F.length(F.to_json("h")) + 64
+    if (header.agg(F.sum(size).alias("size")).first().size or 0) <= BROADCAST_BYTES:
         header = F.broadcast(header)
     inside = (F.col("line_no") >= F.col("begin")) & (F.col("stop").isNull() | (F.col("line_no") < F.col("stop")))
     return lines.join(header, "file").where(inside).select("file", "log_rank", "line_no", "line", "h")
