@@ -1,4 +1,6 @@
 import random
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -44,12 +46,49 @@ def test_mixed_text_is_cut_into_spans(docs):
     rows, lang = corpus()
     model = language.Model(language.learn(docs(*rows, lang=lang)))
     text = make("en", 30) + " " + make("de", 60) + " " + make("ru", 10)
-    _, path, _ = model.spans(pa.array([text], pa.large_string()))
+    *_, path, _ = model.spans(pa.array([text], pa.large_string()))
     names = [model.langs[k] for k in path]
     assert names[5:25] == ["en"] * 20 and names[35:85] == ["de"] * 50 and names[90:] == ["ru"] * 10
     assert sum(a != b for a, b in zip(names, names[1:], strict=False)) == 2
 
 
+def plain_spans(model, text):
+    """Runs of one language over the words with letters, by the path of the model."""
+    words = [m for m in re.finditer(r"[^\x20\x09-\x0D]+", text) if any(unicodedata.category(c)[0] == "L" for c in m[0].lower())]
+    *_, path, _ = model.spans(pa.array([text], pa.large_string()))
+    out = []
+    for m, k in zip(words, path, strict=True):
+        letters = sum(unicodedata.category(c)[0] == "L" for c in m[0].lower())
+        if out and out[-1][2] == model.langs[k]:
+            out[-1][1:] = [m.end(), model.langs[k], out[-1][3] + letters]
+        else:
+            out.append([m.start(), m.end(), model.langs[k], letters])
+    return [tuple(x) for x in out]
+
+
+def test_spans_are_an_output(docs):
+    rows, lang = corpus()
+    model = language.Model(language.learn(docs(*rows, lang=lang)))
+    mixed = " \n" + make("en", 30) + " 12 -- " + make("de", 60).upper() + "\t" + make("ru", 20) + " ... 7 "
+    texts = [(50, mixed), (51, "12 the and that 5"), (52, " the "), (53, mixed * 3), *odd_texts()]
+    got = language.predict(docs(*texts), model).collect()
+    assert len(got) == len(texts)
+    of = dict(texts)
+    for r in got:
+        text = of[r.row.doc_id] or ""
+        spans = [tuple(s) for s in r.spans]
+        assert spans == plain_spans(model, text)
+        letters = {}
+        for s in spans:
+            letters[s[2]] = letters.get(s[2], 0) + s[3]
+        if spans:
+            assert letters[r.lang_pred] == max(letters.values()) and r.score == max(letters.values()) / sum(letters.values())
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0)
+    one = next(r for r in got if r.row.doc_id == 50)
+    assert [s.lang for s in one.spans] == ["en", "de", "ru"] and mixed[one.spans[0].start : one.spans[0].end].count(" ") == 29
+
+
 def test_path_against_plain_viterbi(docs):
     rows, lang = corpus()
     model = language.Model(language.learn(docs(*rows, lang=lang)))

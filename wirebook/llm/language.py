@@ -9,6 +9,7 @@ spans.  The language with most letters wins; its share of letters is the score.
 from __future__ import annotations
 
 import functools
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -27,6 +28,9 @@ SMOOTHING = 0.5
 PENALTY, OWN_SCRIPT = 12.0, 0.01
 SLICE = 16 << 20
 UNKNOWN = "und"
+BLANK = " \t\n\v\f\r"
+WORD = re.compile(f"[^{BLANK}]+")
+SPANS = "spans array<struct<start:bigint,end:bigint,lang:string,letters:bigint>>"
 
 #: First code points of script ranges (fixed values of Unicode); letters between belong to the range before.
 SCRIPTS = [
@@ -186,31 +190,61 @@ class Model:
             last[:n] = back[at, last[:n]] if t else last[:n]
         return path
 
-    def spans(self, part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bounds of each text's words with letters, their languages and their letters."""
+    def spans(self, part: pa.Array) -> tuple[np.ndarray, ...]:
+        """Words of each text; bounds of those with letters, their places among all, languages and letters."""
         bounds, codes, words = split(pc.utf8_lower(part))
         letters, script = _scripts(words) if words else (np.zeros(0, int), np.zeros(0, int))
         real = letters[codes] > 0
+        n_words = np.diff(bounds)
+        place = np.arange(len(codes)) - np.repeat(bounds[:-1], n_words)
         bounds = np.concatenate(([0], np.cumsum(real)))[bounds]
         codes = codes[real]
         scores = self.word_scores(words, script) if words else np.zeros((0, len(self.langs)), np.int64)
-        return bounds, self.best_path(scores[codes], bounds), letters[codes]
+        return n_words, bounds, place[real], self.best_path(scores[codes], bounds), letters[codes]
 
-    def predict(self, part: pa.Array) -> tuple[list[str], np.ndarray]:
-        bounds, path, letters = self.spans(part)
+    def predict(self, part: pa.Array) -> tuple[list[str], np.ndarray, list[list[tuple]]]:
+        """Language and score of each text, and its spans (start, end, lang, letters).
+
+        A span is a run of words in one language, from its first word with
+        letters to its last, in code points; the language with most letters in
+        all spans is the text's.
+        """
+        n_words, bounds, place, path, letters = self.spans(part)
         n = len(self.langs)
         text = np.repeat(np.arange(len(part)), np.diff(bounds))
         by = np.bincount(text * n + path, letters, len(part) * n).reshape(len(part), n)
         total = by.sum(1)
         best = by.argmax(1)
         names = [self.langs[k] if t else UNKNOWN for k, t in zip(best, total, strict=True)]
-        return names, by.max(1) / np.maximum(total, 1)
+        first = np.ones(len(path), bool)
+        first[1:] = (path[1:] != path[:-1]) | (text[1:] != text[:-1])
+        begin = np.flatnonzero(first)
+        end = np.append(begin[1:], len(path))
+        sums = np.add.reduceat(letters, begin) if len(begin) else np.zeros(0, int)
+        found: list[list[tuple]] = [[] for _ in range(len(part))]
+        cuts = np.searchsorted(begin, bounds)
+        for i, value in enumerate(part.to_numpy(zero_copy_only=False)):
+            runs = range(cuts[i], cuts[i + 1])
+            if runs:
+                starts, ends = _ends(value, place[begin[runs]], place[end[runs] - 1], n_words[i])
+                found[i] = [(a, z, self.langs[path[begin[r]]], int(sums[r])) for a, z, r in zip(starts, ends, runs, strict=True)]
+        return names, by.max(1) / np.maximum(total, 1), found
+
+
+def _ends(text: str, first: np.ndarray, last: np.ndarray, n_words: int) -> tuple[list[int], list[int]]:
+    """Start of some words and end of others, by their numbers in a text."""
+    if len(first) == 1 and first[0] == 0 and last[0] == n_words - 1:
+        return [len(text) - len(text.lstrip(BLANK))], [len(text.rstrip(BLANK))]
+    places = np.array([m.span() for m in WORD.finditer(text)])
+    return places[first, 0].tolist(), places[last, 1].tolist()
 
 
 def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Rows as struct ``row`` (all columns or ``keep``) with lang_pred and score.
+    """Rows as struct ``row`` (all columns or ``keep``) with lang_pred, score and the array spans.
 
-    Only the text is looked at.  Null texts and texts without a letter are
+    A span has start and end (code points, exclusive), lang and letters, its
+    number of letters; a word is what ASCII white space leaves, so a change of
+    language inside one is not seen.  Only the text is looked at.  Null texts and texts without a letter are
     ``und`` with score 0, as is everything when no language was learned.
     Equal texts get equal results; an empty table gives no rows.
     """
@@ -221,12 +255,17 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in slices(batch.column(1), SLICE):
-                names, score = [UNKNOWN] * len(part), np.zeros(len(part))
+                names, score, spans = [UNKNOWN] * len(part), np.zeros(len(part)), [[]] * len(part)
                 if shared.value.langs:
-                    names, score = shared.value.predict(part)
+                    names, score, spans = shared.value.predict(part)
+                flat = [list(c) for c in zip(*(s for own in spans for s in own), strict=True)] or [[], [], [], []]
+                ends = np.concatenate(([0], np.cumsum([len(s) for s in spans]))).astype(np.int32)
+                kinds = {"start": pa.int64(), "end": pa.int64(), "lang": pa.string(), "letters": pa.int64()}
+                values = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(flat, kinds.values(), strict=True)], names=list(kinds))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(part)), pa.array(names, pa.string()), pa.array(score)],
-                    names=["row", "lang_pred", "score"],
+                    [batch.column(0).slice(at, len(part)), pa.array(names, pa.string()), pa.array(score), pa.ListArray.from_arrays(ends, values)],
+                    names=["row", "lang_pred", "score", "spans"],
                 )
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    layout = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, {SPANS}"
+    return rows.mapInArrow(run, layout)
