@@ -48,6 +48,18 @@ def test_against_all_strings(docs, monkeypatch, hot):
     assert run(docs(*rows)) == brute(rows, 200)
 
 
+def test_more_tasks_than_partitions(docs, monkeypatch):
+    """Tasks follow the number of anchors, not the session's setting."""
+    used = []
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(suffixes, "PART_ANCHORS", 50)
+    monkeypatch.setattr(suffixes, "PART_SUFFIXES", 30)
+    monkeypatch.setattr(suffixes, "_merged", lambda sent, parts, length, real=suffixes._merged: used.append(parts) or real(sent, parts, length))
+    rows = texts()
+    assert run(docs(*rows)) == brute(rows, 200)
+    assert used[0] > 8
+
+
 def test_short_strings_and_kept_bytes(docs):
     rows = [(1, "abcdefgh-abcdefgh"), (2, "xxabcdefghyy"), (3, "unlike"), (4, None)]
     got = {r.doc_id: r for r in suffixes.repeated_bytes(docs(*rows), length=8, gram=4, with_text=True).collect()}

@@ -12,7 +12,9 @@ anchor repeat where neighbours' common prefixes and the bytes before agree.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirebook.llm.words import slices
@@ -33,6 +35,8 @@ BLOCK_BYTES = 4 << 20
 HOT = 20_000
 #: Entries that are judged together; groups end where the common prefix is below the gram.
 BATCH = 20_000
+#: Anchors that one task counts, and suffixes that one task merges: a share is held decoded.
+PART_ANCHORS, PART_SUFFIXES = 4_000_000, 150_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 TOP = np.uint64(2**64 - 1)
 BLOCKS = "block bigint, ids binary, ends binary, blob binary, places binary, lows binary, highs binary, hashes binary"
@@ -447,6 +451,12 @@ def _merged(sent: DataFrame, parts: int, length: int) -> DataFrame:
     return rows.mapInArrow(run, "block bigint, payload binary")
 
 
+def _drop(spark: SparkSession, name: str) -> None:
+    """Take the blocks out of the catalog when the driver ends; their files go with the shared folder."""
+    if spark.sparkContext._jsc is not None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def repeated_bytes(
     docs: DataFrame,
     *,
@@ -464,7 +474,12 @@ def repeated_bytes(
     stay.  An empty table gives no rows; other columns are ignored.
     """
     spark, root = docs.sparkSession, shared_dir(docs.sparkSession)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def parts(rows: DataFrame, share: int) -> int:
+        """So many tasks that none has more than its share of the rows' hashes, 8 bytes each."""
+        total = rows.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
+        return max(least, math.ceil(total / 8 / share))
 
     def put(rows: DataFrame, name: str) -> DataFrame:
         rows.write.option("compression", "zstd").parquet(f"{root}/{name}")
@@ -473,12 +488,14 @@ def repeated_bytes(
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     # Bucketed, so that neither join by block moves the texts.
     name = f"blocks_{uuid.uuid4().hex}"
-    writer = _blocks(source, length, gram).write.bucketBy(parts, "block").sortBy("block")
+    writer = _blocks(source, length, gram).write.bucketBy(least, "block").sortBy("block")
     writer.option("path", f"{root}/blocks").option("compression", "snappy").format("parquet").saveAsTable(name)
+    atexit.register(_drop, spark, name)
     blocks = spark.table(name)
-    repeated = put(_repeated(blocks, parts), "repeated")
-    sent = put(_send_runs(blocks, repeated, parts, length), "runs")
-    found = put(_merged(sent, parts, length), "spans")
+    repeated = put(_repeated(blocks, parts(blocks, PART_ANCHORS)), "repeated")
+    merging = parts(repeated, PART_SUFFIXES)
+    sent = put(_send_runs(blocks, repeated, merging, length), "runs")
+    found = put(_merged(sent, merging, length), "spans")
     spans = found.unionByName(sent.where("part < 0").select("block", "payload"))
     spans = spans.groupBy("block").agg(F.collect_list("payload").alias("spans"))
     layout = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
