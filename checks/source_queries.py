@@ -157,6 +157,21 @@ add("SRC-9", _sink,
       SELECT log, orig_h, resp_h, seq FROM plant UNION ALL SELECT 'conn', orig_h, resp_h, seq FROM flow) GROUP BY ALL""")
 
 
+def _restored(p: Plant) -> DataFrame:
+    """Every channel read back: its rows, and those that do not follow the one before."""
+    path = tables.shared_dir(p.spark)
+    messages.write_messages(messages.to_messages(p.events, sequence="ingest_seq"), path)
+    rows = messages.read_messages(p.spark, path).withColumn("at", F.monotonically_increasing_id())
+    step = Window.partitionBy("topic", "key").orderBy("at")
+    rows = rows.withColumn("back", F.col("seq") < F.lag("seq").over(step))
+    return rows.groupBy("topic", "key").agg(F.count("*").alias("n"), F.count_if("back").alias("out_of_order"))
+
+
+add("SRC-9-order", _restored,
+    """SELECT 'raw.' || log AS topic, orig_h || ':' || resp_h AS key, count(*) AS n, 0 AS out_of_order FROM (
+      SELECT log, orig_h, resp_h FROM plant UNION ALL SELECT 'conn', orig_h, resp_h FROM flow) GROUP BY ALL""")
+
+
 def _faulty(p: Plant, prefix: str = "dev.") -> DataFrame:
     """Messages of the plant, some of them broken in one of five ways."""
     sent = messages.to_messages(plant_events(table(p.spark, p.sf, "events")), prefix)

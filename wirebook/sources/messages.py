@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirebook import catalog
@@ -12,6 +12,9 @@ from wirebook.functions.once import compute_once
 from wirebook.schemas import EVENT_SCHEMAS, REQUIRED, WIDE_EVENT
 
 
+MESSAGES = "key string, value string, seq bigint, topic string"
+
+
 def topics(prefix: str = "") -> list[str]:
     return [f"{prefix}{catalog.TOPIC_STEM}{log}" for log in catalog.LOG_TYPES]
 
@@ -45,20 +48,30 @@ def to_messages(events: DataFrame, prefix: str = "", sequence: str | None = None
     )
 
 
+def _in_order(messages: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Messages by channel and place in it, over as many tasks as a channel's rows need.
+
+    Without a ``seq`` a channel has no order and its rows are dealt by value.
+    """
+    place = F.col("seq") if "seq" in messages.columns else F.xxhash64("value")
+    by = [F.col("topic"), F.col("key"), place]
+    placed = messages.repartitionByRange(partitions, *by) if partitions else messages.repartitionByRange(*by)
+    return placed.sortWithinPartitions(*by)
+
+
 def write_messages(messages: DataFrame, path: str, fmt: str = "parquet", partitions: int | None = None) -> None:
     """File sink with the columns of a topic.
 
-    Rows are placed by key and a hash of the value, so that a busy channel is
-    written by several tasks.  Each file has a channel's rows in order of
-    ``seq``, where messages carry one; merging a channel's files by it restores
-    the channel's order.
+    Ranges of channel and ``seq`` go to a task each, so that a busy channel is
+    written by as many tasks as its share of the rows asks for, every file
+    keeps the order of its channels, and a channel's files follow each other.
     """
-    spread = F.pmod(F.xxhash64("value"), F.lit(8))
-    by = [F.col("key"), spread]
-    placed = messages.repartition(partitions, *by) if partitions else messages.repartition(*by)
-    if "seq" in placed.columns:
-        placed = placed.sortWithinPartitions("topic", "key", "seq")
-    placed.write.mode("append").partitionBy("topic").format(fmt).save(path)
+    _in_order(messages, partitions).write.mode("append").partitionBy("topic").format(fmt).save(path)
+
+
+def read_messages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Messages of a file sink in order: a channel's rows rise in ``seq`` inside a task and from one task to the next."""
+    return _in_order(spark.read.schema(MESSAGES).format(fmt).load(path))
 
 
 def _text_schema(log: str) -> str:
@@ -162,5 +175,5 @@ def write_kafka(messages: DataFrame, servers: str) -> None:
 
 
 def read_file_stream(spark, path: str) -> DataFrame:
-    """Stream over the files of ``write_messages``."""
-    return spark.readStream.schema("key string, value string, topic string").parquet(path)
+    """Stream over the files of ``write_messages``; ``seq`` is null where messages carry none."""
+    return spark.readStream.schema(MESSAGES).parquet(path)
