@@ -415,7 +415,8 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     ids = chosen.select("doc_id").unionByName(groups.where("n_shingles = 0").select("doc_id")).distinct()
     many = groups.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("many"))
     known = ids.join(many, F.col("doc_id").eqNullSafe(F.col("id"))).select(F.struct("id", (F.col("many") > 1).alias("shared")).alias("_known"))
-    known = put(known, "known")
+    # Ids grow with the documents: never sent whole, so that the plan is the same at every size.
+    known = put(known, "known").hint("merge")
     met = docs.join(known, docs[doc_id].cast("bigint").eqNullSafe(F.col("_known.id")))
     out = met.where("NOT _known.shared").select(*[docs[c] for c in docs.columns])
     if known.where("_known.shared").limit(1).count() == 0:
