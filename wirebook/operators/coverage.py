@@ -13,17 +13,50 @@ from wirebook.operators.conduits import directed
 from wirebook.operators.detect import zone_pairs
 from wirebook.operators.fold import degrees
 from wirebook.operators.zones import devices_without_zone
+from wirebook.sources.tables import shared_dir
 
 # ---------------------------------------------------------------- coverage
 
 
-def zone_statistics(edges: DataFrame, device_zone: DataFrame, zones: DataFrame, ordered: bool = True) -> DataFrame:
+def edge_counts(edges: DataFrame) -> DataFrame:
+    """(kind, name, out_edges, in_edges) per device and per protocol, from one pass over the edges.
+
+    Written to the shared folder, as reports read it several times; an edge
+    counts once under its protocol, a missing one included.
+    """
+    spark, one, none = edges.sparkSession, F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+
+    def end(kind: str, name: str, out: Column, into: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.col(name).alias("name"), out.alias("out_edges"), into.alias("in_edges"))
+
+    ends = F.array(end("device", "src_ip", one, none), end("device", "dst_ip", none, one), end("protocol", "protocol", one, none))
+    counted = edges.select(F.explode(ends).alias("e")).groupBy("e.kind", "e.name").agg(
+        F.sum("e.out_edges").alias("out_edges"), F.sum("e.in_edges").alias("in_edges")
+    )
+    path = shared_dir(spark)
+    counted.write.parquet(path)
+    return spark.read.schema(counted.schema).parquet(path)
+
+
+def _devices_of(counts: DataFrame) -> DataFrame:
+    return counts.where("kind = 'device'").select(F.col("name").alias("ip"), "out_edges", "in_edges")
+
+
+def zone_statistics(
+    edges: DataFrame,
+    device_zone: DataFrame,
+    zones: DataFrame,
+    ordered: bool = True,
+    per_device: DataFrame | None = None,
+) -> DataFrame:
     """Devices and edges of every zone, zones without devices included.
 
     Edges are counted per device before any join: an edge has one source and
     one target, so the sums equal the distinct counts over the joined graph.
+    ``per_device`` has these counts where they are known already.
     """
-    members = device_zone.dropDuplicates(["ip", "zone_name"]).join(degrees(edges), "ip", "left")
+    known = degrees(edges) if per_device is None else per_device
+    members = device_zone.dropDuplicates(["ip", "zone_name"]).join(known, "ip", "left")
     totals = members.groupBy("zone_name").agg(
         F.count("*").alias("device_count"),
         F.sum("out_edges").alias("outbound_edges"),
@@ -43,16 +76,21 @@ def observed_protocols(edges: DataFrame) -> DataFrame:
 
 def missing_protocols(edges: DataFrame, expected: list[str] | None = None) -> DataFrame:
     """Expected protocols never seen, with their place in the list."""
+    return _missing(observed_protocols(edges), expected)
+
+
+def _missing(observed: DataFrame, expected: list[str] | None) -> DataFrame:
     names = list(expected or catalog.EXPECTED_PROTOCOLS)
-    wanted = catalog.local_frame(edges.sparkSession, list(enumerate(names)), "position int, protocol string")
-    seen = observed_protocols(edges).select(F.lower("protocol").alias("seen")).distinct()
+    wanted = catalog.local_frame(observed.sparkSession, list(enumerate(names)), "position int, protocol string")
+    seen = observed.select(F.lower("protocol").alias("seen")).distinct()
     return wanted.join(seen, F.lower(wanted.protocol) == seen.seen, "left_anti")
 
 
-def asymmetric_devices(edges: DataFrame) -> DataFrame:
+def asymmetric_devices(edges: DataFrame, per_device: DataFrame | None = None) -> DataFrame:
     """Devices that only send or only receive."""
     sent, received = F.col("out_edges"), F.col("in_edges")
-    return degrees(edges).where((sent == 0) != (received == 0)).select(
+    known = degrees(edges) if per_device is None else per_device
+    return known.where((sent == 0) != (received == 0)).select(
         "ip", sent.alias("sent"), received.alias("recv")
     )
 
@@ -81,7 +119,9 @@ def coverage_facts(
     expected: list[str] | None = None,
 ) -> DataFrame:
     """Coverage as rows (metric, item, value): a few per zone and protocol."""
-    stats = zone_statistics(edges, device_zone, zones, ordered=False)
+    ends = edge_counts(edges)
+    per_device, spoken = _devices_of(ends), ends.where("kind = 'protocol'")
+    stats = zone_statistics(edges, device_zone, zones, ordered=False, per_device=per_device)
     per_zone = stats.select(
         "zone_name",
         F.explode(
@@ -95,22 +135,18 @@ def coverage_facts(
             )
         ).alias("f"),
     ).select(F.col("f.m").alias("metric"), F.col("zone_name").alias("item"), F.col("f.v").alias("value"))
-    protocols = (
-        edges.where(F.col("protocol") != "")
-        .groupBy(F.col("protocol").alias("item"))
-        .agg(F.count("*").alias("value"))
-        .select(F.lit("observed_protocol").alias("metric"), "item", "value")
-    )
-    missing = missing_protocols(edges, expected).select(
+    observed = spoken.where("name <> ''")
+    protocols = observed.select(F.lit("observed_protocol").alias("metric"), F.col("name").alias("item"), F.col("out_edges").alias("value"))
+    missing = _missing(observed.select(F.col("name").alias("protocol")), expected).select(
         F.lit("missing_protocol").alias("metric"),
         F.col("protocol").alias("item"),
         F.col("position").cast("bigint").alias("value"),
     )
     counts = {
         "total_devices": devices.agg(F.count("*").alias("value")),
-        "total_edges": edges.agg(F.count("*").alias("value")),
+        "total_edges": spoken.agg(F.coalesce(F.sum("out_edges"), F.lit(0)).alias("value")),
         "unzoned_devices": devices_without_zone(devices, device_zone).agg(F.count("*").alias("value")),
-        "asymmetric_devices": asymmetric_devices(edges).agg(F.count("*").alias("value")),
+        "asymmetric_devices": asymmetric_devices(edges, per_device).agg(F.count("*").alias("value")),
     }
     facts = per_zone.unionByName(protocols).unionByName(missing)
     for name, count in counts.items():
@@ -159,8 +195,8 @@ def coverage_details(edges: DataFrame, device_zone: DataFrame, zones: DataFrame)
     Every zone, blind or not, and every device that only sends or only
     receives.  Both come from one table of degrees per device.
     """
-    per_device = degrees(edges)
-    stats = zone_statistics(edges, device_zone, zones, ordered=False)
+    per_device = _devices_of(edge_counts(edges))
+    stats = zone_statistics(edges, device_zone, zones, ordered=False, per_device=per_device)
     rows = stats.select(
         F.lit("zone").alias("kind"),
         F.col("zone_name").alias("name"),
@@ -198,9 +234,11 @@ def coverage_score() -> Column:
 # -------------------------------------------------------------------- gaps
 
 
-def low_coverage_devices(edges: DataFrame, devices: DataFrame, min_edges: int = 2, ordered: bool = True) -> DataFrame:
+def low_coverage_devices(
+    edges: DataFrame, devices: DataFrame, min_edges: int = 2, ordered: bool = True, per_device: DataFrame | None = None
+) -> DataFrame:
     """Devices with fewer than ``min_edges`` edges in and out."""
-    seen = devices.select("ip").join(degrees(edges), "ip", "left")
+    seen = devices.select("ip").join(degrees(edges) if per_device is None else per_device, "ip", "left")
     out = F.coalesce("out_edges", F.lit(0)).cast("bigint")
     inbound = F.coalesce("in_edges", F.lit(0)).cast("bigint")
     found = seen.select(
@@ -210,10 +248,15 @@ def low_coverage_devices(edges: DataFrame, devices: DataFrame, min_edges: int =
 
 
 def sparse_zones(
-    edges: DataFrame, device_zone: DataFrame, zones: DataFrame, min_density: float = 0.5, ordered: bool = True
+    edges: DataFrame,
+    device_zone: DataFrame,
+    zones: DataFrame,
+    min_density: float = 0.5,
+    ordered: bool = True,
+    per_device: DataFrame | None = None,
 ) -> DataFrame:
     """Zones with devices but few outbound edges per device."""
-    stats = zone_statistics(edges, device_zone, zones, ordered=False).where("device_count > 0")
+    stats = zone_statistics(edges, device_zone, zones, ordered=False, per_device=per_device).where("device_count > 0")
     density = F.col("outbound_edges") / F.col("device_count")
     found = stats.select(
         F.col("zone_name").alias("zone"),
@@ -254,10 +297,11 @@ def all_gaps(
     min_edges: int = 2,
     min_density: float = 0.5,
 ) -> DataFrame:
-    """The three kinds of gap in one table, told apart by ``gap_type``."""
+    """The three kinds of gap in one table, told apart by ``gap_type``; edges are read twice."""
+    per_device = _devices_of(edge_counts(edges))
     kinds = {
-        "low_coverage_devices": low_coverage_devices(edges, devices, min_edges, ordered=False),
-        "sparse_zones": sparse_zones(edges, device_zone, zones, min_density, ordered=False),
+        "low_coverage_devices": low_coverage_devices(edges, devices, min_edges, ordered=False, per_device=per_device),
+        "sparse_zones": sparse_zones(edges, device_zone, zones, min_density, ordered=False, per_device=per_device),
         "unconduit_cross_zone": unconduit_cross_zone_edges(edges, device_zone, zones, conduits, ordered=False),
     }
     union = None
