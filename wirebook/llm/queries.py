@@ -198,4 +198,16 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)""",
     "op11_conversation_repair": REPAIR_SQL,
+    "op8_suffix_runs": """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS MATERIALIZED (SELECT r, i, md5_number_lower(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT r, h, unnest(range(0, n - 199)) AS i FROM d WHERE n >= 200)),
+m AS (SELECT r, i FROM s JOIN (SELECT k FROM s GROUP BY k HAVING count(*) > 1) USING (k)),
+f AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM m),
+g AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM f),
+runs AS (SELECT r, min(i) AS a, max(i) + 200 AS z FROM g GROUP BY r, run),
+ends AS (SELECT r, a, z, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) AS b FROM (SELECT * FROM runs UNION ALL SELECT r, n, n FROM d)),
+kept AS (SELECT r, string_agg(substr(h, 2 * b + 1, 2 * (a - b)), '' ORDER BY a, z) AS h FROM ends JOIN d USING (r) GROUP BY r),
+sums AS (SELECT r, CAST(sum(z - a) AS BIGINT) AS gone, count(*) AS n_spans FROM runs GROUP BY r)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN sums USING (r)""",
 }
