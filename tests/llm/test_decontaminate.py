@@ -40,8 +40,9 @@ def run(docs, items, **options):
     return sorted(map(tuple, rows), key=repr)
 
 
-@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
-def test_against_brute_force(spark, docs, broadcast_rows):
+@pytest.mark.parametrize("limits", [{}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "broadcast_hashes": 0}])
+def test_against_brute_force(spark, docs, limits):
+    """With all fingerprints sent, with their hashes sent, and with a shuffle."""
     random.seed(7)
     vocabulary = ["a", "b", "Über", "7"]
     text = lambda n: " ".join(random.choice(vocabulary) for _ in range(n))
@@ -51,7 +52,7 @@ def test_against_brute_force(spark, docs, broadcast_rows):
     texts += [(i + 100, text(5) + ", " + items[i % 3][1].upper().replace("Ü", "ü") + "! " + text(8)) for i in range(6)]
     texts += [(200, "Q-" * 40), (201, "a q Q q b"), (202, "Lone."), (100, texts[-6][1])] + odd_texts()
     table = spark.createDataFrame(items, "item_id long, text string")
-    assert run(docs(*texts), table, broadcast_rows=broadcast_rows) == brute(texts, items)
+    assert run(docs(*texts), table, **limits) == brute(texts, items)
 
 
 def test_empty_tables(spark, docs):

@@ -20,8 +20,9 @@ from wirebook.sources.tables import shared_dir
 
 WINDOW, GRAM = 10, 6
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Fingerprint rows up to which the benchmark is sent to every executor; more are joined by a shuffle.
-BROADCAST_ROWS = 100_000
+#: Measured bytes of fingerprints with their words up to which all are sent to every executor; beyond it only their
+#: hashes are, up to so many (of fixed width), and what they let through is joined by a shuffle.
+BROADCAST_BYTES, BROADCAST_HASHES = 32 << 20, 2_000_000
 
 
 def words(text: Column) -> Column:
@@ -101,7 +102,8 @@ def contamination(
     item_id: str = "item_id",
     text: str = "text",
     keep: list[str] | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    broadcast_hashes: int = BROADCAST_HASHES,
 ) -> DataFrame:
     """Every row of ``docs`` as ``row`` (a struct of its columns, or of ``keep``) with its hits.
 
@@ -141,14 +143,25 @@ def contamination(
     kept = F.when(F.col("p") < 0, F.col("row")).alias("row")
     left, right = (c.alias(a) for c, a in zip(_sides(F.col("p"), F.col("n")), ("left_d", "right_d"), strict=True))
     narrow = ["row_id", F.when(F.col("p") < 0, F.size("words")).alias("n_words"), kept, "n", "p", "f"]
-    if prints.count() <= broadcast_rows:
+    sides = [F.when(F.col("p") >= 0, c).alias(a) for c, a in ((left, "left_d"), (right, "right_d"))]
+    size = F.length("item") + 96
+    for side in ("left_i", "right_i"):
+        size = size + F.octet_length(F.array_join(side, "")) + 24 * F.size(side)
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    if (prints.agg(F.sum(size).alias("size")).first().size or 0) <= broadcast_bytes:
         met = rows.join(F.broadcast(prints), ["n", "f"], "left").where("p < 0 OR item IS NOT NULL")
-        met = met.select(*narrow, F.when(F.col("p") >= 0, left).alias("left_d"), F.when(F.col("p") >= 0, right).alias("right_d"), "item", "left_i", "right_i")
+        met = put(met.select(*narrow, *sides, "item", "left_i", "right_i"), "met")
     else:
-        met = rows.select(*narrow, F.when(F.col("p") >= 0, left).alias("left_d"), F.when(F.col("p") >= 0, right).alias("right_d"))
-        met = met.join(prints, ["n", "f"], "left").where("p < 0 OR item IS NOT NULL")
-    met.write.parquet(f"{root}/met")
-    met = spark.read.schema(met.schema).parquet(f"{root}/met")
+        # Hashes first: words travel only with fingerprints that some item has.
+        hashes = put(prints.select("n", "f").distinct(), "hashes").withColumn("known", F.lit(True))
+        if hashes.count() <= broadcast_hashes:
+            rows = rows.join(F.broadcast(hashes), ["n", "f"], "left").where("p < 0 OR known")
+        near = put(rows.select(*narrow, *sides), "near")
+        met = near.where("p >= 0").join(prints, ["n", "f"]).unionByName(near.where("p < 0"), allowMissingColumns=True)
 
     runs = (
         met.where("p >= 0")
