@@ -26,7 +26,7 @@ ORDER, BUCKETS, SCALE = 4, 1 << 16, 1 << 10
 SMOOTHING = 0.5
 #: Cost of a change of language, in nats; least share of a language's letters for a script to be one of its own.
 PENALTY, OWN_SCRIPT = 12.0, 0.01
-SLICE = 16 << 20
+SLICE = 8 << 20
 UNKNOWN = "und"
 BLANK = " \t\n\v\f\r"
 WORD = re.compile(f"[^{BLANK}]+")
