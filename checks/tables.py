@@ -134,13 +134,23 @@ def flow_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Events in a file of a stream, about; a file is read by one task.
+FILE_ROWS = 100_000
+
+
+def files_per_batch(rows: int, batches: int) -> int:
+    """Files in a batch, so that the tasks of a batch grow with the rows and a task does not."""
+    return max(1, -(-rows // (batches * FILE_ROWS)))
+
+
 def events_stream(spark: SparkSession, sf: str, batches: int = 1) -> DataFrame:
     """The events table as a file stream, in one batch or dealt out over several."""
-    schema = table(spark, sf, "events").schema
+    events = table(spark, sf, "events")
+    schema = events.schema
     if batches > 1:
-        path = shared_dir(spark)
-        table(spark, sf, "events").repartition(batches, "event_id").write.parquet(path)
-        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        path, files = shared_dir(spark), files_per_batch(events.count(), batches)
+        events.repartition(batches * files, "event_id").write.parquet(path)
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 

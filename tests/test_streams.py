@@ -352,3 +352,19 @@ def test_a_folder_of_one_machine_is_refused_on_a_cluster(monkeypatch):
     assert tables.shared_dir(session("yarn", **{"spark.sql.warehouse.dir": "hdfs://n/w"})).startswith("hdfs://n/w/")
     assert tables.shared_dir(session("yarn", **{"spark.checkpoint.dir": "/shared"})).startswith("/shared/")
     assert tables.shared_dir(session("local[2]", **{"spark.sql.warehouse.dir": "file:/w"})).startswith("file:/w/")
+
+
+def test_a_batch_of_the_stream_has_more_files_where_there_are_more_events(spark, tmp_path, monkeypatch):
+    from checks import tables as checked
+
+    monkeypatch.setattr(checked, "FILE_ROWS", 25)
+    spark.range(300).withColumnRenamed("id", "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    seen = {}
+
+    def count(batch, number):
+        seen[number] = (batch.count(), batch.select("file").distinct().count())
+
+    stream = checked.events_stream(spark, str(tmp_path), 3).withColumn("file", F.input_file_name())
+    stream.writeStream.foreachBatch(count).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert sum(rows for rows, _ in seen.values()) == 300
+    assert [files for _, files in seen.values()] == [4, 4, 4]
