@@ -326,3 +326,8 @@ def test_registered_detections_flow_through(spark, edges):
     finally:
         extensions.DEFAULT.remove("everywhere")
     assert "everywhere" not in extensions.DEFAULT.categories
+
+
+def test_a_task_reads_a_bounded_piece_of_compressed_input(spark):
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "16m"
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"

@@ -9,6 +9,10 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A task folds what it reads into a table of keys, which are nearly as many as the rows where channels
+    # are: compressed input of this size is a few hundred MB there, whatever the size of the tables is.
+    "spark.sql.files.maxPartitionBytes": "16m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     # Streaming state on disk, not in the heap; sessions of a busy key are merged before the shuffle.
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
