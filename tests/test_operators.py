@@ -331,3 +331,19 @@ def test_registered_detections_flow_through(spark, edges):
 def test_a_task_reads_a_bounded_piece_of_compressed_input(spark):
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "16m"
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+
+
+def test_edges_of_one_protocol_meet_the_list_in_several_tasks(spark, edges):
+    e = edges(*[(f"a{i}", "b", "odd" if i else "modbus", 502, "READ", 0, 1, 2) for i in range(200)], ("n", "b", None, 1, None, 0, 1, 2))
+    listed = spark.createDataFrame([("modbus",), ("modbus",), (None,)], "protocol string")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = detect.unknown_protocol(e, listed, ordered=False)
+        tasks = found.groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) > 1 and sum(t["count"] for t in tasks) == 199
+        assert rows(found) == rows(detect.unknown_protocol(e, ["modbus"], ordered=False))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
