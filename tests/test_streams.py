@@ -368,3 +368,10 @@ def test_a_batch_of_the_stream_has_more_files_where_there_are_more_events(spark,
     stream.writeStream.foreachBatch(count).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     assert sum(rows for rows, _ in seen.values()) == 300
     assert [files for _, files in seen.values()] == [4, 4, 4]
+
+
+def test_messages_are_put_in_order_by_as_many_tasks_as_their_number_asks_for(spark, monkeypatch):
+    monkeypatch.setattr(messages, "TASK_ROWS", 10)
+    sent = spark.range(100).select(F.lit("raw.conn").alias("topic"), F.lit("a:b").alias("key"), F.lit("{}").alias("value"), F.col("id").alias("seq"))
+    parts = messages._in_order(sent).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) == 10 and sum(r["count"] for r in parts) == 100

@@ -48,15 +48,20 @@ def to_messages(events: DataFrame, prefix: str = "", sequence: str | None = None
     )
 
 
+#: Messages that a task puts in order, about.
+TASK_ROWS = 250_000
+
+
 def _in_order(messages: DataFrame, partitions: int | None = None) -> DataFrame:
     """Messages by channel and place in it, over as many tasks as a channel's rows need.
 
     Without a ``seq`` a channel has no order and its rows are dealt by value.
+    Without ``partitions`` the messages are counted, so that a task's rows do not grow with the table.
     """
     place = F.col("seq") if "seq" in messages.columns else F.xxhash64("value")
     by = [F.col("topic"), F.col("key"), place]
-    placed = messages.repartitionByRange(partitions, *by) if partitions else messages.repartitionByRange(*by)
-    return placed.sortWithinPartitions(*by)
+    partitions = partitions or max(1, -(-messages.count() // TASK_ROWS))
+    return messages.repartitionByRange(partitions, *by).sortWithinPartitions(*by)
 
 
 def write_messages(messages: DataFrame, path: str, fmt: str = "parquet", partitions: int | None = None) -> None:
