@@ -267,9 +267,9 @@ class Plant:
         It is written once per application and scale, to the shared folder,
         so that a query that uses edges several times reads the events once.
         """
-        return self._stored("edges", lambda: self.folded)
+        return self.stored("edges", lambda: self.folded)
 
-    def _stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    def stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf, name)
         if key not in _STORED:
             path = shared_dir(self.spark)
@@ -279,7 +279,8 @@ class Plant:
 
     @cached_property
     def devices(self) -> DataFrame:
-        return fold.fold_devices(self.edges)
+        """The device table, stored like the edges it comes from, as the pipeline does."""
+        return self.stored("devices", lambda: fold.fold_devices(self.edges))
 
     @cached_property
     def zones(self) -> DataFrame:
@@ -292,7 +293,7 @@ class Plant:
     @cached_property
     def device_zone(self) -> DataFrame:
         """Zones of devices, stored like the edges they come from, as the pipeline does."""
-        return self._stored("device_zone", lambda: zones.auto_assign_zones(self.edges, self.zones))
+        return self.stored("device_zone", lambda: zones.auto_assign_zones(self.edges, self.zones))
 
     @cached_property
     def two_zones(self) -> DataFrame:

@@ -347,3 +347,10 @@ def test_edges_of_one_protocol_meet_the_list_in_several_tasks(spark, edges):
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)
+
+
+def test_peers_of_a_baseline_are_named_devices(spark, edges):
+    e = edges(("a", "b", "p", 1, "r", 0, 1, 2), ("a", "c", "p", 1, "r", 0, 1, 2), ("a", "b", "q", 2, "r", 0, 1, 2), ("a", "", "q", 1, "r", 0, 1, 2),
+              ("a", None, "q", 1, "r", 0, 1, 2), ("d", "", "p", 1, "r", 0, 1, 2))
+    got = baseline.capture_baselines(e, at(0), at(9), at(9)).select("ip", "peer_count", "total_edges", "protocols")
+    assert rows(got) == [("a", 2, 5, ["p", "q"]), ("d", 0, 1, ["p"])]

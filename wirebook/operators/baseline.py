@@ -74,7 +74,6 @@ def capture_baselines(
         stats.std_pop(_interval()).alias("interval_std"),
         F.coalesce(F.avg(_rate()), F.lit(0.0)).alias("packet_rate_mean"),
         stats.std_pop(_rate()).alias("packet_rate_std"),
-        F.count_distinct(F.when(F.col("dst_ip") != "", F.col("dst_ip"))).alias("peer_count"),
         F.count(_interval()).alias("periodic_edge_count"),
         F.count("*").alias("total_edges"),
     )
@@ -82,7 +81,10 @@ def capture_baselines(
     spoken = inside.select(F.col("src_ip").alias("ip"), "protocol").distinct().groupBy("ip").agg(
         F.sort_array(F.collect_set(F.when(F.col("protocol") != "", F.col("protocol")))).alias("protocols")
     )
-    profile = profile.join(spoken, "ip")
+    # Pairs of devices are nearly as many as edges; they travel without the sums.
+    pairs = inside.where("dst_ip <> ''").select(F.col("src_ip").alias("ip"), "dst_ip").distinct()
+    peers = pairs.groupBy("ip").agg(F.count("*").alias("peer_count"))
+    profile = profile.join(spoken, "ip").join(peers, "ip", "left").withColumn("peer_count", F.coalesce("peer_count", F.lit(0).cast("bigint")))
     columns = [
         "ip",
         _at(captured_at).cast("timestamp").alias("captured_at"),
