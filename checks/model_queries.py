@@ -299,7 +299,8 @@ add("ROLE-3", lambda p: rounded(roles.feature_columns(_profiles(p, "exact")).sel
 
 
 def _trained(p: Plant) -> DataFrame:
-    profiles = _profiles(p, "exact")
+    # Training, prediction and the comparison read the same profiles.
+    profiles = p.stored("profiles", lambda: _profiles(p, "exact"))
     model = roles.fit(profiles.withColumn("label", F.col("role")))
     found = roles.predict(profiles, p.edges, model).select("ip", F.col("role").alias("predicted"), "confidence")
     names = profiles.where("role IS NOT NULL").select(F.col("role").alias("predicted"), F.lit(True).alias("known")).distinct()

@@ -349,6 +349,20 @@ def test_edges_of_one_protocol_meet_the_list_in_several_tasks(spark, edges):
             spark.conf.set(k, v)
 
 
+def test_devices_and_training_profiles_of_the_checks_are_stored(spark, edges, tmp_path, monkeypatch):
+    from checks import model_queries
+    from checks.tables import Plant
+
+    p = Plant(spark, str(tmp_path))
+    p.__dict__["edges"] = edges(("10.0.0.1", "10.0.0.2", "modbus", 502, "READ", 0, 1, 2), ("10.0.0.2", "10.0.0.1", "dnp3", 20000, "READ", 0, 1, 2))
+    assert p.devices.inputFiles() and rows(p.devices.select("ip")) == [("10.0.0.1",), ("10.0.0.2",)]
+    asked = []
+    monkeypatch.setattr(model_queries.roles, "fit", lambda profiles: asked.append(profiles.inputFiles()) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        model_queries._trained(p)
+    assert asked[0]
+
+
 def test_peers_of_a_baseline_are_named_devices(spark, edges):
     e = edges(("a", "b", "p", 1, "r", 0, 1, 2), ("a", "c", "p", 1, "r", 0, 1, 2), ("a", "b", "q", 2, "r", 0, 1, 2), ("a", "", "q", 1, "r", 0, 1, 2),
               ("a", None, "q", 1, "r", 0, 1, 2), ("d", "", "p", 1, "r", 0, 1, 2))
