@@ -90,3 +90,8 @@ def test_merge_of_front_coded_runs():
     assert all(lists[k][i] == v for k, i, v, _ in got)
     for (_, _, a, _), (_, _, b, common) in zip(got, got[1:], strict=False):
         assert common == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def test_a_task_holds_a_bounded_share():
+    """An executor went over 3,000 MB with blocks of 4 MiB and 150,000 suffixes in a task."""
+    assert suffixes.BLOCK_BYTES <= 2 << 20 and suffixes.PART_SUFFIXES <= 75_000
