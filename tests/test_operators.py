@@ -69,6 +69,60 @@ def test_cross_zone_multiplies_by_membership(spark, edges):
     assert rows(found.select("src_zone", "dst_zone")) == [("Field", "Operations")]
 
 
+def shuffled_rows(df):
+    """Rows that the shuffles of a collected frame wrote, those of its subqueries apart."""
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        own = node.metrics().get("shuffleRecordsWritten").get().value() if name == "ShuffleExchangeExec" else 0
+        return own + sum(walk(node.children().apply(i)) for i in range(node.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_policies_shuffle_rows_only_where_keys_repeat(spark, edges, tmp_path):
+    each = [("a", "b", "telnet", 23, "x", 5, 9, 2), ("a", None, "telnet", 23, "x", 6, 9, 2), (None, "a", "telnet", 23, "x", 6, 9, 2),
+            ("b", "c", None, 502, "READ", 7, 7, 1), ("b", "c", "READ", 502, None, 7, 7, 1), ("c", "c", "modbus", 502, "READ", 0, 90, 4)]
+    none = spark.createDataFrame([], "ip string, zone_name string")
+
+    def found(name, *lines):
+        edges(*lines).write.parquet(str(tmp_path / name))
+        e = spark.read.parquet(str(tmp_path / name))
+        told = policy.run_policies(e, fold.fold_devices(e), none, catalog.zones_frame(spark), at(1), min_ms=5000.0, max_ms=100.0)
+        kinds = ("new_edges", "unknown_protocol", "interval_deviation")
+        return {k: rows(told[k]) for k in kinds}, {k: shuffled_rows(told[k]) for k in kinds if told[k].collect()}
+
+    once, moved = found("once", *each)
+    assert {k: len(v) for k, v in once.items()} == {"new_edges": 5, "unknown_protocol": 5, "interval_deviation": 7}
+    assert moved == dict.fromkeys(once, 0)
+    # A key twice, as a copy and with another count: copies go, the others stay.
+    twice, moved = found("twice", *each, each[0], ("b", "c", None, 502, "READ", 7, 7, 8, 9000.0))
+    assert {k: len(v) for k, v in twice.items()} == {"new_edges": 6, "unknown_protocol": 6, "interval_deviation": 8}
+    assert all(set(once[k]) < set(twice[k]) and len(set(twice[k])) == len(twice[k]) for k in once) and min(moved.values()) > 0
+    empty, _ = found("empty")
+    assert empty == dict.fromkeys(once, [])
+
+
+def test_zones_of_devices_are_joined_by_their_own_size(spark, edges, tmp_path):
+    member = spark.createDataFrame([("a", "Field"), ("b", "Operations"), ("b", "Nowhere")], "ip string, zone_name string")
+    member.coalesce(1).write.parquet(str(tmp_path / "member"))
+    stored = spark.read.parquet(str(tmp_path / "member"))
+    e = edges(("a", "b", "modbus", 502, "READ", 0, 0, 1), ("b", "c", "modbus", 502, "READ", 0, 0, 1))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        pairs = detect.zone_pairs(e, stored, catalog.zones_frame(spark))
+        planned = pairs._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in planned and "SortMergeJoin" not in planned
+        assert rows(pairs.select("src_ip", "src_zone", "dst_ip", "dst_zone")) == [("a", "Field", "b", "Operations")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_levels_and_zones(spark, edges):
     def level(*pairs):
         df = spark.createDataFrame([("d", p, n) for p, n in pairs], "ip string, protocol string, port int")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from wirebook import catalog
 from wirebook.operators.extensions import BUILT_IN, DEFAULT, Registry
-from wirebook.operators.zones import membership
 from wirebook.schemas import EDGE_KEY
 
 CATEGORIES = BUILT_IN
@@ -30,14 +29,22 @@ def cutoff(value: datetime | Column) -> Column:
 def zone_pairs(edges: DataFrame, device_zone: DataFrame, zones: DataFrame) -> DataFrame:
     """Edges with the zones of both ends; edges of unzoned devices drop out.
 
-    Both joins are plain equi-joins on a device: Spark broadcasts the
-    membership when its size allows and otherwise sort-merges, where adaptive
-    execution splits the partition of a hot device.
+    The joins are plain equi-joins on a device: Spark broadcasts the device
+    zones when their size allows and otherwise sort-merges, where adaptive
+    execution splits the partition of a hot device.  The zones come last, as
+    the size of a join is taken for the product of both sides: device zones
+    with their levels would look too large to broadcast at almost any size.
     """
-    member = membership(device_zone, zones)
-    src = member.select(F.col("ip").alias("src_ip"), F.col("zone").alias("src_zone"), F.col("level").alias("src_level"))
-    dst = member.select(F.col("ip").alias("dst_ip"), F.col("zone").alias("dst_zone"), F.col("level").alias("dst_level"))
-    return edges.join(src, "src_ip").join(dst, "dst_ip")
+    pairs = edges
+    for end in ("src", "dst"):
+        pairs = pairs.join(device_zone.select(F.col("ip").alias(f"{end}_ip"), F.col("zone_name").alias(f"{end}_zone")), f"{end}_ip")
+    for end in ("src", "dst"):
+        level = zones.select(F.col("name").alias(f"{end}_zone"), F.col("purdue_level").alias(f"{end}_level"))
+        pairs = pairs.join(level, f"{end}_zone")
+    return pairs.select(
+        "dst_ip", "src_ip", *[c for c in edges.columns if c not in ("src_ip", "dst_ip")],
+        "src_zone", "src_level", "dst_zone", "dst_level",
+    )
 
 
 def cross_zone_violations(

@@ -14,6 +14,21 @@ from wirebook.operators.extensions import DEFAULT, Registry
 from wirebook.schemas import EDGE_KEY
 
 
+def different(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """The different ones of rows that hold their edge's key and differ where the key does not.
+
+    Where the table has each key once, as a fold leaves it, all of them are
+    different: to know that, hashes of the keys cross a shuffle, once for all
+    policies of a plan.  Only where a key (or a hash) comes twice do the rows
+    themselves.  The edges are read for both cases, so they had better be
+    stored.
+    """
+    key = F.xxhash64(*EDGE_KEY, *[F.col(c).isNull() for c in EDGE_KEY])  # hashes pass over nulls
+    hashes = edges.select(key.alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    repeated = hashes.where("n > 1").agg(F.count("*")).scalar()
+    return rows.where(repeated == 0).unionAll(rows.where(repeated > 0).distinct())
+
+
 def cross_zone(edges: DataFrame, device_zone: DataFrame, zones: DataFrame) -> DataFrame:
     found = detect.cross_zone_violations(edges, device_zone, zones, ordered=False)
     return found.withColumn("level_diff", F.abs(F.col("src_level") - F.col("dst_level"))).distinct()
@@ -24,7 +39,7 @@ def new_device(devices: DataFrame, baseline_end: datetime | Column) -> DataFrame
 
 
 def new_edge(edges: DataFrame, baseline_end: datetime | Column) -> DataFrame:
-    return detect.new_edges(edges, baseline_end, ordered=False).distinct()
+    return different(detect.new_edges(edges, baseline_end, ordered=False), edges)
 
 
 def interval_deviation(
@@ -35,21 +50,17 @@ def interval_deviation(
     reasons = F.array_compact(
         F.array(F.when(gap < min_ms, "below_minimum"), F.when(gap > max_ms, "above_maximum"))
     )
-    return (
-        edges.where(detect.deviates(min_ms, max_ms))
-        .select(*EDGE_KEY, "avg_interval_ms", "packet_count", "is_periodic", F.explode(reasons).alias("reason"))
-        .distinct()
+    found = edges.where(detect.deviates(min_ms, max_ms)).select(
+        *EDGE_KEY, "avg_interval_ms", "packet_count", "is_periodic", F.explode(reasons).alias("reason")
     )
+    return different(found, edges)
 
 
 def unknown_protocol(edges: DataFrame, allowed: list[str] = catalog.ALLOWED_PROTOCOLS) -> DataFrame:
     """Unlike the detection, a missing protocol counts as unknown."""
     known = F.col("protocol").isin(allowed) if allowed else F.lit(False)
-    return (
-        edges.where(~F.coalesce(known, F.lit(False)))
-        .select(*EDGE_KEY, "packet_count", "first_seen")
-        .distinct()
-    )
+    found = edges.where(~F.coalesce(known, F.lit(False))).select(*EDGE_KEY, "packet_count", "first_seen")
+    return different(found, edges)
 
 
 def run_policies(
