@@ -297,9 +297,9 @@ class Plant:
 
     @cached_property
     def two_zones(self) -> DataFrame:
-        """Memberships with a second zone for devices ending in 7."""
+        """Memberships with a second zone for devices ending in 7, stored, so that joins know their size."""
         extra = self.device_zone.where(F.col("ip").endswith("7")).select("ip", F.lit("Field").alias("zone_name"))
-        return self.device_zone.unionByName(extra).dropDuplicates(["ip", "zone_name"])
+        return self.stored("two_zones", lambda: self.device_zone.unionByName(extra).dropDuplicates(["ip", "zone_name"]))
 
     @cached_property
     def roles(self) -> DataFrame:
