@@ -117,3 +117,39 @@ def test_runs_are_stars():
     token = np.array([7] * 6 + [8], np.uint64)
     a, b = jaccard._edges(token, np.arange(7), size, np.zeros(7, np.int64))
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(0, 1), (0, 2), (3, 4), (3, 5)}
+
+
+def jobs_of(spark, name, action):
+    """How many jobs of Spark an action takes."""
+    context = spark.sparkContext
+    context.setJobGroup(name, name)
+    try:
+        action()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    return len(context.statusTracker().getJobIdsForGroup(name))
+
+
+def test_a_part_sends_stars():
+    """A path that comes as edges in any order leaves as one star, so that components settle in few rounds."""
+    rng = np.random.default_rng(3)
+    nodes = rng.permutation(500)
+    turn = rng.permutation(499)
+    a, b = jaccard._stars(nodes[:-1][turn], nodes[1:][turn])
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(i, 0) for i in range(1, 500)]
+    a, b = jaccard._stars(np.array([9, 4, 4, 7]), np.array([4, 9, 5, 7]))
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(5, 4), (9, 4)]
+    assert [len(x) for x in jaccard._stars(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [0, 0]
+
+
+def test_rounds_shuffle_little(spark):
+    """A round joins each end of the edges once: jobs grow with shuffles, and each costs a task a partition."""
+    table = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long").repartition(3)
+    assert jobs_of(spark, "rounds", lambda: components(table).collect()) <= 72
+
+
+def test_pieces_take_few_jobs(spark, docs, monkeypatch):
+    """What is found inside the pieces is stored once and not compared again."""
+    monkeypatch.setattr(jaccard, "PIECE_SETS", 4)
+    table = docs(*families())
+    assert jobs_of(spark, "pieces", lambda: jaccard.near_duplicates(table).collect()) <= 150

@@ -8,30 +8,31 @@ from pyspark.sql import functions as F
 from wirebook.sources.tables import shared_dir
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Link each node's larger (or not larger) neighbours to the smallest of all.
+def _least(edges: DataFrame) -> DataFrame:
+    """The smallest of each larger end's neighbours; combined before the shuffle, so a node may have many."""
+    return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m"))
 
-    The minimum is taken by an aggregation and joined back, so a node with many
-    edges is combined before the shuffle and split in the join.
-    """
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    if not large:
-        both = both.where("b < a")
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    met = both.join(least, "a")
-    moved = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    if not large:
-        moved = met.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        moved = moved.unionByName(met.select("a", F.col("m").alias("b")))
-    return moved.where("a <> b").distinct()
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Link each node's larger neighbours to the smallest of all: an edge's smaller end gives way to its own smallest."""
+    met = edges.join(_least(edges), F.col("b") == F.col("id"), "left")
+    return met.select("a", F.coalesce("m", "b").alias("b")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Link each node and its smaller neighbours to the smallest of these; both links come from one pass over the join."""
+    met = edges.join(_least(edges), F.col("a") == F.col("id"))
+    links = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+    return met.select(F.inline(links)).where("a <> b").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, label) of every node of the edges (a, b); the label is the component's smallest id.
 
-    Edges with a null end, and loops, are no edges.  Each round is written to
-    the shared folder; the loop ends when every node has one neighbour that is
-    smaller, or is such a neighbour, but not both.
+    Edges with a null end, and loops, are no edges; all others have their
+    larger end first, in every round.  Each round is written to the shared
+    folder; the loop ends when every node has one neighbour that is smaller, or
+    is such a neighbour, but not both.
     """
     spark, root = edges.sparkSession, shared_dir(edges.sparkSession)
 
@@ -43,7 +44,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for k in range(1, rounds + 1):
         if _are_stars(now):
             break
-        now = put(_star(_star(now, True), False), str(k))
+        now = put(_small_star(_large_star(now)), str(k))
     else:
         raise RuntimeError("components did not settle")
     pairs = now.select(F.col("a").alias("id"), F.col("b").alias("label"))

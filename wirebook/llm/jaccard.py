@@ -129,7 +129,8 @@ def _candidates(docs: DataFrame, order: np.ndarray, parts: int) -> DataFrame:
     """Edges (a, b) that join all sets which share a token among their rarest and could be similar.
 
     Tokens travel as arrays, one for each slice of documents and part of the
-    token space; copies inside a slice travel once.
+    token space; copies inside a slice travel once.  Each part sends the stars
+    of its own components, and the same edge may come from several parts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(order)
     blobs = "part int, tokens binary, sets binary, places binary, sigs binary, sizes binary"
@@ -168,12 +169,12 @@ def _candidates(docs: DataFrame, order: np.ndarray, parts: int) -> DataFrame:
             sig = np.concatenate([s[w] for s, w in zip(columns[3], columns[1], strict=True)])
             size = np.concatenate([s[w] for s, w in zip(columns[4], columns[1], strict=True)]).astype(np.int64)
             token, place = np.concatenate(columns[0]), np.concatenate(columns[2]).astype(np.int64)
-            a, b = _edges(token, sig, size, place)
+            a, b = _stars(*_edges(token, sig, size, place))
             if len(a):
                 yield _batch("a bigint, b bigint", pa.array(a), pa.array(b))
 
     sent = docs.mapInArrow(send, blobs).repartition(parts, "part").sortWithinPartitions("part")
-    return sent.mapInArrow(meet, "a bigint, b bigint").distinct()
+    return sent.mapInArrow(meet, "a bigint, b bigint")
 
 
 def _edges(token: np.ndarray, sig: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,6 +213,20 @@ def _edges(token: np.ndarray, sig: np.ndarray, size: np.ndarray, place: np.ndarr
     return pairs[:, 0], pairs[:, 1]
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each node to the smallest of its component."""
+    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b, root = ends[: len(a)], ends[len(a) :], np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        low = np.minimum(root[a], root[b])
+        for side in (root[a], root[b]):
+            np.minimum.at(root, side, low)
+        while (root[root] != root).any():
+            root = root[root]
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[moved], nodes[root[moved]]
+
+
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
     """Rows that follow each other with the same first ``keys`` columns."""
     rows: list[tuple] = []
@@ -326,14 +341,13 @@ def _across(local: DataFrame, rows: DataFrame, put: object) -> DataFrame:
     deal = F.pmod(F.xxhash64("sig"), F.ceil(F.col("many") / PIECE_SETS)).cast("int").alias("piece")
     counted = few.join(few.groupBy("family").agg(F.count("*").alias("many")), "family")
     pivots = counted.select("family", "sig", deal).join(rows.select("sig", "text"), "sig")
-    edges = local.select("a", "b").unionByName(_compare(pivots.select("*", none)).select("a", "b"))
+    edges = put(local.select("a", "b").unionByName(_compare(pivots.select("*", none)).select("a", "b")), "inside")
     labels = components(edges)
-    edges = put(edges, "inside")
     whole = local.select("family", F.col("a").alias("id")).join(labels, "id", "left")
     whole = whole.select("family", F.col("id").alias("sig"), F.coalesce("label", "id").alias("label"))
     main = whole.groupBy("family", "label").agg(F.count("*").alias("size"))
     main = main.groupBy("family").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
-    rest = whole.join(main, "family").where("label <> main").select("family", "sig")
+    rest = put(whole.join(main, "family").where("label <> main").select("family", "sig"), "rest")
     visits = rest.join(rest.groupBy("family").agg(F.count("*").alias("many")), "family")
     visits = visits.select("family", "sig", F.ceil(F.col("many") / PIECE_SETS).cast("int").alias("turns"))
     turns = visits.select("family", "turns").distinct()
@@ -369,7 +383,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     # A part holds so many rare tokens at most, whatever the size of the corpus.
     rare = (mine.agg(F.sum("n")).first()[0] or 0) * (100 - PERCENT) // 100
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rare / PART_TOKENS))
-    edges = put(_candidates(source, _order(summaries), parts), "edges")
+    edges = _candidates(source, _order(summaries), parts)
     families = put(components(edges), "families").select(F.col("id").alias("sig"), F.col("label").alias("family"))
     firsts = mine.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     chosen = families.join(firsts, "sig")
