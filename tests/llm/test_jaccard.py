@@ -153,3 +153,46 @@ def test_pieces_take_few_jobs(spark, docs, monkeypatch):
     monkeypatch.setattr(jaccard, "PIECE_SETS", 4)
     table = docs(*families())
     assert jobs_of(spark, "pieces", lambda: jaccard.near_duplicates(table).collect()) <= 150
+
+
+def test_parity_bits_part_no_similar_sets():
+    """Bits of two sets, at any of their widths, differ in no more places than tokens; random sets of a size are told apart."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**64, 700, np.uint64)
+    sets = [np.unique(base[: int(k)]) for k in rng.integers(5, 700, 80)]
+    sets += [np.unique(np.concatenate((base[:400], rng.integers(0, 2**64, 40, np.uint64)))) for _ in range(20)]
+    sets += [np.unique(rng.integers(0, 2**64, 500, np.uint64)) for _ in range(100)]
+    numbers, n = np.arange(len(sets)), np.array([len(s) for s in sets])
+    bits = [np.frombuffer(b, "<u8") for b in jaccard._parities(sets)]
+    a, b = jaccard._close(numbers, n, bits, [numbers])
+    root = numbers.copy()
+    root[a] = b
+    for i in numbers:
+        for j in range(i):
+            same = len(np.intersect1d(sets[i], sets[j]))
+            assert 100 * same < 80 * (n[i] + n[j] - same) or root[i] == root[j]
+    assert not set(a.tolist()) & set(range(100, 200))
+
+
+def test_shared_phrases_chain_nothing(spark, docs, monkeypatch, tmp_path):
+    """Texts that share a passage with some others, and no more, are not brought together; before, they were one family."""
+    passages = {(i, k): [f"p{i}-{k}-{j}" for j in range(60)] for i in range(60) for k in (1, 7, 13)}
+    texts = []
+    for i in range(60):
+        own = [x for k in (1, 7, 13) for x in (*passages[i, k], *passages[(i - k) % 60, k])]
+        texts.append((i, " ".join(own)))
+    texts += [(100, texts[5][1]), (101, texts[9][1] + " end")]
+    monkeypatch.setattr(jaccard, "shared_dir", lambda _: str(tmp_path))
+    assert run(docs(*texts)) == brute(texts)
+    assert spark.read.parquet(f"{tmp_path}/rows").count() == 2
+
+
+def test_ids_are_looked_up(spark):
+    """No id of the table is missed, null too, and few others are found."""
+    ids = spark.createDataFrame([(i * 7919,) for i in range(500)] + [(None,), (-(2**63),)], "k long")
+    others = spark.createDataFrame([(i * 7919 + 1,) for i in range(5000)], "k long")
+    test = jaccard._among(ids, "k")
+    assert ids.where(~test(ids.k)).count() == 0
+    assert others.where(test(others.k)).count() <= 5
+    empty = jaccard._among(ids.where("false"), "k")
+    assert ids.where(empty(ids.k)).count() == 0

@@ -56,4 +56,4 @@ def _are_stars(edges: DataFrame) -> bool:
     ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down"))
     ends = ends.unionByName(edges.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
     nodes = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    return nodes.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).limit(1).count() == 0
+    return not nodes.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).head(1)

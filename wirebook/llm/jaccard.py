@@ -1,7 +1,9 @@
 """N-gram Jaccard join over a token-group matrix.
 
 Documents become sets of hashed word shingles; equal sets are one set.  Sets
-that share a token among their rarest ones may be similar and are brought
+that share a token among their rarest ones may be similar; of these, pairs
+whose parity bits differ too often cannot be and are parted, so that phrases
+which many documents hold do not chain them together.  What is left is brought
 together once; all others are compared with nothing.  Where sets meet, similar
 ones form groups, the matrix holds each group's union of tokens, a query's
 overlap with a union bounds its overlap with every member, and only groups
@@ -12,7 +14,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -32,11 +34,20 @@ SHINGLE = 5
 PERCENT = 80
 #: Tokens are ordered by how often their bucket occurs: a table of fixed size, sent in chunks.
 BUCKET_BITS, CHUNKS = 20, 64
+#: Ids are looked up in a table of so many bits before their rows are shuffled.
+CELLS = 1 << 24
 #: Sets and tokens that one task compares at a time; larger families are dealt out in pieces.
 PIECE_SETS, PIECE_TOKENS, PIVOTS = 1024, 2_000_000, 8
 #: Tokens that one task matches.
 PART_TOKENS = 4_000_000
-SETS = "doc_id bigint, sig bigint, n bigint, chunk int, counts binary"
+#: Parity bits of a set: a power of two, no fewer than its tokens, within these bounds.
+LEAST_BITS, MOST_BITS = 64, 1 << 16
+#: Sets that share a token and are told apart by their bits; more are a family at once.
+BLOCK_SETS = 1024
+#: Bytes of parity bits that one task holds, and words of them that it compares at a time.
+BUCKET_BYTES, COMPARED_WORDS = 32 << 20, 1 << 20
+SETS = "doc_id bigint, sig bigint, n bigint, bits binary, chunk int, counts binary"
+MET = "a bigint, b bigint, id bigint, sigs array<bigint>"
 
 
 def shingles(part: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
@@ -69,71 +80,126 @@ def _sig(tokens: np.ndarray) -> int:
     return int(np.array(xxhash.xxh3_64_intdigest(tokens.tobytes()), np.uint64).view(np.int64))
 
 
+def _parities(sets: list[np.ndarray]) -> list[bytes]:
+    """For each set a bit per cell of its table, set if an odd number of tokens fall into the cell.
+
+    Bits in which two sets differ are no more than the tokens in one of them
+    only; halves of a table laid over each other are the table of half the size.
+    """
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    wide = np.maximum(LEAST_BITS, np.minimum(MOST_BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)))
+    ends = np.cumsum(wide)
+    flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+    cell = (flat & np.repeat(wide - 1, n).astype(np.uint64)).astype(np.int64) + np.repeat(ends - wide, n)
+    packed = np.packbits(np.bincount(cell, minlength=int(wide.sum())).astype(np.uint8) & 1, bitorder="little")
+    return [packed[(z - w) // 8 : z // 8].tobytes() for w, z in zip(wide.tolist(), ends.tolist(), strict=True)]
+
+
 def _read(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
 def _summaries(docs: DataFrame) -> DataFrame:
-    """A row per document with its set's number and size, and token counts of each task in chunks."""
+    """A row per document with its set's number, size and parity bits, and token counts of each task in chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+        counts, documents, wide = np.zeros(1 << BUCKET_BITS, np.int64), 0, 0
         for batch in batches:
             for at, part in slices(batch.column(1)):
                 sets = shingles(part)
                 flat = np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS)
                 counts += np.bincount(flat.astype(np.int64), minlength=len(counts))
-                yield _batch(SETS, batch.column(0).slice(at, len(part)), [_sig(s) for s in sets], [len(s) for s in sets])
-        parts = np.split(np.minimum(counts, 2**32 - 1).astype("<u4"), CHUNKS)
-        used = [(k, p.tobytes()) for k, p in enumerate(parts) if p.any()]
+                bits = _parities(sets)
+                documents, wide = documents + len(bits), wide + sum(map(len, bits))
+                yield _batch(SETS, batch.column(0).slice(at, len(part)), [_sig(s) for s in sets], [len(s) for s in sets], bits)
+        parts = np.split(np.minimum(counts, 2**32 - 1), CHUNKS)
+        used = [(k, p.astype(_least_type(p)).tobytes()) for k, p in enumerate(parts) if p.any()]
         if used:
+            used.append((CHUNKS, np.array([documents, wide], "<i8").tobytes()))
             none = [None] * len(used)
-            yield _batch(SETS, none, none, none, *zip(*used, strict=True))
+            yield _batch(SETS, none, none, none, none, *zip(*used, strict=True))
 
     return docs.mapInArrow(run, SETS)
 
 
 def _batch(layout: str, *columns: object) -> pa.RecordBatch:
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64())}
     names, types = zip(*(x.split(" ") for x in layout.split(", ")), strict=True)
     columns += ([None] * len(columns[0]),) * (len(names) - len(columns))
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)]
     return pa.RecordBatch.from_arrays(arrays, names=list(names))
 
 
-def _order(summaries: DataFrame) -> np.ndarray:
-    """How often each bucket of tokens occurs; the table has the same size for any input."""
-    table = np.zeros((CHUNKS, (1 << BUCKET_BITS) // CHUNKS), np.int64)
+def _among(ids: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test for ids, null too: true for all in the column, and for few others; its table has the same size for any input."""
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(CELLS)).cast("int")
+    size = CELLS // CHUNKS
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, cells in batch.groupby("chunk")["cell"]:
+                found.setdefault(k, np.zeros(size, bool))[cells.to_numpy() % size] = True
+        if found:
+            yield pd.DataFrame({"chunk": list(found), "bits": [np.packbits(x).tobytes() for x in found.values()]})
+
+    cells = ids.select(cell(F.col(column).cast("bigint")).alias("cell"))
+    cells = cells.withColumn("chunk", F.floor(F.col("cell") / size).cast("int"))
+    table = np.zeros((CHUNKS, size // 8), np.uint8)
+    for r in cells.repartition("chunk").mapInPandas(mark, "chunk int, bits binary").collect():
+        table[r.chunk] |= np.frombuffer(r.bits, np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(table.reshape(-1))
+
+    def test(cells: pd.Series) -> pd.Series:
+        at = cells.to_numpy()
+        return pd.Series((shared.value[at >> 3] >> (7 - (at & 7))) & 1 == 1)
+
+    known = F.pandas_udf(test, "boolean")
+    return lambda c: known(cell(c.cast("bigint")))
+
+
+def _least_type(numbers: np.ndarray) -> str:
+    """The smallest type of numbers from 0 to 2^32 - 1 that holds these."""
+    return next(f"<u{k}" for k in (1, 2, 4) if k == 4 or numbers.max(initial=0) < 1 << 8 * k)
+
+
+def _order(summaries: DataFrame) -> tuple[np.ndarray, float]:
+    """How often each bucket of tokens occurs, a table of the same size for any input; bytes of parity bits of a document."""
+    table, total = np.zeros((CHUNKS, (1 << BUCKET_BITS) // CHUNKS), np.int64), np.zeros(2, np.int64)
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch["chunk"], batch["counts"], strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(raw, "<u4").astype(np.int64)
+                kind = "<i8" if k == CHUNKS else f"<u{len(raw) // table.shape[1]}"
+                sums[k] = sums.get(k, 0) + np.frombuffer(raw, kind).astype(np.int64)
         if sums:
             yield pd.DataFrame({"chunk": list(sums), "counts": [s.astype("<i8").tobytes() for s in sums.values()]})
 
     rows = summaries.where("chunk IS NOT NULL").select("chunk", "counts")
     # One job for the whole table of 8 MB.
     for r in rows.repartition("chunk").mapInPandas(add, "chunk int, counts binary").collect():
-        table[r.chunk] += np.frombuffer(r.counts, "<i8")
-    return np.minimum(table.reshape(-1), 2**32 - 1).astype(np.uint32)
+        (total if r.chunk == CHUNKS else table[r.chunk])[:] += np.frombuffer(r.counts, "<i8")
+    return np.minimum(table.reshape(-1), 2**32 - 1).astype(np.uint32), total[1] / max(1, total[0])
 
 
-def _prefix(n: int) -> int:
+def _prefix(n: int | np.ndarray) -> int | np.ndarray:
     """So many of a set's rarest tokens include one of any similar set's."""
     return n - -(-PERCENT * n // 100) + 1
 
 
 def _candidates(docs: DataFrame, order: np.ndarray, parts: int) -> DataFrame:
-    """Edges (a, b) that join all sets which share a token among their rarest and could be similar.
+    """Sets which share a token among their rarest and could be similar: blocks (id, sigs), and edges (a, b) for more than a block.
 
     Tokens travel as arrays, one for each slice of documents and part of the
-    token space; copies inside a slice travel once.  Each part sends the stars
-    of its own components, and the same edge may come from several parts.
+    token space; copies inside a slice travel once.  Five bytes tell the tokens
+    of a part apart and one has the place, rounded down: what meets by chance
+    is parted later.  The same block has the
+    same id in all parts.  Each part sends the stars of its own components, and
+    the same block or edge may come from several parts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(order)
-    blobs = "part int, tokens binary, sets binary, places binary, sigs binary, sizes binary"
+    blobs = "part int, tokens binary, places binary, sigs binary, sizes binary, counts binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,6 +215,7 @@ def _candidates(docs: DataFrame, order: np.ndarray, parts: int) -> DataFrame:
                 sizes = np.fromiter(map(len, chosen), np.int64, len(chosen))
                 owner = np.repeat(np.arange(len(chosen)), sizes)
                 place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                level = (place * 256 // np.repeat(sizes, sizes)).astype(np.uint8)
                 to = (flat % np.uint64(parts)).astype(np.int64)
                 turn = np.argsort(to, kind="stable")
                 cuts = np.searchsorted(to[turn], np.arange(parts + 1))
@@ -156,37 +223,59 @@ def _candidates(docs: DataFrame, order: np.ndarray, parts: int) -> DataFrame:
                 rows = []
                 for p in np.flatnonzero(np.diff(cuts)):
                     pick = turn[cuts[p] : cuts[p + 1]]
-                    used, which = np.unique(owner[pick], return_inverse=True)
-                    arrays = flat[pick], which.astype("<u4"), place[pick].astype("<u4"), sigs[used], full[used]
+                    used, count = np.unique(owner[pick], return_counts=True)
+                    arrays = _packed(flat[pick]), level[pick], sigs[used], full[used], count.astype("<u4")
                     rows.append((int(p), *(a.tobytes() for a in arrays)))
                 for at in range(0, len(rows), 64):
                     yield _batch(blobs, *map(list, zip(*rows[at : at + 64], strict=True)))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = np.uint64, "<u4", "<u4", "<i8", "<u4"
+        kinds = np.uint8, np.uint8, "<i8", "<u4", "<u4"
         for rows in _runs(batches, 1):
-            columns = [[np.frombuffer(r[i + 1], k) for r in rows] for i, k in enumerate(kinds)]
-            sig = np.concatenate([s[w] for s, w in zip(columns[3], columns[1], strict=True)])
-            size = np.concatenate([s[w] for s, w in zip(columns[4], columns[1], strict=True)]).astype(np.int64)
-            token, place = np.concatenate(columns[0]), np.concatenate(columns[2]).astype(np.int64)
-            a, b = _stars(*_edges(token, sig, size, place))
+            token, level, sig, size, count = (np.frombuffer(b"".join(r[i + 1] for r in rows), k) for i, k in enumerate(kinds))
+            token, sig, size = _unpacked(token), np.repeat(sig, count), np.repeat(size, count).astype(np.int64)
+            # The first place of the level, so that no set seems to have less left than it has.
+            place = level.astype(np.int64) * _prefix(size) // 256
+            sig, run = _stretches(token, sig, size, place)
+            wide = np.bincount(run)[run] > BLOCK_SETS
+            a, b = _stars(*_to_first(sig[wide], run[wide]))
             if len(a):
-                yield _batch("a bigint, b bigint", pa.array(a), pa.array(b))
+                yield _batch(MET, pa.array(a), pa.array(b))
+            ids, blocks = _blocks(sig[~wide], run[~wide])
+            for at in range(0, len(ids), 10_000):
+                few = slice(at, at + 10_000)
+                none = [None] * len(ids[few])
+                yield _batch(MET, none, none, pa.array(ids[few]), blocks[few])
 
     sent = docs.mapInArrow(send, blobs).repartition(parts, "part").sortWithinPartitions("part")
-    return sent.mapInArrow(meet, "a bigint, b bigint")
+    return sent.mapInArrow(meet, MET)
 
 
-def _edges(token: np.ndarray, sig: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stars over the sets that share a token and could be similar if it is the first they share.
+def _packed(tokens: np.ndarray) -> np.ndarray:
+    """The upper five bytes of each token."""
+    return np.ascontiguousarray((tokens >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+
+
+def _unpacked(raw: np.ndarray) -> np.ndarray:
+    whole = np.zeros((len(raw) // 5, 8), np.uint8)
+    whole[:, :5] = raw.reshape(-1, 5)
+    return whole.view("<u8").reshape(-1)
+
+
+def _need(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """So many tokens sets of these sizes share at least if they link."""
+    return -(-PERCENT * (a + b) // (100 + PERCENT))
+
+
+def _stretches(token: np.ndarray, sig: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of sets that share a token and could be similar if it is the first they share: the sets, and the number of each one's run.
 
     From the first shared token on, the overlap is at most what is left of
     either set.  Sets that fail this with their easiest partner leave; the rest
     are taken in order of size as long as the sizes of neighbours allow a link,
-    and every set of such a run is joined to its first, so any two that could
-    link are connected, over two edges at most.
+    so any two that could link are in one run.
     """
-    turn = np.lexsort((sig, size, token))
+    turn = np.lexsort((place, sig, size, token))
     token, sig, size, place = token[turn], sig[turn], size[turn], place[turn]
     fresh = np.ones(len(token), bool)
     fresh[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
@@ -196,23 +285,125 @@ def _edges(token: np.ndarray, sig: np.ndarray, size: np.ndarray, place: np.ndarr
         return none, none
     run = np.cumsum(np.concatenate(([0], token[1:] != token[:-1])))
     wide = int(size.max()) + 1
-    need = lambda a, b: -(-PERCENT * (a + b) // (100 + PERCENT))
     fits = (run[1:] == run[:-1]) & (PERCENT * size[1:] <= 100 * size[:-1])
     # Smallest partner of the larger set, and next partner of the smaller one.
     least = np.searchsorted(run * wide + size, run * wide + -(-PERCENT * size // 100))
-    larger = (least < np.arange(len(run))) & (left >= need(size, size[least]))
-    smaller = np.append(fits & (left[:-1] >= need(size[:-1], size[1:])), False)
+    larger = (least < np.arange(len(run))) & (left >= _need(size, size[least]))
+    smaller = np.append(fits & (left[:-1] >= _need(size[:-1], size[1:])), False)
     kept = np.flatnonzero(larger | smaller)
     if len(kept) < 2:
         return none, none
     a, b = kept[:-1], kept[1:]
     joined = (run[a] == run[b]) & (PERCENT * size[b] <= 100 * size[a])
-    start = np.maximum.accumulate(np.where(np.append(True, ~joined), np.arange(len(kept)), 0))
-    first = kept[start[1:]]
-    pairs = np.unique(np.stack([sig[first[joined]], sig[b[joined]]], 1), axis=0)
+    number = np.cumsum(np.append(True, ~joined)) - 1
+    met = np.bincount(number)[number] > 1
+    return sig[kept[met]], np.unique(number[met], return_inverse=True)[1].astype(np.int64)
+
+
+def _to_first(sig: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from every set of a run to the run's first, so any two are connected, over two edges at most."""
+    fresh = np.ones(len(run), bool)
+    fresh[1:] = run[1:] != run[:-1]
+    first = np.maximum.accumulate(np.where(fresh, np.arange(len(run)), 0))
+    pairs = np.unique(np.stack([sig[first[~fresh]], sig[~fresh]], 1), axis=0)
     return pairs[:, 0], pairs[:, 1]
 
 
+def _edges(token: np.ndarray, sig: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars over the runs of sets that could be similar."""
+    return _to_first(*_stretches(token, sig, size, place))
+
+
+def _blocks(sig: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The different runs of sets, each with a number that its sets make."""
+    if not len(sig):
+        return np.zeros(0, np.int64), pa.array([], pa.list_(pa.int64()))
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(run)) + 1))
+    ids = _mix(np.add.reduceat(_mix(sig.astype("<i8").view(np.uint64)), starts)).view(np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(sig)), pa.int32()), pa.array(sig, pa.int64()))
+    _, once = np.unique(ids, return_index=True)
+    return ids[once], lists.take(pa.array(once))
+
+
+def _close(sig: np.ndarray, n: np.ndarray, bits: list[np.ndarray], blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Stars over the sets of the blocks that could be similar by their parity bits: ``sig`` in order, words of bits for each.
+
+    The bits of two sets differ in no more places than there are tokens in one
+    of them only, so no similar pair is parted.  Sets that are connected
+    already are not compared again.
+    """
+    wide = np.fromiter(map(len, bits), np.int64, len(bits))
+    tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def table(width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of so many words, of sets with these or twice as many; the row of each set."""
+        if width not in tables:
+            own = np.flatnonzero((wide == width) | (wide == 2 * width))
+            at = np.full(len(wide), -1)
+            at[own] = np.arange(len(own))
+            tables[width] = np.stack([bits[i] if wide[i] == width else bits[i][:width] ^ bits[i][width:] for i in own]), at
+        return tables[width]
+
+    root = np.arange(len(sig))
+    flat = np.searchsorted(sig, np.concatenate(blocks))
+    sizes = np.fromiter(map(len, blocks), np.int64, len(blocks))
+    ends, pairs = np.cumsum(sizes), np.cumsum(sizes * (sizes - 1) // 2)
+    at = 0
+    while at < len(blocks):
+        stop = max(at + 1, int(np.searchsorted(pairs, (pairs[at - 1] if at else 0) + COMPARED_WORDS, side="right")))
+        base = ends[at] - sizes[at]
+        later = np.repeat(ends[at:stop], sizes[at:stop]) - 1 - np.arange(base, ends[stop - 1])
+        x = np.repeat(np.arange(base, ends[stop - 1]), later)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(later) - later, later)
+        x, y = flat[x], flat[y]
+        small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+        open_ = (root[x] != root[y]) & (PERCENT * large <= 100 * small)
+        both = np.unique(np.minimum(x, y)[open_] * len(sig) + np.maximum(x, y)[open_])
+        x, y = both // len(sig), both % len(sig)
+        width, most = np.minimum(wide[x], wide[y]), n[x] + n[y] - 2 * _need(n[x], n[y])
+        linked = np.zeros(len(x), bool)
+        for w in np.unique(width).tolist():
+            rows, place = table(w)
+            mine = np.flatnonzero(width == w)
+            step = max(1, COMPARED_WORDS // w)
+            for few in (mine[i : i + step] for i in range(0, len(mine), step)):
+                differ = np.bitwise_count(rows[place[x[few]]] ^ rows[place[y[few]]]).sum(1, dtype=np.int64)
+                linked[few] = differ <= most[few]
+        known = np.flatnonzero(root != np.arange(len(root)))
+        a, b = _stars(np.concatenate((known, x[linked])), np.concatenate((root[known], y[linked])))
+        root[a] = b
+        at = stop
+    moved = np.flatnonzero(root != np.arange(len(root)))
+    return sig[moved], sig[root[moved]]
+
+
+def _links(met: DataFrame, summaries: DataFrame, many: int, put: object) -> DataFrame:
+    """Edges (a, b) that join all sets which could be similar by their parity bits, from the blocks of sets.
+
+    The blocks are dealt out in so many buckets by their numbers, and a set's
+    bits go once to each bucket where it is met, whatever the number of its
+    blocks there.
+    """
+    blocks = put(met.where("id IS NOT NULL").select("id", "sigs").dropDuplicates(["id"]), "blocks")
+    blocks = blocks.withColumn("bucket", F.pmod("id", F.lit(many)).cast("int"))
+    needed = blocks.select("bucket", F.explode("sigs").alias("sig")).distinct()
+    known = summaries.where("n > 0").groupBy("sig").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
+    # Sets grow with the documents: never sent whole, so that the plan is the same at every size.
+    rows = needed.join(known.hint("merge"), "sig").select("bucket", "sig", "n", "bits", F.lit(None).cast("array<bigint>").alias("sigs"))
+    rows = rows.unionByName(blocks.select("bucket", "sigs"), allowMissingColumns=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _runs(batches, 1):
+            sets = sorted(r[1:4] for r in group if r[1] is not None)
+            sig, n = np.array([r[0] for r in sets], np.int64), np.array([r[1] for r in sets], np.int64)
+            a, b = _close(sig, n, [np.frombuffer(r[2], "<u8") for r in sets], [np.array(r[4], np.int64) for r in group if r[4] is not None])
+            if len(a):
+                yield _batch("a bigint, b bigint", pa.array(a), pa.array(b))
+
+    close = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a bigint, b bigint")
+    return met.where("id IS NULL").select("a", "b").unionByName(close)
+
+
 def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges from each node to the smallest of its component."""
     nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
@@ -381,22 +572,27 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     summaries = put(_summaries(source), "summaries")
     mine = summaries.where("chunk IS NULL").select("doc_id", "sig", "n")
     # A part holds so many rare tokens at most, whatever the size of the corpus.
-    rare = (mine.agg(F.sum("n")).first()[0] or 0) * (100 - PERCENT) // 100
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rare / PART_TOKENS))
-    edges = _candidates(source, _order(summaries), parts)
+    order, size = _order(summaries)
+    rare, least = int(order.sum(dtype=np.int64)) * (100 - PERCENT) // 100, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, math.ceil(rare / PART_TOKENS))
+    met = put(_candidates(source, order, parts), "met")
+    # No set is met at more places than it has rare tokens.
+    edges = _links(met, summaries, max(4 * least, math.ceil(rare * size / BUCKET_BYTES)), put)
     families = put(components(edges), "families").select(F.col("id").alias("sig"), F.col("label").alias("family"))
     firsts = mine.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     chosen = families.join(firsts, "sig")
     sized = chosen.groupBy("family").agg(_pieces(F.count("*"), F.sum("n")).alias("pieces"))
     piece = F.pmod(F.xxhash64("sig"), F.col("pieces")).cast("int").alias("piece")
-    chosen = chosen.join(sized, "family").select("family", "sig", "doc_id", "pieces", piece)
-    texts = source.withColumnRenamed("doc_id", "id")
+    chosen = put(chosen.join(sized, "family").select("family", "sig", "doc_id", "pieces", piece), "chosen")
+    # Texts of other ids are not shuffled.
+    texts = source.where(_among(chosen, "doc_id")(F.col("doc_id"))).withColumnRenamed("doc_id", "id")
     # Of rows that repeat an id with other texts, the set's own text is told by its shingles.
     rows = _of_sets(chosen.join(texts, F.col("doc_id").eqNullSafe(F.col("id"))))
     rows = put(rows, "rows")
+    sized = chosen.select("family", "pieces").distinct()
     local = put(_compare(rows.withColumn("turn", F.lit(0))).join(sized, "family"), "local")
     links = local.where("pieces = 1").select("a", "b")
-    if local.where("pieces > 1").limit(1).count():
+    if local.where("pieces > 1").head(1):
         wide = rows.where("pieces > 1")
         links = links.unionByName(components(_across(local.where("pieces > 1"), wide, put)).select(F.col("id").alias("a"), F.col("label").alias("b")))
     label = links.groupBy(F.col("a").alias("sig")).agg(F.min("b").alias("label"))
