@@ -196,3 +196,13 @@ def test_ids_are_looked_up(spark):
     assert others.where(test(others.k)).count() <= 5
     empty = jaccard._among(ids.where("false"), "k")
     assert ids.where(empty(ids.k)).count() == 0
+
+
+def test_rows_alone_are_not_shuffled(docs):
+    """Rows that stay for certain meet no join; copies, repeated ids and rows without an id are decided as before."""
+    words = [" ".join(f"w{i}-{j}" for j in range(20)) for i in range(8)]
+    texts = [(i, t) for i, t in enumerate(words)] + [(20, words[2]), (3, "other text of five words"), (None, words[5]), (None, "no id but words here"), (21, "")]
+    out = jaccard.one_of_each(docs(*texts))
+    kept = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert kept == sorted([*enumerate(words), (3, "other text of five words"), (None, "no id but words here"), (21, "")], key=repr)
+    assert "Join" not in out._jdf.queryExecution().sparkPlan().children().apply(0).toString()

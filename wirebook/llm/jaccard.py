@@ -587,7 +587,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     # Texts of other ids are not shuffled.
     texts = source.where(_among(chosen, "doc_id")(F.col("doc_id"))).withColumnRenamed("doc_id", "id")
     # Of rows that repeat an id with other texts, the set's own text is told by its shingles.
-    rows = _of_sets(chosen.join(texts, F.col("doc_id").eqNullSafe(F.col("id"))))
+    # The sets are never sent whole: the plan is the same at every size, and a task looks ids up or reads texts, not both.
+    rows = _of_sets(chosen.hint("merge").join(texts, F.col("doc_id").eqNullSafe(F.col("id"))))
     rows = put(rows, "rows")
     sized = chosen.select("family", "pieces").distinct()
     local = put(_compare(rows.withColumn("turn", F.lit(0))).join(sized, "family"), "local")
@@ -624,12 +625,15 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     chosen = groups.where("n_shingles > 0").groupBy("label").agg(first).select("f.doc_id", "f.sig")
     ids = chosen.select("doc_id").unionByName(groups.where("n_shingles = 0").select("doc_id")).distinct()
     many = groups.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("many"))
-    known = ids.join(many, F.col("doc_id").eqNullSafe(F.col("id"))).select(F.struct("id", (F.col("many") > 1).alias("shared")).alias("_known"))
+    known = many.join(ids.withColumn("wanted", F.lit(True)), F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    known = known.select(F.struct("id", (F.col("many") > 1).alias("shared"), F.coalesce("wanted", F.lit(False)).alias("wanted")).alias("_known"))
+    known = put(known, "known")
+    # Most ids have one row, which stays: only rows of other ids are shuffled.
+    among = _among(known.where("_known.shared OR NOT _known.wanted").select("_known.id"), "id")(docs[doc_id])
     # Ids grow with the documents: never sent whole, so that the plan is the same at every size.
-    known = put(known, "known").hint("merge")
-    met = docs.join(known, docs[doc_id].cast("bigint").eqNullSafe(F.col("_known.id")))
-    out = met.where("NOT _known.shared").select(*[docs[c] for c in docs.columns])
-    if known.where("_known.shared").limit(1).count() == 0:
+    met = docs.where(among).join(known.where("_known.wanted").hint("merge"), docs[doc_id].cast("bigint").eqNullSafe(F.col("_known.id")))
+    out = docs.where(~among).unionByName(met.where("NOT _known.shared").select(*[docs[c] for c in docs.columns]))
+    if known.where("_known.shared AND _known.wanted").limit(1).count() == 0:
         return out
     rows = met.where("_known.shared").select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("_known.id").alias("doc_id"), docs[text].cast("string").alias("text"))
 
